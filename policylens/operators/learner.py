@@ -352,20 +352,22 @@ def prediction_lists(scored: DataFrame, row_key: list[str]) -> DataFrame:
 
 
 def decide(
-    requests: DataFrame, slots: DataFrame, header: DataFrame, spec: PolicySpec
+    requests: DataFrame, slots: DataFrame, header: DataFrame, spec: PolicySpec,
+    model_key: list[str] | None = None, row_id: list[str] | None = None,
 ) -> DataFrame:
     """Decisions for a table of requests.
 
     `requests` carries KEY, id, seed, actions, eligible (see `restrict`), features and, in
-    baselineExplore mode, `baseline` (an action id).
+    baselineExplore mode, `baseline` (an action id).  Models are found by `model_key`.
     """
-    row_key = [*KEY, "id"]
+    model_key = model_key or list(KEY)
+    row_key = [*model_key, *(row_id or ["id"])]
     predictions = prediction_lists(
         score(requests, slots, row_key, spec.get("learner", "bits")), row_key
     )
-    versions = header.select(*KEY, F.col("n_updates").alias("model_version"))
+    versions = header.select(*model_key, F.col("n_updates").alias("model_version"))
     df = requests.drop("model_version").join(predictions, row_key, "left")
-    df = df.join(versions, KEY, "left").withColumn(
+    df = df.join(versions, model_key, "left").withColumn(
         "model_version", F.coalesce("model_version", F.lit(0).cast("long"))
     )
     if spec.get("mode") == "baselineExplore":
