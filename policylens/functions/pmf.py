@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylens.spec import PolicySpec
@@ -19,6 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """`df.select(*columns)` with every column evaluated once per row.
+
+    A filter on a computed column is normally pushed below the projection, which repeats the
+    whole expression.  Columns made by a generator are not rewritten that way.
+    """
+    fields = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return df.select(F.inline(F.array(F.struct(*fields))))
+
+
 def total(values: Column) -> Column:
     """Sum of an array, left to right."""
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)

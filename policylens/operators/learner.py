@@ -165,7 +165,7 @@ def fold_models(
     start = _start_rows(shards, snapshot, header)
     trained = (
         rows.groupBy(*KEY, "shard")
-        .cogroup(start.groupBy(*KEY, "shard"))
+        .cogroup(start.select(*[F.col(c).alias(c) for c in start.columns]).groupBy(*KEY, "shard"))
         .applyInArrow(_trainer(bits, rate), TRAINED)
     )
     return _merged(trained, bits, rate)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from policylens.functions.features import featurize, restrict
 from policylens.operators.joins import with_model
 from policylens.operators.learner import decide
-from policylens.operators.ingest import first_wins
 from policylens.operators.validate import event_id_ok, pmf_ok, upload_window, yes
 from policylens.schema import KEY, PROBABILITY_TOLERANCE
+from policylens.session import checkpointed
 from policylens.spec import PolicySpec
 
 SAME = ["request_sha256", "seed", "chosen_index"]
@@ -50,19 +50,23 @@ def verify_uploads(
         F.lit(json.dumps(spec.get("actions"))), "array<struct<id:string,features:string>>"
     )
     up = uploads.withColumn("actions", F.coalesce("actions", declared))
-    up = first_wins(upload_window(up, now_ms), [*KEY, "id"])
+    up = upload_window(up, now_ms)
     # an id may be taken by a stored decision, or by an earlier upload of the same batch
-    earlier = up.filter("first").select(*KEY, "id", *[F.col(c).alias(f"first_{c}") for c in SAME])
+    earlier = up.groupBy(*KEY, "id").agg(
+        F.min("arrival").alias("first_arrival"),
+        F.min_by(F.struct(*[F.col(c).alias(f"first_{c}") for c in SAME]), "arrival").alias("f"),
+    ).select(*KEY, "id", "first_arrival", "f.*")
     taken = stored.select(*KEY, "id", *[F.col(c).alias(f"stored_{c}") for c in SAME])
-    up = up.join(earlier, [*KEY, "id"], "left").join(taken, [*KEY, "id"], "left")
+    ids = earlier.join(taken, [*KEY, "id"], "left")
+    up = up.join(ids, [*KEY, "id"], "left")
     use_stored = F.col("stored_request_sha256").isNotNull()
     same = F.lit(True)
     for c in SAME:
         other = F.when(use_stored, F.col(f"stored_{c}")).otherwise(F.col(f"first_{c}"))
         same = same & F.col(c).eqNullSafe(other)
-    repeat = use_stored | ~F.col("first")
+    repeat = use_stored | (F.col("arrival") != F.col("first_arrival"))
     up = up.withColumn("repeat", repeat).withColumn("same", same).drop(
-        *[f"{side}_{c}" for side in ("stored", "first") for c in SAME]
+        "first_arrival", *[f"{side}_{c}" for side in ("stored", "first") for c in SAME]
     )
     known = with_model(up, models.select(*KEY, "model_tag", F.col("n_updates").alias("version")))
     known = known.withColumn(
@@ -81,6 +85,8 @@ def verify_uploads(
             "version_mismatch",
         ),
     )
+    # used twice below: to replay, and to meet the replay's result
+    known = checkpointed(known)
     work = known.filter(F.col("early").isNull()).select(
         *KEY, "model_tag", "id", "arrival", "seed", "context", F.lit("{}").alias("derived"),
         "actions", "excluded_ids", *(["baseline"] if "baseline" in known.columns else []),
@@ -113,5 +119,5 @@ def verify_uploads(
     )
     why = F.when(status == "rejected", F.coalesce("early", F.lit("does_not_replay")))
     return joined.withColumn("status", status).withColumn("why", why).drop(
-        "early", "repeat", "same", "first", "r_eligible", "r_pmf", "r_chosen", "r_probability"
+        "early", "repeat", "same", "r_eligible", "r_pmf", "r_chosen", "r_probability"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from policylens.functions.pmf import once
 from policylens.operators.validate import event_id_ok, finite, first_problem
 from policylens.schema import IMPORT_SUM_TOLERANCE, KEY
 from policylens.sources.logs import clean_lines
@@ -83,7 +84,8 @@ def parse_dsjson(lines: DataFrame) -> DataFrame:
     stamp = _text(v, "$.Timestamp")
     utc = stamp.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d*)?(Z|\+00:00)$")
     ts = F.unix_millis(F.try_to_timestamp(F.when(utc, stamp)))
-    parsed = df.select(
+    parsed = once(
+        once(df, *extra, "value", "v", "c"),
         *extra,
         "value",
         F.array_contains(keys, "_outcomes").alias("has_outcomes"),
@@ -124,14 +126,16 @@ def parse_dsjson(lines: DataFrame) -> DataFrame:
         ]
     )
     multislot = F.col("has_slots") | F.coalesce("has_outcomes", F.lit(False))
-    return parsed.withColumn(
+    judged = parsed.withColumn("problem", problem).withColumn(
         "status",
         F.when(~F.col("is_json") | ~F.col("has_c"), "invalid")
         .when(multislot, "multislot")
         .when(F.col("waiting"), "deferred")
-        .when(problem.isNotNull(), "invalid")
+        .when(F.col("problem").isNotNull(), "invalid")
         .otherwise("event"),
-    ).withColumn("problem", F.when(F.col("status") == "invalid", problem))
+    )
+    shown = F.when(F.col("status") == "invalid", F.col("problem")).alias("problem")
+    return once(judged, *[shown if c == "problem" else c for c in judged.columns])
 
 
 def import_decisions(parsed: DataFrame) -> DataFrame:

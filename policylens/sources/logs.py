@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from policylens.functions.pmf import once
 from policylens.operators.joins import of_key
 from policylens.operators.reports import in_window
 from policylens.operators.validate import first_problem, validate_logged
@@ -54,8 +55,8 @@ def parse_logged_rows(lines: DataFrame, aggregation: str = "first") -> DataFrame
         raise ValueError("aggregation must be first or sum")
     extra = [c for c in lines.columns if c != "value"]
     doc = F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "bad"})
-    df = clean_lines(lines).select(
-        *extra, "value", doc.alias("r"), F.try_parse_json("value").alias("v")
+    df = once(
+        clean_lines(lines), *extra, "value", doc.alias("r"), F.try_parse_json("value").alias("v")
     )
     keys = F.json_object_keys("value")
     listed = F.try_variant_get("v", "$.eligible", "array<variant>")
@@ -111,7 +112,8 @@ def parse_logged_rows(lines: DataFrame, aggregation: str = "first") -> DataFrame
         ]
     )
     from_events = F.col("r.reward").isNull() & folded.isNotNull()
-    rows = df.select(
+    rows = once(
+        df,
         *extra,
         F.col("r.decisionId").alias("id"),
         F.coalesce("r.tsMs", F.lit(0)).alias("ts_ms"),
@@ -130,9 +132,9 @@ def parse_logged_rows(lines: DataFrame, aggregation: str = "first") -> DataFrame
         shape.alias("shape_problem"),
     )
     checked = validate_logged(rows)
-    return checked.withColumn("problem", F.coalesce("shape_problem", "problem")).drop(
-        "shape_problem"
-    )
+    problem = F.coalesce("shape_problem", "problem").alias("problem")
+    kept = [c for c in checked.columns if c not in ("problem", "shape_problem")]
+    return once(checked, *kept, problem)
 
 
 def read_logged_rows(
@@ -202,19 +204,23 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
     """
     extra = [c for c in lines.columns if c != "value"]
     items = F.try_variant_get(F.try_parse_json("value"), "$.decisions", "array<variant>")
-    raw = clean_lines(lines).select(*extra, F.explode(items).alias("item")).withColumn(
-        "text", F.to_json("item")
+    raw = clean_lines(lines).select(
+        *extra, F.explode(F.transform(items, lambda i: F.to_json(i))).alias("text")
+    )
+    parsed = once(
+        once(
+            raw, *extra,
+            F.from_json("text", UPLOAD_DECISION).alias("d"),
+            F.json_object_keys("text").alias("fields"),
+        ),
+        *extra, "d", "fields", F.from_json("d.input", INPUT).alias("i"),
     )
-    parsed = raw.select(
-        *extra, "text",
-        F.from_json("text", UPLOAD_DECISION).alias("d"),
-        F.json_object_keys("text").alias("fields"),
-    ).withColumn("i", F.from_json("d.input", INPUT))
     seed = F.try_to_number(F.col("d.seed"), F.lit("99999999999999999999"))
     top = F.lit("9223372036854775808").cast("decimal(20,0)")
     signed = F.when(seed < top, seed).otherwise(seed - top - top).cast("bigint")
     has_object = F.col("i.context").isNull() | F.col("i.context").startswith("{")
-    return parsed.select(
+    return once(
+        parsed,
         *extra,
         F.col("d.decisionId").alias("id"),
         F.col("d.tsMs").alias("ts_ms"),
