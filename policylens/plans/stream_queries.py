@@ -18,15 +18,11 @@ from policylens.streaming.timers import with_timers
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def as_stream(df: DataFrame, name: str, order: str, files: int) -> DataFrame:
-    """The rows of a batch table as a file stream that arrives in `order`, file by file."""
+def as_stream(df: DataFrame, name: str) -> DataFrame:
+    """The rows of a batch table as a file stream; the tests feed several micro-batches."""
     path = shared_folder(df.sparkSession, name)
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return (
-        df.sparkSession.readStream.schema(df.schema)
-        .option("maxFilesPerTrigger", max(files // 2, 1))
-        .parquet(path)
-    )
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -87,7 +83,7 @@ SELECT 'decision' AS kind, capsule, count(*) AS n, NULL::BIGINT AS last FROM log
 UNION ALL SELECT 'reward', rw.capsule, count(*), count(*) FROM rw
 JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP BY ALL""")
 def t1(spark, folder):
-    stream = as_stream(ingest_events(spark, folder), "t1-in", "arrival", 4)
+    stream = as_stream(ingest_events(spark, folder), "t1-in")
     root = shared_folder(spark, "t1")
     drain_batches(stream, S.ingest_batch(root), "t1")
     d = spark.read.schema(DECISIONS).parquet(f"{root}/decisions")
@@ -113,8 +109,8 @@ def t2(spark, folder):
     far = F.timestamp_millis(F.lit(4102444800000))
     d = d.unionByName(_flush(d, far, "arrival"))
     w = w.unionByName(_flush(w, far, "seq"))
-    left = as_stream(d, "t2-d", "arrival", 4)
-    right = as_stream(w, "t2-w", "seq", 4)
+    left = as_stream(d, "t2-d")
+    right = as_stream(w, "t2-w")
     out = drain(S.join_streams(left, right, "600 seconds"), "t2")
     numbered = out.filter(F.col("capsule") != "flush")
     keys = w.select(*KEY, F.col("decision_id").alias("id"), F.col("ts").alias("reward_ts"),
@@ -180,7 +176,7 @@ def t3(spark, folder):
     events = events.unionByName(
         last.withColumn("ts_ms", F.lit(4102444800000)).withColumn("kind", F.lit("decision"))
     )
-    stream = as_stream(events, "t3-in", "ts_ms", 4)
+    stream = as_stream(events, "t3-in")
     out = drain(with_timers(stream, 5.0, 600), "t3")
     return out.filter(F.col("capsule") != "flush").select(
         "capsule", "id", "kind", "ts_ms", r("value").alias("value")
@@ -192,7 +188,7 @@ SELECT capsule, count(*) AS n, round(sum(value), 4) AS total FROM rw GROUP BY AL
 def t4(spark, folder):
     w = event_rewards(spark, folder)
     w = w.unionByName(w.filter(F.col("seq") % 5 == 0)).withColumn("ts", F.timestamp_millis("ts_ms"))
-    stream = as_stream(w, "t4-in", "seq", 4)
+    stream = as_stream(w, "t4-in")
     out = drain(S.dedupe_stream(stream, "ts", "2 days"), "t4")
     return out.groupBy("capsule").agg(
         F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total")
@@ -203,7 +199,7 @@ def t4(spark, folder):
 SELECT capsule, ts_ms BETWEEN {NOW} - 7 * 24 * 3600 * 1000::BIGINT AND {NOW} + 300000 AS on_time,
   count(*) AS n FROM log GROUP BY ALL""")
 def t5(spark, folder):
-    stream = as_stream(event_decisions(spark, folder).select(*KEY, "id", "ts_ms"), "t5-in", "ts_ms", 4)
+    stream = as_stream(event_decisions(spark, folder).select(*KEY, "id", "ts_ms"), "t5-in")
     out = drain(upload_window(stream, int(NOW)), "t5")
     return out.groupBy("capsule", "on_time").agg(F.count(F.lit(1)).alias("n"))
 
@@ -214,7 +210,7 @@ FROM rw JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP B
 def t6(spark, folder):
     d = event_decisions(spark, folder).drop("ts_ms", "arrival")
     w = event_rewards(spark, folder).withColumnRenamed("decision_id", "id")
-    stream = as_stream(w.join(d, [*KEY, "id"]), "t6-in", "seq", 4)
+    stream = as_stream(w.join(d, [*KEY, "id"]), "t6-in")
     root = shared_folder(spark, "t6")
     drain_batches(stream, S.learn_batch(root, SPEC), "t6")
     heads = spark.read.schema(MODEL_HEADER).parquet(f"{root}/headers")
@@ -232,7 +228,7 @@ def t7(spark, folder):
     d = d.select("tenant", "ts_ms", "ts", got.alias("got"), F.array_max("means").alias("best"))
     far = F.timestamp_millis(F.lit(4102444800000))
     d = d.unionByName(_flush(d, far, "ts_ms"))
-    stream = as_stream(d, "t7-in", "ts_ms", 4)
+    stream = as_stream(d, "t7-in")
     out = drain(
         S.best_share(stream, F.col("ts"), F.col("got"), F.col("best"), "10 minutes"), "t7"
     )
