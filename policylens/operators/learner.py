@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from policylens.functions import kernels as K
 from policylens.functions.features import uniform_of_seed
-from policylens.functions.pmf import baseline_explore, draw, serving_pmf
+from policylens.functions.pmf import baseline_explore, draw, once, serving_pmf
 from policylens.schema import KEY
 from policylens.spec import PolicySpec
 
@@ -29,49 +30,96 @@ SHARD_ROWS = 1 << 20
 class Nag:
     """State of `models` learners side by side over a compact list of slots.
 
-    Columns of the state are models, rows are slots; `u` is weight times scale, `s` the scale
-    and `a` the accumulated squared gradient over squared scale, all stored as float32 while
-    arithmetic is done in doubles.
+    Rows are slots and columns are models; `u` is weight times scale, `s` the scale and `a` the
+    accumulated squared gradient over squared scale.  They are stored as float32, arithmetic is
+    done in doubles.
     """
 
-    def __init__(self, slots: int, models: int, rate: float) -> None:
-        self.u = np.zeros((slots, models), dtype=np.float32)
-        self.s = np.zeros((slots, models), dtype=np.float32)
-        self.a = np.zeros((slots, models), dtype=np.float32)
-        self.rate = rate
-        self.t = np.zeros(models)
-        self.norm = np.zeros(models)
+    def __init__(self, slots: int, models: int) -> None:
+        self.u, self.s, self.a = (np.zeros((slots, models), dtype=np.float32) for _ in range(3))
+        self.t, self.norm = np.zeros(models), np.zeros(models)
         self.n = np.zeros(models, dtype=np.int64)
 
-    def learn(self, at: np.ndarray, x: np.ndarray, y: float, h: float, on: np.ndarray) -> None:
-        """One example for the models where `on` is 1.0."""
-        s = self.s[at]
-        grown = (np.abs(x)[:, None] > s) & (on > 0)
-        if grown.any():
-            mag = np.broadcast_to(np.abs(x)[:, None], s.shape)
-            ratio = np.where(grown, s.astype(np.float64) / mag, 1.0)
-            self.a[at] = K.clip_float(self.a[at] * (ratio * ratio))
-            s = np.where(grown, mag, s)
-            self.s[at] = s
-        xn = x[:, None] / np.where(s > 0, s, np.inf).astype(np.float64)
-        u = self.u[at].astype(np.float64)
-        gap = (u * xn).sum(axis=0) - y
-        weight = h * on
-        self.t += weight
-        self.norm += weight * (xn * xn).sum(axis=0)
-        self.n += on > 0
-        gradient = (weight * gap) * xn
-        acc = self.a[at] + gradient * gradient
-        stored = acc.astype(np.float32)
-        scale = self.rate * np.sqrt(self.t / np.where(self.norm > 0, self.norm, np.inf))
-        moved = (stored > 0) & (gradient != 0)
-        if moved.all():
-            step = scale * gradient / np.sqrt(acc)
-        else:
-            step = np.where(moved, scale * gradient / np.sqrt(np.where(moved, acc, 1.0)), 0.0)
-            stored = np.where(moved, stored, self.a[at])
-        self.a[at] = stored
-        self.u[at] = (u - step).astype(np.float32)
+    def learn(
+        self, lengths: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, h: np.ndarray,
+        on: np.ndarray, rate: float,
+    ) -> None:
+        """One pass over rows of `lengths` features (`at`, `x`), in order.
+
+        `on` (rows, models) is 1.0 where a model learns from a row.  Scales and normalizers
+        depend on the features only, so they are computed for the whole pass at once; the loop
+        that remains is the one whose steps depend on each other.
+        """
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        scaled, shrink, top = self._scales(row, at, x, on)
+        weight = h[:, None] * on
+        per_row = np.zeros((len(lengths), on.shape[1]))
+        np.add.at(per_row, row, scaled * scaled)
+        t = self.t + np.cumsum(weight, axis=0)
+        norm = self.norm + np.cumsum(weight * per_row, axis=0)
+        speed = rate * np.sqrt(t / np.where(norm > 0, norm, np.inf))
+        models = on.shape[1]
+        both = np.concatenate((self.u, self.a), axis=1)
+        ends = np.cumsum(lengths).tolist()
+        lo = 0
+        for i, hi in enumerate(ends):
+            slots, xn = at[lo:hi], scaled[lo:hi]
+            state = both[slots]
+            u, a = state[:, :models], state[:, models:]
+            if i in shrink:
+                a = a * shrink[i]
+            gap = np.add.reduce(u * xn, 0) - y[i]
+            gradient = (weight[i] * gap) * xn
+            total = gradient * gradient
+            total += a
+            # too small to be stored means no information, hence no step
+            step = gradient / np.sqrt(total + 1e-40)
+            step *= speed[i]
+            state[:, models:] = total
+            state[:, :models] = u - step
+            both[slots] = state
+            lo = hi
+        self.u, self.a = both[:, :models].copy(), both[:, models:].copy()
+        self.s = np.maximum(self.s, top)
+        if len(t):
+            self.t, self.norm = t[-1], norm[-1]
+        self.n = self.n + (on > 0).sum(axis=0)
+
+    def _scales(
+        self, row: np.ndarray, at: np.ndarray, x: np.ndarray, on: np.ndarray
+    ) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+        """Features over the scale in force at their row, the shrink factors of the accumulated
+        gradients where a scale grows, and the largest magnitude per slot and model."""
+        size = np.abs(x).astype(np.float32)[:, None]
+        order = np.argsort(at, kind="stable")
+        seen, first = np.unique(at[order], return_index=True)
+        masked = size[order] * on[row[order]].astype(np.float32)
+        top = np.zeros_like(self.s)
+        top[seen] = np.maximum.reduceat(masked, first, axis=0) if len(seen) else masked
+        low = np.minimum.reduceat(size[order], first, axis=0)[:, 0] if len(seen) else size[:, 0]
+        high = np.maximum.reduceat(size[order], first, axis=0)[:, 0] if len(seen) else low
+        prior = self.s[seen]
+        settled = (prior >= high[:, None]).all(axis=1)
+        fresh = ((prior == 0) | (prior >= high[:, None])).all(axis=1) & (low == high)
+        now = np.maximum(self.s[at], size).astype(np.float64)
+        shrink: dict[int, np.ndarray] = {}
+        edges = np.append(first, len(order))
+        starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(on)))))
+        for j in np.flatnonzero(~(settled | fresh)):
+            entries = order[edges[j]:edges[j + 1]]
+            grown = np.maximum.accumulate(
+                np.vstack((prior[j], size[entries] * on[row[entries]])), axis=0
+            )
+            before, after = grown[:-1], grown[1:]
+            now[entries] = after
+            for e in np.flatnonzero(((after > before) & (before > 0)).any(axis=1)):
+                i = int(row[entries[e]])
+                factor = shrink.setdefault(
+                    i, np.ones((starts[i + 1] - starts[i], on.shape[1]))
+                )
+                ratio = before[e] / np.where(after[e] > 0, after[e], 1)
+                factor[entries[e] - starts[i]] = np.where(before[e] > 0, ratio * ratio, 1.0)
+        return x[:, None] / np.where(now > 0, now, np.inf), shrink, top
 
     def weights(self) -> np.ndarray:
         return np.where(self.s > 0, self.u.astype(np.float64) / np.where(self.s > 0, self.s, 1), 0)
@@ -210,7 +258,7 @@ def _trainer(bits: int, rate: float):
         _, _, pair, slot, value = phi_of(rows, bits, False)
         s_slot = start.column("slot").to_numpy()
         slots = np.unique(np.concatenate((slot, s_slot[s_slot >= 0])))
-        model = Nag(len(slots), 1, rate)
+        model = Nag(len(slots), 1)
         head = s_slot < 0
         body = np.searchsorted(slots, s_slot[~head])
         for name in ("u", "s", "a"):
@@ -220,14 +268,12 @@ def _trainer(bits: int, rate: float):
         n0 = int(start.column("n").to_numpy()[head].sum())
         model.t[0], model.norm[0], model.n[0] = t0, norm0, n0
         before = [getattr(model, name)[:, 0].astype(np.float64) for name in ("u", "s", "a")]
-        at = np.searchsorted(slots, slot)
-        ends = np.searchsorted(pair, np.arange(rows.num_rows + 1))
-        y, h = rows.column("y").to_numpy(), rows.column("h").to_numpy()
-        x = value.astype(np.float64)
-        on = np.ones(1)
-        for i in range(rows.num_rows):
-            lo, hi = ends[i], ends[i + 1]
-            model.learn(at[lo:hi], x[lo:hi], y[i], h[i], on)
+        lengths = np.bincount(pair, minlength=rows.num_rows)
+        model.learn(
+            lengths, np.searchsorted(slots, slot), value.astype(np.float64),
+            rows.column("y").to_numpy(), rows.column("h").to_numpy(),
+            np.ones((rows.num_rows, 1)), rate,
+        )
         size = len(slots)
         last = int(rows.column("seq").to_numpy()[-1])
 
@@ -343,12 +389,74 @@ def score(
     )
 
 
-def prediction_lists(scored: DataFrame, row_key: list[str]) -> DataFrame:
-    """One array per row, aligned with `eligible` (at most 1024 actions)."""
-    ordered = F.array_sort(F.collect_list(F.struct("position", "prediction")))
-    return scored.groupBy(*row_key).agg(
-        F.transform(ordered, lambda e: e["prediction"]).alias("predictions")
+#: Rows of one model that one task scores.
+SCORE_ROWS = 50_000
+
+
+def predict(
+    featurized: DataFrame, slots: DataFrame, model_key: list[str], row_id: list[str], bits: int,
+    shard_rows: int = SCORE_ROWS,
+) -> DataFrame:
+    """Rows with `predictions`, one clamped prediction per eligible action (L4, batch form).
+
+    Rows and slots of a model meet in one grouped task.  A model with many rows is served by
+    several tasks, each with a bounded share of the rows and its own copy of the slots (at most
+    2^bits of them), so one hot model neither fills a task nor needs a broadcast.
+    """
+    shards = featurized.groupBy(*model_key).agg(
+        F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")
+    )
+    rows = featurized.join(shards, model_key).withColumn(
+        "shard", F.pmod(F.xxhash64(*row_id), F.col("shards"))
+    )
+    kept = [c for c in featurized.columns if c != "features"]
+    rows = rows.select(
+        "shard", *kept, F.col("features.x").alias("x"), F.col("features.a").alias("a")
     )
+    weight = F.when(F.col("s") > 0, F.col("u").cast("double") / F.col("s").cast("double"))
+    copies = slots.select(*model_key, "slot", weight.alias("weight")).join(
+        shards, model_key
+    ).select(
+        *[F.col(k).alias(k) for k in model_key],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"),
+        "slot", "weight",
+    )
+    fields = [featurized.schema[c] for c in kept]
+    schema = T.StructType([*fields, T.StructField("predictions", T.ArrayType(T.DoubleType()))])
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0:
+            return pa.Table.from_batches([], schema=_empty(left, kept))
+        per_row, a_row, pair, slot, value = phi_of(left, bits, False)
+        known = right.column("slot").to_numpy()
+        order = np.argsort(known)
+        known = known[order]
+        table = np.nan_to_num(
+            right.column("weight").to_numpy(zero_copy_only=False).astype(np.float64)
+        )[order]
+        weights = np.zeros(len(slot))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, slot), len(known) - 1)
+            weights = np.where(known[at] == slot, table[at], 0.0)
+        total = np.bincount(pair, weights=weights * value, minlength=len(a_row))
+        return left.select(kept).append_column("predictions", lists(per_row, total))
+
+    return (
+        rows.groupBy(*model_key, "shard")
+        .cogroup(copies.groupBy(*model_key, "shard"))
+        .applyInArrow(apply, schema)
+    )
+
+
+def lists(per_row: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    """One list per row of values clamped to the unit interval."""
+    offsets = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.clip(flat, 0.0, 1.0)))
+
+
+def _empty(table: pa.Table, kept: list[str]) -> pa.Schema:
+    fields = [table.schema.field(c) for c in kept]
+    return pa.schema([*fields, pa.field("predictions", pa.list_(pa.float64()))])
 
 
 def decide(
@@ -360,13 +468,10 @@ def decide(
     `requests` carries KEY, id, seed, actions, eligible (see `restrict`), features and, in
     baselineExplore mode, `baseline` (an action id).  Models are found by `model_key`.
     """
-    model_key = model_key or list(KEY)
-    row_key = [*model_key, *(row_id or ["id"])]
-    predictions = prediction_lists(
-        score(requests, slots, row_key, spec.get("learner", "bits")), row_key
-    )
+    model_key, row_id = model_key or list(KEY), row_id or ["id"]
+    requests = requests.drop("model_version")
+    df = predict(requests, slots, model_key, row_id, spec.get("learner", "bits"))
     versions = header.select(*model_key, F.col("n_updates").alias("model_version"))
-    df = requests.drop("model_version").join(predictions, row_key, "left")
     df = df.join(versions, model_key, "left").withColumn(
         "model_version", F.coalesce("model_version", F.lit(0).cast("long"))
     )
@@ -376,8 +481,8 @@ def decide(
         pmf = baseline_explore(F.size("eligible"), position, spec.get("baselineEpsilon"))
     else:
         pmf = serving_pmf(spec, F.col("predictions"), F.col("model_version"))
-    df = df.withColumn("pmf", pmf).withColumn("uniform", uniform_of_seed(F.col("seed")))
-    df = df.withColumn("picked", draw(F.col("pmf"), F.col("uniform")))
+    df = once(df, *df.columns, pmf.alias("pmf"), uniform_of_seed(F.col("seed")).alias("uniform"))
+    df = once(df, *df.columns, draw(F.col("pmf"), F.col("uniform")).alias("picked"))
     return df.select(
         "*",
         F.get("eligible", F.col("picked")).alias("chosen_index"),

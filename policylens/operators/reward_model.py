@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from policylens.operators.learner import Nag, chosen_features, learning_weight, phi_of
+from policylens.operators.learner import Nag, learning_weight, phi_of
 from policylens.schema import KEY
 from policylens.spec import PolicySpec
 
@@ -67,108 +68,110 @@ def cell_means(df: DataFrame, segment: Column, fold: Column, folds: int) -> Data
 
 
 def reward_scale(df: DataFrame, given: tuple[float, float] | None = None) -> DataFrame:
-    """`lo` and `hi` per row: the given range, or the capsule's observed one."""
+    """Adds `lo` and `hi`: the given range, or the capsule's observed one."""
     if given is not None:
-        lo, hi = given
-        if not (np.isfinite(hi - lo) and lo < hi):
-            raise ValueError("a reward range is two finite numbers lo < hi")
-        return df.withColumn("lo", F.lit(float(lo))).withColumn("hi", F.lit(float(hi)))
-    return df.join(observed_range(df), KEY)
-
-
-def observed_range(df: DataFrame) -> DataFrame:
-    """Observed reward range per capsule; a constant reward is widened."""
-    half = F.greatest(F.abs("low") * 1e-6, F.lit(0.5))
-    flat = F.col("low") == F.col("high")
-    return (
-        df.filter(F.col("reward").isNotNull())
-        .groupBy(*KEY)
-        .agg(F.min("reward").alias("low"), F.max("reward").alias("high"))
-        .select(
-            *KEY,
-            F.when(flat, F.col("low") - half).otherwise(F.col("low")).alias("lo"),
-            F.when(flat, F.col("high") + half).otherwise(F.col("high")).alias("hi"),
-        )
-    )
+        return df.select("*", *scale_columns(given))
+    seen = df.groupBy(*KEY).agg(F.min("reward").alias("low"), F.max("reward").alias("high"))
+    return df.join(seen.select(*KEY, *scale_columns(None)), KEY)
 
 
 def cross_fit(
     df: DataFrame, spec: PolicySpec, fold: Column, folds: int,
     with_context: bool = True, passes: list[float] | None = None,
-    shard_rows: int = SHARD_ROWS, in_sample: bool = False, order: tuple[str, str] = ("ts_ms", "id"),
+    given: tuple[float, float] | None = None, shard_rows: int = SHARD_ROWS,
+    in_sample: bool = False, order: tuple[str, str] = ("ts_ms", "id"),
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Out-of-fold predictions of the hashed linear learner.
 
-    Needs `features`, `lo`, `hi` and the logged columns.  Adds `rhat_norm` (clamped, unit
-    scale), `rhat` (raw units) and `n_updates` of the model used.  A capsule with more than
-    `shard_rows` rows is cut into shards by id hash; each shard is cross-fitted on its own, so
-    a task holds a bounded number of rows however large the capsule is.
+    Needs `features` and the logged columns.  Adds `rhat_norm` (clamped, unit scale), `rhat` (raw
+    units) and `n_updates` of the model used; `keep` names the columns that are carried along
+    (by default all but the feature columns).  A capsule with more than `shard_rows` rows is cut
+    into shards by id hash; each shard is cross-fitted on its own, so a task holds a bounded
+    number of rows however large the capsule is, and every row is still trained on and scored.
     """
     passes = passes or (ANNEALED_PASSES if with_context else ENGINE_PASSES)
-    sizes = df.groupBy(*KEY).agg(
-        F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")
+    keep = keep or [c for c in df.columns if c not in ("features", "context", "derived")]
+    stats = df.groupBy(*KEY).agg(
+        F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"),
+        F.min("reward").alias("low"), F.max("reward").alias("high"),
     )
-    y = F.least(F.greatest((F.col("reward") - F.col("lo")) / (F.col("hi") - F.col("lo")),
-                           F.lit(0.0)), F.lit(1.0))
+    scale = stats.select(*KEY, "shards", *scale_columns(given))
+    unit = (F.col("reward") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     position = F.array_position("eligible", F.col("chosen_index")).cast("int") - 1
-    rows = df.join(sizes, KEY).select(
-        *KEY,
+    rows = df.join(scale, KEY).select(
         F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"),
-        "id",
-        F.col(order[0]).alias("order"),
-        fold.cast("int").alias("fold"),
-        y.alias("y"),
-        learning_weight(spec, F.col("probability")).alias("h"),
-        position.alias("chosen"),
+        *keep,
+        *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)],
+        "lo", "hi",
+        fold.cast("int").alias("fold_"),
+        F.least(F.greatest(unit, F.lit(0.0)), F.lit(1.0)).alias("y_"),
+        learning_weight(spec, F.col("probability")).alias("h_"),
+        position.alias("chosen_"),
         F.col("features.x").alias("x"),
         F.col("features.a").alias("a"),
     )
-    bits, rate = spec.get("learner", "bits"), float(spec.get("learner", "learningRate"))
-    kernel = _cross_fitter(bits, rate, folds, with_context, passes, in_sample)
-    fitted = rows.groupBy(*KEY, "shard").applyInArrow(
-        kernel,
-        "tenant string, job string, capsule string, id string, "
-        "rhat_norm array<double>, n_updates bigint",
+    schema = T.StructType(
+        [
+            *[df.schema[c] for c in keep],
+            T.StructField("rhat_norm", T.ArrayType(T.DoubleType())),
+            T.StructField("rhat", T.ArrayType(T.DoubleType())),
+            T.StructField("n_updates", T.LongType()),
+        ]
     )
-    raw = F.transform("rhat_norm", lambda p: F.col("lo") + p * (F.col("hi") - F.col("lo")))
-    return df.join(fitted, [*KEY, "id"]).withColumn("rhat", raw)
+    bits, rate = spec.get("learner", "bits"), float(spec.get("learner", "learningRate"))
+    kernel = _cross_fitter(bits, rate, folds, with_context, passes, in_sample, keep)
+    return rows.groupBy(*KEY, "shard").applyInArrow(kernel, schema)
+
+
+def scale_columns(given: tuple[float, float] | None) -> list[Column]:
+    """`lo` and `hi`: the given range, or the observed `low` and `high`; a constant reward is
+    widened (P3)."""
+    if given is not None:
+        lo, hi = given
+        if not (np.isfinite(hi - lo) and lo < hi):
+            raise ValueError("a reward range is two finite numbers lo < hi")
+        return [F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")]
+    half = F.greatest(F.abs("low") * 1e-6, F.lit(0.5))
+    flat = F.col("low") == F.col("high")
+    return [
+        F.when(flat, F.col("low") - half).otherwise(F.col("low")).alias("lo"),
+        F.when(flat, F.col("high") + half).otherwise(F.col("high")).alias("hi"),
+    ]
 
 
 def _cross_fitter(
-    bits: int, rate: float, folds: int, with_context: bool, passes: list[float], in_sample: bool
+    bits: int, rate: float, folds: int, with_context: bool, passes: list[float], in_sample: bool,
+    keep: list[str],
 ):
     def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("order", "ascending"), ("id", "ascending")])
+        table = table.sort_by([("order_0", "ascending"), ("order_1", "ascending")])
         per_row, a_row, pair, slot, value = phi_of(table, bits, with_context)
         slots, at = np.unique(slot, return_inverse=True)
         first_pair = np.concatenate(([0], np.cumsum(per_row)))[:-1]
-        chosen = first_pair + table.column("chosen").to_numpy()
-        edges = np.searchsorted(pair, np.arange(len(a_row) + 1))
-        begin, end = edges[chosen], edges[chosen + 1]
-        y, h = table.column("y").to_numpy(), table.column("h").to_numpy()
-        fold = table.column("fold").to_numpy()
+        chosen = first_pair + table.column("chosen_").to_numpy()
+        is_chosen = np.zeros(len(a_row), dtype=bool)
+        is_chosen[chosen] = True
+        used = is_chosen[pair]
+        lengths = np.bincount(pair, minlength=len(a_row))[chosen]
+        y, h = table.column("y_").to_numpy(), table.column("h_").to_numpy()
+        fold = table.column("fold_").to_numpy()
         x = value.astype(np.float64)
-        masks = np.ones((folds, folds)) if in_sample else 1.0 - np.eye(folds)
-        model = Nag(len(slots), folds, rate)
+        on = np.ones((len(fold), folds))
+        if not in_sample:
+            on[np.arange(len(fold)), fold] = 0.0
+        model = Nag(len(slots), folds)
         for multiple in passes:
-            model.rate = rate * multiple
-            for i in range(table.num_rows):
-                lo, hi = begin[i], end[i]
-                model.learn(at[lo:hi], x[lo:hi], y[i], h[i], masks[fold[i]])
+            model.learn(lengths, at[used], x[used], y, h, on, rate * multiple)
         weights = model.weights()
         picked = weights[at, fold[a_row[pair]]] * x
-        total = np.bincount(pair, weights=picked, minlength=len(a_row))
-        offsets = np.concatenate(([0], np.cumsum(per_row))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.clip(total, 0.0, 1.0)))
-        return pa.table(
-            [table.column(k) for k in (*KEY, "id")] + [lists, pa.array(model.n[fold])],
-            names=[*KEY, "id", "rhat_norm", "n_updates"],
-        )
+        unit = np.clip(np.bincount(pair, weights=picked, minlength=len(a_row)), 0.0, 1.0)
+        lo, hi = table.column("lo").to_numpy()[a_row], table.column("hi").to_numpy()[a_row]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(per_row))).astype(np.int32))
+        out = table.select(keep)
+        out = out.append_column("rhat_norm", pa.ListArray.from_arrays(offsets, pa.array(unit)))
+        raw = pa.array(lo + unit * (hi - lo))
+        out = out.append_column("rhat", pa.ListArray.from_arrays(offsets, raw))
+        return out.append_column("n_updates", pa.array(model.n[fold]))
 
     return fit
-
-
-__all__ = [
-    "ANNEALED_PASSES", "ENGINE_PASSES", "cell_means", "chosen_features", "cross_fit",
-    "observed_range", "reward_scale",
-]

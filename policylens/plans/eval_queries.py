@@ -196,9 +196,9 @@ def o7(spark, folder):
 
 
 def linear(spark: SparkSession, folder: str, **options) -> DataFrame:
-    scaled = reward_scale(X.featurize(rows(spark, folder), options.pop("declared", None)))
+    d = X.featurize(rows(spark, folder), options.pop("declared", None))
     spec = options.pop("spec", PolicySpec.of())
-    return cross_fit(scaled, spec, X.fold_of(F.col("id"), 5), 5, **options)
+    return cross_fit(d, spec, X.fold_of(F.col("id"), 5), 5, **options)
 
 
 @query("O6_policy_spec")

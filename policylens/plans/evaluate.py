@@ -13,8 +13,9 @@ from policylens.operators.bootstrap import with_bootstrap
 from policylens.operators.estimators import eval_rows, metrics, terms, warnings
 from policylens.operators.gates import verdicts
 from policylens.operators.policies import Target, action_constants, sweep
-from policylens.operators.reward_model import cell_means, cross_fit, reward_scale
+from policylens.operators.reward_model import cell_means, cross_fit
 from policylens.operators.validate import data_summary
+from policylens.session import checkpointed
 from policylens.spec import PolicySpec
 
 
@@ -40,9 +41,8 @@ class EvalConfig:
 
 def with_linear_model(rows: DataFrame, config: EvalConfig, fold: Column | None = None) -> DataFrame:
     """Rows with the cross-fitted hashed linear reward model as `rhat`."""
-    scaled = reward_scale(featurize(rows), config.reward_range)
     fold = fold_of(F.col("id"), config.folds) if fold is None else fold
-    return cross_fit(scaled, config.spec, fold, config.folds)
+    return cross_fit(featurize(rows), config.spec, fold, config.folds, given=config.reward_range)
 
 
 def with_cell_model(
@@ -68,6 +68,9 @@ def evaluate(
     rows = model(eval_rows(logged))
     swept = action_constants(rows) if targets is None else sweep(rows, targets)
     t = terms(swept, config.w_max)
+    if config.bootstrap:
+        # narrow rows that two aggregations read: fit and weigh once, read twice
+        t = checkpointed(t)
     m = metrics(t)
     if config.bootstrap:
         m = with_bootstrap(m, t, config.bootstrap, config.seed)

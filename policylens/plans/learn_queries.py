@@ -13,7 +13,8 @@ from policylens.operators.uploads import verify_uploads
 from policylens.plans import oracle as O
 from policylens.plans.log_queries import LOG, NOW, logged
 from policylens.plans.registry import query, r, rounded
-from policylens.plans.sample_log import event_decisions, event_rewards, table
+from policylens.plans.sample_log import event_decisions as all_decisions
+from policylens.plans.sample_log import event_rewards, spread, table
 from policylens.schema import KEY
 from policylens.session import checkpointed, shared_folder
 from policylens.sources import dsjson, exports, logs
@@ -23,6 +24,10 @@ BITS = 12
 SPEC = PolicySpec.of({"learner": {"bits": BITS}, "reward": {"range": [0.0, 500.0]}})
 
 
+def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(all_decisions(spark, folder))
+
+
 # --- features ----------------------------------------------------------------------------
 
 @query("F1_flatten_features", LOG + """

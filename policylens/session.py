@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # do not record the Python call site of every Column; it doubles the time to build a plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
