@@ -57,31 +57,43 @@ class GateError(ValueError):
     """A check cannot be read."""
 
 
-def _metric(name: str) -> Column:
+def _known(name: str) -> str:
     if name not in METRICS:
         if name.startswith(("dm.", "lift.dm.")):
             raise GateError(f"{name}: DM has no interval; gate on dr instead")
         raise GateError(f"unknown metric {name}")
-    value = F.col(METRICS[name]).cast("double")
-    return F.when(~F.isnan(value), value)  # undefined is NULL, and NULL fails
+    return METRICS[name]
 
 
-def gate(text: str) -> Column:
-    """One check as a struct column: check, left, right, pass."""
+def parse_check(text: str) -> tuple[str, str, str | float, float]:
+    """(metrics column, operator, column or number, offset) of a check."""
     found = CHECK.fullmatch(text)
     if not found:
         raise GateError(f"{text!r}: expected metric op (metric or number) [+- number]")
     if found["right"]:
-        right = _metric(found["right"])
+        right: str | float = _known(found["right"])
     else:
-        right = F.lit(float(found["value"].replace(" ", "")))
+        right = float(found["value"].replace(" ", ""))
     offset = float(found["offset"] or 0) * (-1 if found["sign"] == "-" else 1)
-    left, right = _metric(found["left"]), right + F.lit(offset)
+    return _known(found["left"]), found["op"], right, offset
+
+
+def gate(text: str) -> Column:
+    """One check as a struct column: check, left, right, pass."""
+    left_name, op, right_value, offset = parse_check(text)
+
+    def metric(name: str) -> Column:
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)  # undefined is NULL, and NULL fails
+
+    left = metric(left_name)
+    right = metric(right_value) if isinstance(right_value, str) else F.lit(right_value)
+    right = right + F.lit(offset)
     return F.struct(
         F.lit(text.strip()).alias("check"),
         left.alias("left"),
         right.alias("right"),
-        F.coalesce(COMPARE[found["op"]](left, right), F.lit(False)).alias("pass"),
+        F.coalesce(COMPARE[op](left, right), F.lit(False)).alias("pass"),
     )
 
 
@@ -106,7 +118,7 @@ def read_gates(text: str, as_json: bool = False) -> list[str]:
             raise GateError("gates must be a list of check strings")
         items = [line[2:].strip().strip("\"'") for line in lines]
     for item in items:
-        gate(item)
+        parse_check(item)
     return items
 
 
