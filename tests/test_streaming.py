@@ -1,12 +1,12 @@
 """Streams in several micro-batches, replays of a batch, and timers."""
 
-import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 from test_log import decision, decisions, reward, rewards
 
-from policylens.plans.stream_queries import ROCKS, drain_batches
+from policylens.plans.stream_queries import ROCKS
 from policylens.schema import DECISIONS, REWARDS
 from policylens.streaming.ingest import ingest_batch
 from policylens.streaming.timers import with_timers
@@ -32,6 +32,7 @@ def test_ingest_over_batches(spark, tmp_path):
         events(spark, decisions(spark, decision("b", 11), decision("c", 12)),
                rewards(spark, reward("a", 0, 9, ts=13), reward("c", 0, 2, ts=14))),
     ]
+    os.makedirs(source)
     stream = spark.readStream.schema(batches[0].schema).parquet(source)
     for b in batches:
         b.write.mode("append").parquet(source)
@@ -64,6 +65,7 @@ def test_timers(spark, tmp_path, mode):
 
     def batch(*rows):
         df = spark.createDataFrame([("t", "j", "c", *r) for r in rows], schema)
+        df = df.withColumn("ts_ms", F.col("ts_ms") + 1_700_000_000_000)
         return df.withColumn("ts", F.timestamp_millis("ts_ms"))
 
     batches = [
@@ -77,6 +79,7 @@ def test_timers(spark, tmp_path, mode):
         batch(("far", "decision", 60 * 24 * 3 * minute, None, None)),
     ]
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    os.makedirs(source)
     stream = with_timers(
         spark.readStream.schema(batches[0].schema).parquet(source), 0.5, 600, mode
     )
@@ -87,10 +90,14 @@ def test_timers(spark, tmp_path, mode):
             .option("checkpointLocation", state).trigger(availableNow=True).start()
         )
         q.awaitTermination()
-    got = sorted(
+    def order(r):
+        return r[0], r[1], r[2] or 0, r[3] or ""
+
+    got = [
         (r["id"], r["kind"], r["value"], r["idempotency_key"])
         for r in spark.read.parquet(out).collect() if r["id"] != "far"
-    )
+    ]
+
     def key(i, k):
         return i if mode == "first" else k
 
@@ -103,5 +110,4 @@ def test_timers(spark, tmp_path, mode):
     ]
     if mode == "sum":
         want += [("a", "reward", 1.0, "k3"), ("b", "reward", 7.0, "late")]
-    assert got == sorted(want, key=lambda r: (r[0], r[1], r[2] or 0, r[3] or ""))
-    assert json and drain_batches
+    assert sorted(got, key=order) == sorted(want, key=order)
