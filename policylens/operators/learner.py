@@ -21,6 +21,7 @@ from policylens.functions import kernels as K
 from policylens.functions.features import uniform_of_seed
 from policylens.functions.pmf import baseline_explore, draw, once, serving_pmf
 from policylens.schema import KEY
+from policylens.session import attach, checkpointed
 from policylens.spec import PolicySpec
 
 #: Rewards of one capsule that one task learns from in sequence.
@@ -50,11 +51,13 @@ class Nag:
         depend on the features only, so they are computed for the whole pass at once; the loop
         that remains is the one whose steps depend on each other.
         """
+        if not len(lengths):
+            return
         row = np.repeat(np.arange(len(lengths)), lengths)
         scaled, shrink, top = self._scales(row, at, x, on)
         weight = h[:, None] * on
-        per_row = np.zeros((len(lengths), on.shape[1]))
-        np.add.at(per_row, row, scaled * scaled)
+        # every row has at least its bias, so no stretch is empty
+        per_row = np.add.reduceat(scaled * scaled, np.cumsum(lengths) - lengths, axis=0)
         t = self.t + np.cumsum(weight, axis=0)
         norm = self.norm + np.cumsum(weight * per_row, axis=0)
         speed = rate * np.sqrt(t / np.where(norm > 0, norm, np.inf))
@@ -81,8 +84,7 @@ class Nag:
             lo = hi
         self.u, self.a = both[:, :models].copy(), both[:, models:].copy()
         self.s = np.maximum(self.s, top)
-        if len(t):
-            self.t, self.norm = t[-1], norm[-1]
+        self.t, self.norm = t[-1], norm[-1]
         self.n = self.n + (on > 0).sum(axis=0)
 
     def _scales(
@@ -406,7 +408,8 @@ def predict(
     shards = featurized.groupBy(*model_key).agg(
         F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards")
     )
-    rows = featurized.join(shards, model_key).withColumn(
+    shards = checkpointed(shards)
+    rows = attach(featurized, shards, model_key).withColumn(
         "shard", F.pmod(F.xxhash64(*row_id), F.col("shards"))
     )
     kept = [c for c in featurized.columns if c != "features"]
@@ -414,9 +417,8 @@ def predict(
         "shard", *kept, F.col("features.x").alias("x"), F.col("features.a").alias("a")
     )
     weight = F.when(F.col("s") > 0, F.col("u").cast("double") / F.col("s").cast("double"))
-    copies = slots.select(*model_key, "slot", weight.alias("weight")).join(
-        shards, model_key
-    ).select(
+    weighted = slots.select(*model_key, "slot", weight.alias("weight"))
+    copies = attach(weighted, shards, model_key).select(
         *[F.col(k).alias(k) for k in model_key],
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"),
         "slot", "weight",

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from policylens.operators.learner import Nag, learning_weight, phi_of
 from policylens.schema import KEY
+from policylens.session import attach
 from policylens.spec import PolicySpec
 
 # Multiples of the learning rate, one pass over the rows each.
@@ -72,7 +73,7 @@ def reward_scale(df: DataFrame, given: tuple[float, float] | None = None) -> Dat
     if given is not None:
         return df.select("*", *scale_columns(given))
     seen = df.groupBy(*KEY).agg(F.min("reward").alias("low"), F.max("reward").alias("high"))
-    return df.join(seen.select(*KEY, *scale_columns(None)), KEY)
+    return attach(df, seen.select(*KEY, *scale_columns(None)), KEY)
 
 
 def cross_fit(
@@ -99,7 +100,7 @@ def cross_fit(
     scale = stats.select(*KEY, "shards", *scale_columns(given))
     unit = (F.col("reward") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     position = F.array_position("eligible", F.col("chosen_index")).cast("int") - 1
-    rows = df.join(scale, KEY).select(
+    rows = attach(df, scale, KEY).select(
         F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"),
         *keep,
         *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)],

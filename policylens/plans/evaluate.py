@@ -15,6 +15,7 @@ from policylens.operators.gates import verdicts
 from policylens.operators.policies import Target, action_constants, sweep
 from policylens.operators.reward_model import cell_means, cross_fit
 from policylens.operators.validate import data_summary
+from policylens.schema import KEY
 from policylens.session import checkpointed
 from policylens.spec import PolicySpec
 
@@ -39,10 +40,22 @@ class EvalConfig:
             raise ValueError("w_max must be at least 1")
 
 
+#: What policies and estimators read of a row.
+CARRIED = [
+    *KEY, "id", "actions", "eligible", "pmf", "chosen_index", "probability", "reward", "target_pmf",
+]
+
+
 def with_linear_model(rows: DataFrame, config: EvalConfig, fold: Column | None = None) -> DataFrame:
     """Rows with the cross-fitted hashed linear reward model as `rhat`."""
     fold = fold_of(F.col("id"), config.folds) if fold is None else fold
-    return cross_fit(featurize(rows), config.spec, fold, config.folds, given=config.reward_range)
+    # past this point only the ids of the actions matter, and few columns
+    ids = F.transform("actions", lambda a: F.struct(a["id"].alias("id")))
+    ready = featurize(rows).withColumn("actions", ids)
+    keep = [c for c in CARRIED if c in ready.columns]
+    return cross_fit(
+        ready, config.spec, fold, config.folds, given=config.reward_range, keep=keep
+    )
 
 
 def with_cell_model(

@@ -1,4 +1,4 @@
-"""Session settings and the one place that cuts lineage."""
+"""Session settings, the one place that cuts lineage, and size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings the jobs are written for.  AQE turns a shuffled join into a broadcast join only
 #: after it has measured the small side, and splits join partitions held by a hot key.
@@ -40,26 +41,43 @@ def local_session(cores: str = "8", app: str = "policylens", **extra: str) -> Sp
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialize `df` in the cluster's shared checkpoint folder.
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder.
 
-    The folder comes from `spark.checkpoint.dir`.  Only a local session without one gets a
-    temporary folder; on a cluster a missing setting is an error, because a folder on one
-    machine would be lost with it.
+    It comes from `spark.checkpoint.dir`.  Only a local session without one gets a temporary
+    folder; on a cluster a missing setting is an error, because a folder on one machine would be
+    lost with it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="policylens-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialize `df` in the shared folder and end its lineage there."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, inside the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        checkpointed(spark.range(1))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Rows up to which a table with one row per key is copied to every executor.
+BROADCAST_ROWS = 100_000
+
+
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """`df` joined to a table with one row per key, without moving `df` when that is safe.
+
+    The table is written once and its rows are counted: a small one is broadcast, a large one
+    is joined by shuffle, where AQE splits hot keys.
+    """
+    per_key = checkpointed(per_key)
+    small = per_key.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(per_key) if small else per_key, keys)
