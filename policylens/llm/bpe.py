@@ -13,15 +13,17 @@ import base64
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
-from policylens.llm.common import with_columns
+from policylens.llm.common import column
 
 #: Distinct pre-tokens that a task remembers before it starts afresh.
-CACHE = 300_000
+CACHE = 200_000
+#: Texts that are encoded before their ids leave the task.
+ROWS = 128
 
 
 def byte_characters() -> list[str]:
@@ -69,62 +71,62 @@ def serialised_model(tokens: list[bytes]) -> bytes:
     return b"".join(_field(1, p) for p in pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
-def encoder(tokens: list[bytes], pattern: str):
-    """A Column function: text to ids, as little-endian unsigned 32-bit integers in a row (null: none)."""
-    model = serialised_model(tokens)
+class Encoder:
+    """Text to ids, as little-endian unsigned 32-bit integers in a row.  Pre-tokens met before are remembered."""
 
-    @F.pandas_udf(BinaryType())
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def __init__(self, model: bytes, pattern: str) -> None:
         import regex
         import sentencepiece
 
-        processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        split = regex.compile(pattern).findall
-        table = dict(enumerate(byte_characters()))
-        known: dict[str, bytes] = {}
-
-        def ids(text: str | None) -> bytes:
-            parts = split(text) if text else []
-            if new := list(set(parts).difference(known)):
-                mapped = [p.encode().decode("latin-1").translate(table) for p in new]
-                for part, got in zip(new, processor.encode(mapped, num_threads=1), strict=True):
-                    known[part] = struct.pack(f"<{len(got)}I", *got)
-            out = b"".join(map(known.__getitem__, parts))
-            if len(known) > CACHE:
-                known.clear()
-            return out
-
-        for series in texts:
-            yield series.map(ids, na_action=None)
-
-    return encode
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.split = regex.compile(pattern).findall
+        self.table = dict(enumerate(byte_characters()))
+        self.known: dict[str, bytes] = {}
 
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text; none for null."""
+        parts = self.split(text) if text else []
+        if new := list(set(parts).difference(self.known)):
+            mapped = [p.encode().decode("latin-1").translate(self.table) for p in new]
+            for part, got in zip(new, self.processor.encode(mapped, num_threads=1), strict=True):
+                self.known[part] = struct.pack(f"<{len(got)}I", *got)
+        out = b"".join(map(self.known.__getitem__, parts))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        return out
 
-def decoder(tokens: list[bytes]):
-    """A Column function: ids to the bytes they stand for."""
 
-    @F.pandas_udf(BinaryType())
-    def decode(encoded: pd.Series) -> pd.Series:
-        import numpy as np
+def decode(ids: bytes, tokens: list[bytes]) -> bytes:
+    """The bytes that ids stand for."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-        of = tokens.__getitem__
-        return encoded.map(lambda x: b"".join(map(of, np.frombuffer(x or b"", "<u4").tolist())))
 
-    return decode
-
-
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """`docs` with `token_ids` (binary, four bytes an id), `n_tokens` and `decoded` (binary).
+def encode_documents(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """`keep` (default: all columns) with `token_ids` (binary, four bytes an id), `n_tokens` and `decoded` (binary).
 
     A null text counts as empty: no ids, empty `decoded`.  Texts of any length are encoded whole.
     Every row is encoded by itself, so repeated rows and null ids need no rule.  Columns of `docs`
     named like a new one are replaced.
     """
     tokens = read_ranks(path)
-    ids: Column = encoder(tokens, pattern)(F.col(f"`{text}`"))
-    encoded = with_columns(docs, token_ids=ids)
-    return with_columns(
-        encoded,
-        n_tokens=(F.octet_length("token_ids") / 4).cast("long"),
-        decoded=decoder(tokens)(F.col("token_ids")),
-    )
+    model = serialised_model(tokens)
+    kept = [c for c in keep or docs.columns if c.lower() not in ("token_ids", "n_tokens", "decoded")]
+    held = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(model, pattern)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                ids = [encoder.encode(t) for t in column(part, "text").to_pylist()]
+                back = [decode(x, tokens) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [column(part, "row"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
+                    ["row", "token_ids", "decoded"],
+                )
+
+    out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, token_ids binary, decoded binary")
+    n_tokens = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "token_ids", n_tokens, "decoded")

@@ -81,8 +81,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode_documents(docs, *byte_vocabulary()).select(
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode_documents(docs, *byte_vocabulary(), keep=["doc_id"]).select(
         "doc_id",
         "n_tokens",
         F.sha2("token_ids", 256).alias("ids_sha256"),
