@@ -130,3 +130,86 @@ def blocks(texts: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[li
             size += len(part)
     if parts:
         yield numbers, offsets, parts
+
+
+#: Cells that a task holds to combine equal ones before they are shuffled.
+HELD = 1_000_000
+#: What a row of `cell_rows` is: a cell that has to be looked up, notice that a gram has several covers,
+#: a cell of such a gram, a copy of another cell of the task.
+ALONE, NOTICE, KNOWN, COPY = range(4)
+#: Bits of a packed number: kind, whether the task holds a copy, window starts; the offset is above them.
+KIND_BITS, N_BITS = 2, 21
+
+CELL_SCHEMA = "g long, cover long, doc {id}, loc long, bits long"
+
+
+def byte_blocks(texts: Iterator[tuple[int, bytes]], length: int):
+    """Symbol values of byte texts, block by block: (numbers, offsets, values, ends)."""
+    for numbers, offsets, parts in blocks(texts, length):
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        yield numbers, offsets, BYTE_VALUES[:, flat], np.append(0, np.cumsum([len(p) for p in parts]))
+
+
+def word_blocks(texts: Iterator[tuple[int, bytes]], length: int, powers: Powers):
+    """The same with words (runs of what is not ASCII white space) as symbols."""
+
+    def short() -> Iterator[tuple[int, int, bytes]]:
+        for number, text in texts:
+            if len(text) <= BLOCK:
+                yield number, 0, text
+                continue
+            words = text.split()
+            step = BLOCK // 8
+            for at in range(0, max(1, len(words) - length + 1), step):
+                yield number, at, b" ".join(words[at : at + step + length - 1])
+
+    def put_together():
+        numbers, offsets, parts, size = [], [], [], 0
+        for number, offset, part in short():
+            if size and size + len(part) > BLOCK:
+                yield numbers, offsets, parts
+                numbers, offsets, parts, size = [], [], [], 0
+            numbers.append(number)
+            offsets.append(offset)
+            parts.append(part)
+            size += len(part)
+        if parts:
+            yield numbers, offsets, parts
+
+    for numbers, offsets, parts in put_together():
+        flat = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        space = (flat == 32) | ((flat >= 9) & (flat <= 13))
+        edge = np.diff(np.concatenate([[1], space.astype(np.int8), [1]]))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        names = [Names(BYTE_VALUES[k][flat], k, powers).of(start, end) for k in (0, 1)]
+        ends = np.searchsorted(start, np.append(0, np.cumsum([len(p) + 1 for p in parts])))
+        yield numbers, offsets, np.stack(names), ends
+
+
+def combined(g, cover, doc, loc, n, offset) -> dict[str, np.ndarray]:
+    """Rows for the cells of one task: equal ones are combined, and a gram that the task already knows
+    with several covers is announced once, so that no key brings many rows from one task.
+
+    `doc` numbers the documents in the order of their ids, so the first of equal cells is the earliest.
+    """
+    order = np.lexsort((loc, doc, cover, g))
+    g, cover, doc, loc, n, offset = (x[order] for x in (g, cover, doc, loc, n, offset))
+    same_class = np.append(False, (np.diff(g) == 0) & (np.diff(cover) == 0))
+    repeated_row = same_class & np.append(False, (np.diff(doc) == 0) & (np.diff(loc) == 0))
+    g, cover, doc, loc, n, offset, same_class = (x[~repeated_row] for x in (g, cover, doc, loc, n, offset, same_class))
+    new_gram = np.append(True, np.diff(g) != 0)[: len(g)]
+    gram_no = np.cumsum(new_gram) - 1
+    covers = np.bincount(gram_no, ~same_class)[gram_no] if len(g) else np.zeros(0)
+    kind = np.where(same_class, COPY, np.where(covers > 1, KNOWN, ALONE))
+    has_copy = np.append(same_class[1:], False)[: len(g)] & ~same_class
+    scattered = mixed(loc.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = np.where(kind == COPY, scattered, np.where(kind == KNOWN, g ^ cover, g))
+    bits = kind | has_copy.astype(np.int64) << KIND_BITS | n << (KIND_BITS + 1) | offset << (KIND_BITS + 1 + N_BITS)
+    told = new_gram & (covers > 1)
+    return {
+        "g": np.concatenate([key, g[told]]),
+        "cover": np.concatenate([cover, cover[told]]),
+        "doc": np.concatenate([doc, doc[told]]),
+        "loc": np.concatenate([loc, loc[told]]),
+        "bits": np.concatenate([bits, np.full(told.sum(), NOTICE, np.int64)]),
+    }

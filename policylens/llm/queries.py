@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylens.llm import bpe, decontaminate, langid, quality, simhash, toxicity
+from policylens.llm import bpe, decontaminate, langid, quality, simhash, substrings, suffix_array, toxicity
 from policylens.llm.common import bucket_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,33 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_suffix_array")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+with doc_words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + 19], ' ') as win
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from doc_words)),
+later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as k from windows) where k > 1),
+gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as k from later),
+cut as (select doc_id, list(k) as ks, count(*) as n_removed from gone group by doc_id),
+kept as (
+  select doc_id, string_agg(word, ' ' order by k) as words
+  from (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as k from doc_words) anti join gone using (doc_id, k)
+  group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(words, '')) as kept_sha256
+from doc_words left join cut using (doc_id) left join kept using (doc_id)
+"""
+
+
+@query("op7_substrings", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
