@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylens.llm import bpe, decontaminate, langid, quality, simhash, substrings, suffix_array, toxicity
+from policylens.llm import bpe, decontaminate, langid, quality, simhash, substrings, suffix_array, topk, toxicity
 from policylens.llm.common import bucket_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,3 +166,22 @@ from doc_words left join cut using (doc_id) left join kept using (doc_id)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as x from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+scored as (
+  select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.x, v.x) as bigint) as score
+  from v as q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.x) = len(v.x))
+select query_id, cast(k as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as k from scored) where k <= 10
+"""
+
+
+@query("op2_top_k", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("x"))
+    return topk.search(rows, rows.where(F.col("id") % 100 == 0), 10)
