@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylens.llm import bpe, decontaminate, langid, quality, simhash, substrings, suffix_array, topk, toxicity
+from policylens.llm import bpe, decontaminate, langid, quality, revisits, simhash, substrings, suffix_array, topk, toxicity
 from policylens.llm.common import bucket_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,52 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("x"))
     return topk.search(rows, rows.where(F.col("id") % 100 == 0), 10)
+
+
+OP8_SQL = r"""
+with cut as (
+  select page_id as p, coalesce(html, '') as html,
+    regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages),
+parts as (
+  select p, html, regexp_extract(bare, '^[^/?]*') as host,
+    substring(bare, length(regexp_extract(bare, '^[^/?]*')) + 1) as rest from cut),
+keyed as (
+  select p, html,
+    regexp_replace(regexp_replace(lower(host), '^www[.]', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(regexp_replace(regexp_replace(rest, '([?&])utm_[a-z]+=[^&]*', '\1', 'g'),
+       '[?]&+', '?', 'g'), '&&+', '&', 'g'), '[?&/]+$', '') as url_key,
+    '"' || substring(md5(html), 1, 12) || '"' as tag, 'T' || cast(p * 10 - p % 7 as varchar) as changed from parts),
+records as (
+  select 2 * p as record_id, url_key, p * 10 as ts, false as asks, p % 17 <> 0 as is_full, tag, changed,
+    strlen(html) as size, sha256(html) as digest from keyed
+  union all
+  select 2 * p + 1, url_key, p * 10 + 5 + p % 3 * 40000, true, false,
+    case p % 5 when 0 then null when 1 then 'W/' || tag when 2 then '"old"' else tag end,
+    case when p % 5 = 0 and p % 2 = 0 then changed end, null, null from keyed),
+placed as (
+  select *, last_value(case when is_full then {'id': record_id, 'ts': ts, 'tag': tag, 'changed': changed, 'size': size, 'digest': digest} end
+    ignore nulls) over (partition by url_key order by ts, record_id rows between unbounded preceding and 1 preceding) as r
+  from records),
+judged as (
+  select *, case when url_key is null or r is null then 'no_response'
+    when tag is not null and r.tag is not null then
+      case when regexp_replace(tag, '^W/', '') = r.tag then 'resolved' else 'mismatch' end
+    when changed is not null and r.changed is not null then
+      case when changed = r.changed then 'resolved' else 'mismatch' end
+    else 'unverified' end as outcome
+  from placed where asks)
+select record_id, url_key, outcome, r.id as response_id,
+  case when outcome = 'resolved' then r.digest end as response_digest,
+  case when outcome = 'resolved' then
+    'cache-control: max-age=900' || chr(10) || 'content-length: ' || r.size || chr(10) || 'content-type: text/html' || chr(10)
+    || 'date: D' || ts || chr(10) || 'etag: ' || coalesce(tag, r.tag) || chr(10) || 'last-modified: ' || r.changed end as headers
+from judged
+"""
+
+
+@query("op8_warc_revisits", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(table(spark, sf_dir, "pages")))
+    return found.select(
+        "record_id", "url_key", "outcome", "response_id", "response_digest", revisits.header_lines(F.col("merged")).alias("headers")
+    )
