@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylens.llm import bpe, langid
+from policylens.llm import bpe, decontaminate, langid, simhash, suffix_array
 from policylens.llm.common import bucket_of, written
 from policylens.llm.queries import byte_vocabulary, table
 
@@ -35,6 +35,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked SimHash fingerprints: that of the smallest id."""
+    return simhash.keep_first(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings that also start elsewhere; documents without any stay as they are.
+
+    `n_chars`, where there is one, counts what is left of a text.
+    """
+    cut = suffix_array.removed(docs)
+    if "n_chars" not in docs.columns:
+        return cut
+    left = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars")
+    return cut.select(*[left.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def leaked_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives the text back."""
     encoded = bpe.encode_documents(docs.select("doc_id", "text"), *byte_vocabulary())
@@ -48,6 +70,9 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("leaked_tests", leaked_tests),
     ("byte_bpe", byte_bpe),
 ]
 
