@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylens.llm import anchors as A
@@ -21,14 +21,23 @@ _N = A.KIND_BITS + 1
 _OFFSET = _N + A.N_BITS
 
 
-def pieces_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Whole texts as pieces.  Null texts and rows without an id take no part."""
-    chosen = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return chosen.where("doc is not null and text is not null").select("doc", _whole("text").alias("loc"), "text")
+def _named(docs: DataFrame, text: str, doc_id: str, others: list[str]) -> DataFrame:
+    """(doc, loc, text) and the other columns by number."""
+    crc = F.crc32(F.col(f"`{text}`").cast("binary"))
+    return docs.select(
+        F.col(f"`{doc_id}`").alias("doc"),
+        F.shiftleft(crc, 32).alias("loc"),
+        F.col(f"`{text}`").alias("text"),
+        *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)],
+    )
 
 
-def _whole(text: str):
-    return F.shiftleft(F.crc32(F.col(f"`{text}`").cast("binary")), 32)
+_TAKES_PART = "doc is not null and text is not null and loc is not null"
+
+
+def pieces_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Whole texts as pieces.  Null texts and rows without an id take no part."""
+    return _named(docs, text, doc_id, []).where(_TAKES_PART)
 
 
 def _id_type(pieces: DataFrame) -> str:
@@ -162,14 +171,28 @@ def spans(marks: DataFrame) -> DataFrame:
     return marks.where("repeated").select("doc", (F.col("piece") + F.col("offset")).alias("loc"), "n")
 
 
-def with_spans(docs: DataFrame, found: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with `__spans`, an array of (start, n) of its repeated windows; null if there are none."""
-    per_doc = found.groupBy("doc", F.shiftrightunsigned("loc", 32).alias("crc")).agg(
-        F.collect_list(F.struct(F.col("loc").bitwiseAND(0xFFFFFFFF).alias("start"), "n")).alias("__spans")
+def with_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+    """(row, text, spans): the columns `keep`, the text as bytes and an array of (start, n) of its repeated
+    windows, null if there are none.
+
+    Texts are dealt out here as in `below`, so one shuffle of them serves both.
+    """
+    others = [c for c in keep if c not in (doc_id, text)]
+    per_doc = found.groupBy("doc", F.shiftleft(F.shiftrightunsigned("loc", 32), 32).alias("whole")).agg(
+        F.collect_list(F.struct(F.col("loc").bitwiseAND(0xFFFFFFFF).alias("start"), "n")).alias("spans")
     )
-    crc = F.crc32(F.col(f"`{text}`").cast("binary"))
-    joined = docs.join(per_doc, (docs[f"`{doc_id}`"] == per_doc["doc"]) & (crc == per_doc["crc"]), "left")
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], "__spans")
+    named = _named(docs, text, doc_id, others)
+    whole = named.where(_TAKES_PART)
+    joined = whole.join(per_doc, (whole["doc"] == per_doc["doc"]) & (whole["loc"] == per_doc["whole"]), "left")
+    rest = named.where(f"not ({_TAKES_PART})")
+    place = {doc_id: "doc", text: "text"} | {c: f"other{i}" for i, c in enumerate(others)}
+
+    def shaped(df: DataFrame, spans_: Column) -> DataFrame:
+        row = F.struct(*[(whole["doc"] if df is joined and place[c] == "doc" else F.col(place[c])).alias(c) for c in keep])
+        return df.select(row.alias("row"), F.col("text").cast("binary").alias("text"), spans_.alias("spans"))
+
+    none = F.lit(None).cast(per_doc.schema["spans"].dataType)
+    return shaped(joined, F.col("spans")).unionByName(shaped(rest, none))
 
 
 def covered(n_symbols: int, found: list[dict] | None, length: int) -> np.ndarray:

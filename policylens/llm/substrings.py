@@ -140,12 +140,11 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     CRC-32 of their texts.  Columns of `docs` named like a new one are replaced.
     """
     kept = [c for c in keep or docs.columns if c.lower() not in ("n_words", "n_removed", "kept")]
-    met = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id)
-    held = met.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{text}`").cast("binary").alias("text"), "__spans")
+    held = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id, kept)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, gone, rest = [], [], []
-        for raw, found in zip(column(batch, "text").to_pylist(), column(batch, "__spans").to_pylist()):
+        for raw, found in zip(column(batch, "text").to_pylist(), column(batch, "spans").to_pylist()):
             words = (raw or b"").split()
             n.append(len(words))
             if found:
