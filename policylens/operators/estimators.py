@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylens.functions.pmf import total
-from policylens.schema import KEY, UNVERIFIED, Z_95
+from policylens.operators.policies import target_ok
+from policylens.operators.validate import pmf_ok
+from policylens.schema import KEY, PROBABILITY_TOLERANCE, UNVERIFIED, Z_95
 
 BY = [*KEY, "policy"]
 ESTIMATORS = ["dm", "ips", "snips", "dr"]
@@ -32,9 +34,36 @@ def eval_rows(logged: DataFrame) -> DataFrame:
     return logged.filter(has_propensity() & verified() & F.col("reward").isNotNull())
 
 
-def repeated_ids(logged: DataFrame) -> DataFrame:
-    """Decision ids that occur more than once; must be empty (O1)."""
-    return logged.groupBy(*KEY, "id").count().filter("count > 1")
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    """Per capsule, how many decision ids occur more than once; no row where none does (O1)."""
+    again = rows.groupBy(*KEY, "id").count().filter("count > 1")
+    return again.groupBy(*KEY).agg(F.count(F.lit(1)).alias("repeated_ids"))
+
+
+def row_ok() -> Column:
+    """Whether the logged PMF, choice and probability of a row fit together (O1, V1)."""
+    position = F.array_position("eligible", F.col("chosen_index")).cast("int") - 1
+    return F.coalesce(
+        pmf_ok(F.col("pmf"), F.size("eligible"))
+        & (F.col("probability") > 0)
+        & (F.abs(F.get("pmf", position) - F.col("probability")) <= PROBABILITY_TOLERANCE),
+        F.lit(False),
+    )
+
+
+def faults(rows: DataFrame, swept: DataFrame) -> DataFrame:
+    """What stands against an evaluation, per capsule and policy.
+
+    Counts of rows, of rows that contradict themselves, of targets that are no PMF and of repeated
+    ids; and whether a policy followed the log in every row because its action is never eligible.
+    """
+    counted = swept.groupBy(*BY).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~row_ok()).alias("invalid_rows"),
+        F.count_if(~target_ok()).alias("bad_targets"),
+        F.bool_and("falls_back").alias("never_eligible"),
+    )
+    return counted.join(repeated_ids(rows), KEY, "left").fillna(0, ["repeated_ids"])
 
 
 def terms(df: DataFrame, w_max: float = 100.0) -> DataFrame:
@@ -223,7 +252,7 @@ def warnings(m: DataFrame, summary: DataFrame | None = None) -> DataFrame:
         warn("clipping", c("clipped_rows") > 0,
              "%d weights were clipped, the largest was %.4f", c("clipped_rows"), c("max_weight")),
         warn("low_ess", c("ess") < LOW_ESS,
-             "the effective sample size is only %.1f", c("ess")),
+             "the weights are worth %.1f rows", c("ess")),
         warn("propensities",
              (c("n") >= WEIGHT_Z_ROWS) & (F.abs("weight_z") > WEIGHT_Z),
              "the mean weight %.4f is %.1f standard errors off: check the logged pmf",

@@ -108,14 +108,14 @@ def read_gates(text: str, as_json: bool = False) -> list[str]:
         doc = json.loads(text)
         items = doc.get("gates") if isinstance(doc, dict) and set(doc) == {"gates"} else doc
         if not isinstance(items, list) or not all(isinstance(i, str) for i in items):
-            raise GateError("gates must be a list of check strings")
+            raise GateError("expected a list of checks, each a text")
     else:
         lines = [re.sub(r"(^|\s)#.*$", "", line).rstrip() for line in text.splitlines()]
         lines = [line.strip() for line in lines if line.strip()]
         if lines and lines[0] == "gates:":
             lines = lines[1:]
         if not all(line.startswith("- ") for line in lines):
-            raise GateError("gates must be a list of check strings")
+            raise GateError("expected a list of checks, each a text")
         items = [line[2:].strip().strip("\"'") for line in lines]
     for item in items:
         parse_check(item)
@@ -146,7 +146,7 @@ def verdicts(metrics: DataFrame, checks: Sequence[str]) -> DataFrame:
         relation = (
             F.when(c("lift_dr_lower") > 0, "better than the logged policy")
             .when(c("lift_dr_upper") < 0, "worse than the logged policy")
-            .when(c("lift_dr_lower").isNull(), "the lift interval is undefined")
+            .when(c("lift_dr_lower").isNull(), "no interval for the lift")
             .otherwise("not significantly different from the logged policy")
         )
         return m.withColumn("gates_passed", F.lit(True)).withColumn(
@@ -183,6 +183,7 @@ def promote(
     """
     now = current.select(*KEY, spec_sha256(F.col("spec")).alias("current_sha256"))
     joined = judged.join(candidates, [*KEY, "policy"]).join(now, KEY, "left")
+    joined = joined.withColumn("patch", F.parse_json("patch"))
     fresh = F.coalesce(F.col("base_sha256") == F.col("current_sha256"), F.lit(False))
     good = (F.size("gates") > 0) & F.col("gates_passed")
     event = F.when(~good, "promotion_refused").when(~fresh, "promotion_conflict").otherwise(

@@ -7,19 +7,11 @@ can repeat (a hot decision id in a raw reward stream) AQE splits the skewed part
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylens.schema import KEY
 
-#: Rewards of one decision are folded per window of this many consecutive sequence numbers, so
-#: no task ever holds more than one window of a decision that has very many rewards.
-SEQ_WINDOW = 1 << 20
-#: Up to this many rewards of a window are passed on one by one, which keeps the left-to-right
-#: order of additions; a fuller window is passed on as its sum.
-WINDOW_VALUES = 16
-
-
 def decision_key(df: DataFrame, name: str) -> DataFrame:
     """Rename the reward side's `decision_id` so both sides join by the same names."""
     return df.withColumnRenamed("decision_id", name)
@@ -29,7 +21,8 @@ def fold_rewards(rewards: DataFrame, mode: str = "first") -> DataFrame:
     """One row per decision: reward, reward_norm and reward_count.
 
     `first` is the value with the lowest sequence number and combines before the shuffle.
-    `sum` adds values in sequence order.
+    `sum` adds values one by one in sequence order, however many there are: a running sum that
+    keeps no list, so a decision with very many rewards costs time but no memory.
     """
     by = [*KEY, "decision_id"]
     if mode == "first":
@@ -40,39 +33,18 @@ def fold_rewards(rewards: DataFrame, mode: str = "first") -> DataFrame:
         )
     if mode != "sum":
         raise ValueError("mode must be first or sum")
-    entry = F.struct("seq", "value", "value_norm")
-
-    def add(values: Column, name: str) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda acc, e: acc + e[name])
-
-    window = rewards.groupBy(*by, F.floor(F.col("seq") / SEQ_WINDOW).alias("window")).agg(
-        F.array_sort(F.collect_list(entry)).alias("entries")
+    so_far = Window.partitionBy(*by).orderBy("seq").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    kept = F.when(F.size("entries") <= WINDOW_VALUES, F.col("entries")).otherwise(
-        F.array(
-            F.struct(
-                F.lit(0).cast("long").alias("seq"),
-                add(F.col("entries"), "value").alias("value"),
-                add(F.col("entries"), "value_norm").alias("value_norm"),
-            )
-        )
-    )
-    ordered = F.flatten(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("window", "kept"))), lambda w: w["kept"]
-        )
-    )
-    return (
-        window.select(*by, "window", kept.alias("kept"), F.size("entries").alias("n"))
-        .groupBy(*by)
-        .agg(ordered.alias("ordered"), F.sum("n").alias("reward_count"))
-        .select(
-            *by,
-            add(F.col("ordered"), "value").alias("reward"),
-            add(F.col("ordered"), "value_norm").alias("reward_norm"),
-            "reward_count",
-        )
+    running = rewards.select(
+        *by, "seq",
+        F.struct(
+            F.sum("value").over(so_far).alias("reward"),
+            F.sum("value_norm").over(so_far).alias("reward_norm"),
+            F.count(F.lit(1)).over(so_far).alias("reward_count"),
+        ).alias("total"),
     )
+    return running.groupBy(*by).agg(F.max_by("total", "seq").alias("total")).select(*by, "total.*")
 
 
 def logged_rows(decisions: DataFrame, rewards: DataFrame, mode: str = "first") -> DataFrame:
@@ -86,13 +58,17 @@ def logged_rows(decisions: DataFrame, rewards: DataFrame, mode: str = "first") -
 def rewards_since(
     rewards: DataFrame, decisions: DataFrame, after_seq: Column | int, limit: int | None = None
 ) -> DataFrame:
-    """Rewards after a watermark, each with its decision, in sequence order."""
+    """Rewards after a watermark, each with its decision, in each capsule's sequence order.
+
+    `limit` is per capsule, as sequence numbers are.
+    """
     late = rewards.filter(F.col("seq") > after_seq)
     if limit is not None:
-        late = late.orderBy("seq").limit(limit)
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("seq"))
+        late = late.withColumn("nth", nth).filter(F.col("nth") <= limit).drop("nth")
     right = decisions.withColumnRenamed("ts_ms", "decision_ts_ms")
     joined = decision_key(late, "id").join(right, [*KEY, "id"])
-    return joined.orderBy("seq")
+    return joined.orderBy(*KEY, "seq")
 
 
 def unrewarded(

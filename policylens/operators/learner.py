@@ -2,9 +2,8 @@
 
 The learner is normalized adaptive gradient descent on squared loss over hashed slots (Ross,
 Mineiro and Langford, "Normalized Online Learning", 2013).  Learning is sequential inside one
-model, so Spark's unit of work is a *shard*: a bounded run of one capsule's rewards.  A capsule
-that fits one shard gets exactly the sequential model; a larger one is trained shard by shard
-in parallel and its slots are merged by a grouped aggregation.
+model, so Spark's unit of work is a block of consecutive sequence numbers of one capsule.  Blocks
+are trained in parallel and their slots are merged by a grouped aggregation.
 """
 
 from __future__ import annotations
@@ -21,11 +20,11 @@ from policylens.functions import kernels as K
 from policylens.functions.features import uniform_of_seed
 from policylens.functions.pmf import baseline_explore, draw, once, serving_pmf
 from policylens.schema import KEY
-from policylens.session import attach, checkpointed
+from policylens.session import attach, checkpointed, written
 from policylens.spec import PolicySpec
 
-#: Rewards of one capsule that one task learns from in sequence.
-SHARD_ROWS = 1 << 20
+#: Sequence numbers of a block, whose rewards one task learns from in order.
+SEQ_BLOCK = 1 << 20
 
 
 class Nag:
@@ -186,26 +185,27 @@ def normalized(value: Column, low: float, high: float) -> Column:
 
 def fold_models(
     featurized: DataFrame, spec: PolicySpec, snapshot: DataFrame | None = None,
-    header: DataFrame | None = None, shard_rows: int = SHARD_ROWS,
+    header: DataFrame | None = None, block: int = SEQ_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """Models after learning from later rewards, per capsule (L2).
 
     `featurized` holds one row per reward joined to its decision: KEY, seq, value, probability,
     detail, eligible, chosen_index and `features`.  `snapshot` and `header` are the slot and
-    header tables of the models to start from.  Returns the new (header, slots).
+    header tables of the models to start from.  Rewards of `block` consecutive sequence numbers
+    are learned one after the other from the start model, and the blocks' models are merged: always
+    by one rule, with blocks that lie where they lie whatever the start.  Returns the new (header,
+    slots), both read from one written table.
     """
     low, high = spec.get("reward", "range")
     bits, rate = spec.get("learner", "bits"), float(spec.get("learner", "learningRate"))
-    since = F.lit(0).cast("long")
     if header is not None:
         marks = header.select(*KEY, F.col("reward_seq").alias("mark"))
         featurized = featurized.join(marks, KEY, "left").filter(
             F.col("seq") > F.coalesce("mark", F.lit(0))
         )
-        since = F.coalesce("mark", F.lit(0))
     rows = featurized.filter(was_learned(F.col("detail"))).select(
         *KEY,
-        F.floor((F.col("seq") - since - 1) / shard_rows).alias("shard"),
+        F.floor(F.col("seq") / block).alias("shard"),
         "seq",
         normalized(F.col("value"), low, high).alias("y"),
         learning_weight(spec, F.col("probability")).alias("h"),
@@ -218,7 +218,7 @@ def fold_models(
         .cogroup(start.select(*[F.col(c).alias(c) for c in start.columns]).groupBy(*KEY, "shard"))
         .applyInArrow(_trainer(bits, rate), TRAINED)
     )
-    return _merged(trained, bits, rate)
+    return _merged(written(trained, "trained"), bits, rate)
 
 
 TRAINED = (
@@ -305,8 +305,8 @@ def _trained_schema() -> pa.Schema:
 
 
 def _merged(trained: DataFrame, bits: int, rate: float) -> tuple[DataFrame, DataFrame]:
-    """One model per capsule.  A single shard passes through unchanged; otherwise weights are
-    averaged by the shards' new weight, scales take the maximum and squared gradients add."""
+    """One model per capsule: weights are averaged by the blocks' new weight (one block's are its
+    own), scales take the maximum and squared gradients add."""
     c = F.col
     per_shard = trained.groupBy(*KEY, "shard").agg(
         *[F.first(x).alias(x) for x in ("n", "t", "norm", "t0", "norm0", "n0", "last")]

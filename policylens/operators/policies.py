@@ -94,23 +94,11 @@ def action_constants(df: DataFrame) -> DataFrame:
     return df.select("*", F.inline(constants))
 
 
-def bad_targets(df: DataFrame) -> DataFrame:
-    """Rows whose `pi` is not a PMF over the eligible actions; must be empty."""
+def target_ok() -> Column:
+    """Whether `pi` is a PMF over the eligible actions."""
     ok = (
         (F.size("pi") == F.size("eligible"))
         & F.forall("pi", lambda p: F.coalesce((p >= 0) & (p <= 1), F.lit(False)))
         & (F.abs(total(F.col("pi")) - 1) <= PMF_SUM_TOLERANCE)
     )
-    return df.filter(~F.coalesce(ok, F.lit(False)))
-
-
-def never_eligible(df: DataFrame) -> DataFrame:
-    """Constant policies whose action is eligible in no row of a capsule: an error there."""
-    from policylens.schema import KEY
-
-    return (
-        df.groupBy(*KEY, "policy")
-        .agg(F.bool_and("falls_back").alias("never"))
-        .filter("never")
-        .drop("never")
-    )
+    return F.coalesce(ok, F.lit(False))

@@ -101,25 +101,37 @@ def latest_models(headers: DataFrame) -> DataFrame:
     )
 
 
+#: Audit events whose patch takes effect.
+SPEC_EVENTS = ["capsule_created", "spec_changed", "spec_promoted"]
+
+
 def spec_history(audit: DataFrame) -> DataFrame:
     """The spec in force per capsule: its patches merged in sequence order.
 
-    Patches are few per capsule, so a capsule's history is one small group.
+    Only patches of `SPEC_EVENTS` count; an audit table without `event` holds nothing else.  A patch
+    that is no valid change is left out and counted in `refused`.  Patches are few per capsule, so
+    a capsule's history is one small group.
     """
+    if "event" in audit.columns:
+        audit = audit.filter(F.col("event").isin(SPEC_EVENTS))
     patches = audit.filter(F.get_json_object("detail", "$.patch").isNotNull()).select(
         *KEY, "seq", "detail"
     )
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        spec = PolicySpec.of()
+        spec, refused = PolicySpec.of(), 0
         for detail in rows.sort_values("seq")["detail"]:
-            spec = spec.patched(json.loads(detail)["patch"])
+            patch = json.loads(detail)["patch"]
+            try:
+                spec = spec.patched(json.loads(patch) if isinstance(patch, str) else patch)
+            except ValueError:
+                refused += 1
         first = rows.iloc[0]
         return pd.DataFrame(
-            [[*(first[k] for k in KEY), int(rows["seq"].max()), spec.json()]],
-            columns=[*KEY, "seq", "spec"],
+            [[*(first[k] for k in KEY), int(rows["seq"].max()), spec.json(), refused]],
+            columns=[*KEY, "seq", "spec", "refused"],
         )
 
     return patches.groupBy(*KEY).applyInPandas(
-        fold, "tenant string, job string, capsule string, seq bigint, spec string"
+        fold, "tenant string, job string, capsule string, seq bigint, spec string, refused bigint"
     )

@@ -17,8 +17,8 @@ from policylens.spec import PolicySpec
 ENGINE_PASSES = [1.0]
 ANNEALED_PASSES = [1.0, 0.25, 0.0625]
 
-#: Rows of one capsule that one task cross-fits.
-SHARD_ROWS = 200_000
+#: Parts of a capsule, by a hash of the id, that are cross-fitted on their own.
+SHARDS = 8
 
 
 def cell_means(df: DataFrame, segment: Column, fold: Column, folds: int) -> DataFrame:
@@ -79,7 +79,7 @@ def reward_scale(df: DataFrame, given: tuple[float, float] | None = None) -> Dat
 def cross_fit(
     df: DataFrame, spec: PolicySpec, fold: Column, folds: int,
     with_context: bool = True, passes: list[float] | None = None,
-    given: tuple[float, float] | None = None, shard_rows: int = SHARD_ROWS,
+    given: tuple[float, float] | None = None, shards: int = SHARDS,
     in_sample: bool = False, order: tuple[str, str] = ("ts_ms", "id"),
     keep: list[str] | None = None,
 ) -> DataFrame:
@@ -87,21 +87,16 @@ def cross_fit(
 
     Needs `features` and the logged columns.  Adds `rhat_norm` (clamped, unit scale), `rhat` (raw
     units) and `n_updates` of the model used; `keep` names the columns that are carried along
-    (by default all but the feature columns).  A capsule with more than `shard_rows` rows is cut
-    into shards by id hash; each shard is cross-fitted on its own, so a task holds a bounded
-    number of rows however large the capsule is, and every row is still trained on and scored.
+    (by default all but the feature columns).  A capsule is cut into `shards` parts by a hash of the
+    id, and each part is cross-fitted on its own: a setting, not a matter of the number of rows,
+    so the same rows give the same models whatever else the log holds.
     """
     passes = passes or (ANNEALED_PASSES if with_context else ENGINE_PASSES)
     keep = keep or [c for c in df.columns if c not in ("features", "context", "derived")]
-    stats = df.groupBy(*KEY).agg(
-        F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"),
-        F.min("reward").alias("low"), F.max("reward").alias("high"),
-    )
-    scale = stats.select(*KEY, "shards", *scale_columns(given))
     unit = (F.col("reward") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     position = F.array_position("eligible", F.col("chosen_index")).cast("int") - 1
-    rows = attach(df, scale, KEY).select(
-        F.pmod(F.xxhash64("id"), F.col("shards")).alias("shard"),
+    rows = reward_scale(df, given).select(
+        F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"),
         *keep,
         *[F.col(c).alias(f"order_{i}") for i, c in enumerate(order)],
         "lo", "hi",

@@ -110,6 +110,24 @@ def o1(spark, folder):
     )
 
 
+@query("O1_preconditions", LOG + """,
+twice AS (SELECT * FROM er UNION ALL SELECT * FROM er WHERE reward >= 400),
+again AS (SELECT capsule, count(*) FILTER (reward >= 400) AS repeated_ids FROM er GROUP BY ALL)
+SELECT capsule, policy, count(*) AS rows, 0::BIGINT AS invalid_rows,
+  CASE WHEN policy = 'target-column' THEN count(*) FILTER (reward >= 100 OR reward < 5) ELSE 0 END AS bad_targets,
+  policy = 'constant:nothing' AS never_eligible, any_value(repeated_ids) AS repeated_ids
+FROM twice JOIN again USING (capsule), (VALUES ('target-column'), ('constant:nothing'), ('constant:click')) p(policy)
+GROUP BY capsule, policy""")
+def o1_preconditions(spark, folder):
+    """Faults put into the log: missing and unscaled targets, repeated rows, an unknown action."""
+    scaled = F.transform("pmf", lambda p: p * 2)
+    target = F.when(F.col("reward") >= 100, F.lit(None)).when(F.col("reward") < 5, scaled).otherwise(F.col("pmf"))
+    d = rows(spark, folder).withColumn("target_pmf", target)
+    d = d.unionByName(d.filter("reward >= 400"))
+    found = S.faults(d, T.sweep(d, [T.target_column(), T.constant("nothing"), T.constant("click")]))
+    return found.drop("tenant", "job")
+
+
 def exploded(swept: DataFrame) -> DataFrame:
     """One row per eligible action of each policy row."""
     return swept.select(
@@ -264,7 +282,7 @@ w AS (
     FROM am JOIN (SELECT capsule AS c, count(*) FILTER (mode = 'unverified') AS u FROM lg GROUP BY ALL) ON c = capsule WHERE u > 0
   UNION ALL SELECT capsule, policy, 'fallback', printf('the policy follows the logged one in %d of %d rows', fallback_rows, n) FROM am WHERE fallback_rate > 0.05
   UNION ALL SELECT capsule, policy, 'clipping', printf('%d weights were clipped, the largest was %.4f', clipped_rows, max_weight) FROM am WHERE clipped_rows > 0
-  UNION ALL SELECT capsule, policy, 'low_ess', printf('the effective sample size is only %.1f', ess) FROM am WHERE ess < 100
+  UNION ALL SELECT capsule, policy, 'low_ess', printf('the weights are worth %.1f rows', ess) FROM am WHERE ess < 100
   UNION ALL SELECT capsule, policy, 'propensities', printf('the mean weight %.4f is %.1f standard errors off: check the logged pmf', mean_weight, weight_z) FROM am WHERE n >= 100 AND abs(weight_z) > 4
   UNION ALL SELECT am.capsule, policy, 'reward_range', printf('%d rewards lie outside the given range', o)
     FROM am JOIN (SELECT capsule, count(*) FILTER (reward > 100) AS o FROM er GROUP BY ALL) x ON x.capsule = am.capsule WHERE o > 0)
@@ -366,7 +384,7 @@ def o27(spark, folder):
 @query("O28_policy_sweep_docs", """
 WITH d AS (SELECT lang, source, quality::DOUBLE AS r FROM documents JOIN labels USING (doc_id)),
 p AS (SELECT DISTINCT source AS a FROM documents),
-t AS (SELECT concat('constant:', a) AS policy, CASE WHEN source = a THEN 20.0::DOUBLE ELSE 0 END AS w, r
+t AS (SELECT concat('constant:', a) AS policy, CASE WHEN source = a THEN (SELECT count(*) FROM p)::DOUBLE ELSE 0 END AS w, r
   FROM d, p),
 m AS (SELECT policy, count(*) AS n, avg(r) AS logged_mean, avg(w * r) AS ips, sum(w * r) / nullif(sum(w), 0) AS snips,
   sum(w) * sum(w) / nullif(sum(w * w), 0) AS ess FROM t GROUP BY ALL)

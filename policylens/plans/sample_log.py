@@ -116,11 +116,16 @@ def event_rewards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def document_decisions(spark: SparkSession, folder: str, sources: int = 20) -> DataFrame:
-    """One decision per document: the source is the action, the label the reward."""
+def document_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """One decision per document: the source is the action, the label the reward.
+
+    The actions are the sources that the documents have.
+    """
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
     labels = table(spark, folder, "labels").select("doc_id", "quality", "toxic")
-    names = sorted(f"src{i}" for i in range(sources))
+    found = docs.select("source").distinct().filter("source is not null").collect()
+    names = sorted(row["source"] for row in found)
+    sources = len(names)
     actions = F.array(
         *[F.struct(F.lit(n).alias("id"), F.lit("{}").alias("features")) for n in names]
     )

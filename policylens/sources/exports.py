@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylens.operators.joins import SEQ_WINDOW
 from policylens.schema import KEY
 
 
@@ -30,36 +29,17 @@ def decision_fields() -> list[Column]:
     ]
 
 
-#: Rewards on one exported line; a decision with more continues on further lines.
-LINE_REWARDS = 100_000
-
-
 def export_decisions(decisions: DataFrame, rewards: DataFrame) -> DataFrame:
-    """One JSON text per decision with its rewards in sequence order.
-
-    `part` is 0 but for a decision with so many rewards that no single record should hold them:
-    its rewards continue, in order, on lines with part 1, 2 and so on.
-    """
+    """One JSON text per decision with all its rewards in sequence order."""
     by = [*KEY, "id"]
-    placed = rewards.withColumnRenamed("decision_id", "id").withColumn(
-        "w", F.floor(F.col("seq") / SEQ_WINDOW)
-    )
-    before = Window.partitionBy(*by).orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("n")).select(
-        *by, "w",
-        F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / LINE_REWARDS).alias("part"),
-    )
+    placed = rewards.withColumnRenamed("decision_id", "id")
     event = F.struct(
         F.col("seq"), F.col("ts_ms").alias("tsMs"), F.col("value").alias("reward"),
         F.col("value_norm").alias("rewardNormalized"),
         F.col("idempotency_key").alias("idempotencyKey"),
         F.col("detail").alias("detail"),
     )
-    lists = (
-        placed.join(parts, [*by, "w"])
-        .groupBy(*by, "part")
-        .agg(F.array_sort(F.collect_list(event)).alias("events"))
-    )
+    lists = placed.groupBy(*by).agg(F.array_sort(F.collect_list(event)).alias("events"))
     shown_events = F.transform(
         F.coalesce("events", F.array().cast(lists.schema["events"].dataType)),
         lambda e: F.struct(
@@ -72,8 +52,7 @@ def export_decisions(decisions: DataFrame, rewards: DataFrame) -> DataFrame:
     joined = decisions.join(lists, by, "left")
     options = {"ignoreNullFields": "false"}
     line = F.to_json(F.struct(*decision_fields(), shown_events.alias("rewards")), options)
-    part = F.coalesce("part", F.lit(0).cast("long")).alias("part")
-    return joined.select(*by, part, line.alias("value"))
+    return joined.select(*by, line.alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -86,48 +65,41 @@ def write_report(verdicts: DataFrame, path: str) -> None:
 
 
 def shown(x: float | None) -> str:
-    """Four significant digits; n/a when undefined."""
-    if x is None or math.isnan(x):
-        return "n/a"
-    if x == 0:
-        return "0"
-    if math.isinf(x):
-        return "inf" if x > 0 else "-inf"
-    exponent = int(f"{x:.3e}".split("e")[1])
-    if not -4 <= exponent < 6:
-        mantissa, power = f"{x:.3e}".split("e")
-        return f"{mantissa}e{int(power)}"
-    return f"{x:.{max(3 - exponent, 0)}f}"
+    """A number for readers, to four significant digits; a dash where it is undefined."""
+    return "-" if x is None or math.isnan(x) else format(x, ".4g")
+
+
+#: Columns of the report's first table: what a row is called, and the metric it shows.
+ESTIMATES = {
+    "logged": "logged_mean", "dm": "dm", "ips": "ips", "snips": "snips", "dr": "dr",
+    "lift_dm": "lift_dm", "lift_ips": "lift_ips", "lift_snips": "lift_snips", "lift_dr": "lift_dr",
+}
+DIAGNOSTICS = [
+    "n", "ess", "coverage", "clip_rate", "max_weight", "mean_weight", "fallback_rate", "unsupported_mass",
+]
+
+
+def _table(head: list[str], rows: list[list[str]]) -> list[str]:
+    return ["", *["| " + " | ".join(cells) + " |" for cells in (head, ["---"] * len(head), *rows)], ""]
 
 
 def markdown(verdict_row: dict) -> str:
     """A Markdown page of one already aggregated capsule and policy."""
     m = verdict_row
-
-    def line(label: str, name: str, value: str | None = None) -> str:
-        cells = [label, shown(m.get(value or name)), shown(m.get(f"{name}_se"))]
-        cells.append(f"{shown(m.get(f'{name}_lower'))} to {shown(m.get(f'{name}_upper'))}")
-        return "| " + " | ".join(cells) + " |"
-
     policy = str(m["policy"]).replace("|", "\\|").replace("`", "'")
-    out = [
-        f"# Policy evaluation: {policy}", "", f"Capsule {'/'.join(m[k] for k in KEY)}.", "",
-        f"**{m['verdict']}**", "", "| Estimate | Value | SE | 95% interval |",
-        "|---|---:|---:|---:|",
-        line("Logged policy", "logged", "logged_mean"),
-        line("DM", "dm"), line("IPS", "ips"), line("SNIPS", "snips"), line("DR", "dr"),
-        line("Lift DM", "lift_dm"), line("Lift IPS", "lift_ips"),
-        line("Lift SNIPS", "lift_snips"), line("Lift DR", "lift_dr"),
-        "", "| Diagnostic | Value |", "|---|---:|",
-    ]
-    for name in ("n", "ess", "coverage", "clip_rate", "max_weight", "mean_weight",
-                 "fallback_rate", "unsupported_mass"):
-        out.append(f"| {name} | {shown(float(m[name]))} |")
+    page = [f"# {policy} in {'/'.join(m[k] for k in KEY)}", "", f"**{m['verdict']}**"]
+    page += _table(
+        ["estimator", "value", "standard error", "from", "to"],
+        [
+            [name.replace("_", " "), *[shown(m.get(c)) for c in (value, f"{name}_se", f"{name}_lower", f"{name}_upper")]]
+            for name, value in ESTIMATES.items()
+        ],
+    )
+    page += _table(["diagnostic", "value"], [[name, shown(m[name])] for name in DIAGNOSTICS])
     if m.get("gates"):
-        out += ["", "| Check | Left | Right | Result |", "|---|---:|---:|---|"]
-        for g in m["gates"]:
-            result = "pass" if g["pass"] else "**fail**"
-            out.append(f"| `{g['check']}` | {shown(g['left'])} | {shown(g['right'])} | {result} |")
-    for w in m.get("warnings") or []:
-        out.append(f"\n- {w['message']}")
-    return "\n".join(out) + "\n"
+        page += _table(
+            ["gate", "left", "right", "holds"],
+            [[f"`{g['check']}`", shown(g["left"]), shown(g["right"]), "yes" if g["pass"] else "**no**"] for g in m["gates"]],
+        )
+    page += [f"- {w['message']}" for w in m.get("warnings") or []]
+    return "\n".join(page) + "\n"

@@ -146,5 +146,5 @@ def test_json_helpers(spark):
 
 def test_shown_numbers():
     assert [shown(v) for v in (None, 0.0, 9.9996, 1234567.0, 0.00001234, -2.5)] == [
-        "n/a", "0", "10.00", "1.235e6", "1.234e-5", "-2.500",
+        "-", "0", "10", "1.235e+06", "1.234e-05", "-2.5",
     ]

@@ -85,7 +85,7 @@ def test_folding_in_two_steps_equals_one(spark, folder):
 def test_sharded_fold_learns_all_rewards(spark, folder):
     data = learning_rows(spark, folder)
     exact, whole = L.fold_models(data, SPEC)
-    head, slots = L.fold_models(data, SPEC, shard_rows=400)
+    head, slots = L.fold_models(data, SPEC, block=400)
     assert {r["capsule"]: r["n_updates"] for r in head.collect()} == {
         r["capsule"]: r["n_updates"] for r in exact.collect()
     }

@@ -60,19 +60,28 @@ def test_fold_first_and_sum(spark):
         assert got["legacy"]["pmf"] is None
 
 
-def test_sum_adds_in_sequence_order(spark, monkeypatch):
-    rng = np.random.default_rng(1)
-    values = (rng.random(200) * 10.0 ** rng.integers(-8, 8, 200)).tolist()
+@pytest.mark.parametrize("n", [5, 17, 5000])
+def test_sum_adds_in_sequence_order(spark, n):
+    rng = np.random.default_rng(n)
+    values = (rng.random(n) * 10.0 ** rng.integers(-8, 8, n)).tolist()
     w = rewards(spark, *[reward("x", i + 1, v, f"k{i}") for i, v in enumerate(values)])
     d = decisions(spark, decision("x", 1))
     left_to_right = 0.0
     for v in values:
         left_to_right += v
-    assert J.logged_rows(d, w.repartition(5), "sum").first()["reward"] == left_to_right
-    # a window too full to pass on value by value is summed by itself, still in order
-    monkeypatch.setattr(J, "SEQ_WINDOW", 64)
-    got = J.logged_rows(d, w.repartition(3), "sum").first()
-    assert got["reward"] == pytest.approx(left_to_right, rel=1e-12) and got["reward_count"] == 200
+    for parts in (1, 5):
+        got = J.logged_rows(d, w.repartition(parts), "sum").first()
+        assert (got["reward"], got["reward_count"]) == (left_to_right, n)
+
+
+def test_limit_is_per_capsule(spark):
+    d = decisions(spark, decision("a", 1), decision("b", 1, capsule="other"))
+    w = rewards(spark, *[reward("a", i, 1, f"k{i}") for i in range(1, 6)])
+    other = w.withColumn("capsule", F.lit("other")).withColumn("decision_id", F.lit("b"))
+    got = J.rewards_since(w.unionByName(other), d, 1, 2).collect()
+    assert sorted((r["capsule"], r["seq"]) for r in got) == sorted(
+        [(d.first()["capsule"], 2), (d.first()["capsule"], 3), ("other", 2), ("other", 3)]
+    )
 
 
 def test_decisions_are_write_once(spark):
@@ -275,20 +284,35 @@ def test_dsjson_import_is_idempotent(spark):
     ]
 
 
-def test_export_parts(spark, monkeypatch):
+def test_export_gives_each_decision_once(spark, tmp_path):
     d = decisions(spark, decision("a", 1, seed=-1), decision("b", 2))
-    w = rewards(spark, *[reward("a", i + 1, i, f"k{i}", detail='{"x":1}') for i in range(40)])
-    one = {(r["id"], r["part"]): json.loads(r["value"]) for r in exports.export_decisions(d, w).collect()}
-    assert set(one) == {("a", 0), ("b", 0)} and len(one["a", 0]["rewards"]) == 40
-    assert one["a", 0]["seed"] == str(2**64 - 1) and one["b", 0]["rewards"] == []
-    assert one["a", 0]["rewards"][3]["detail"] == {"x": 1}
-    monkeypatch.setattr(exports, "SEQ_WINDOW", 8)
-    monkeypatch.setattr(exports, "LINE_REWARDS", 16)
-    many = sorted(
-        (r["part"], json.loads(r["value"])["rewards"])
-        for r in exports.export_decisions(d, w).filter("id = 'a'").collect()
+    w = rewards(spark, *[reward("a", i + 1, i, f"k{i}", detail='{"x":1}') for i in range(3000)])
+    lines = exports.export_decisions(d, w)
+    one = {r["id"]: json.loads(r["value"]) for r in lines.collect()}
+    assert set(one) == {"a", "b"} and [e["seq"] for e in one["a"]["rewards"]] == list(range(1, 3001))
+    assert one["a"]["seed"] == str(2**64 - 1) and one["b"]["rewards"] == []
+    assert one["a"]["rewards"][3]["detail"] == {"x": 1}
+    exports.write_lines(lines, str(tmp_path / "lines"))
+    assert spark.read.text(str(tmp_path / "lines")).count() == 2
+
+
+def test_audit_of_promotions_is_spec_history(spark):
+    def row(seq, event, detail, capsule="c"):
+        return ("t", "j", capsule, seq, event, detail)
+
+    audit = spark.createDataFrame(
+        [
+            row(1, "capsule_created", '{"patch":{"exploration":{"epsilon":0.2}}}'),
+            row(2, "promotion_refused", '{"patch":{"mode":"frozen"}}'),
+            row(3, "spec_promoted", '{"patch":"{\\"exploration\\":{\\"epsilon\\":0.05}}"}'),
+            row(4, "spec_changed", '{"patch":{"mode":"nonsense"}}'),
+            row(1, "spec_changed", '{"patch":{"mode":"frozen"}}', "d"),
+        ],
+        "tenant string, job string, capsule string, seq bigint, event string, detail string",
     )
-    assert [e["seq"] for _, part in many for e in part] == list(range(1, 41)) and len(many) > 1
+    got = {r["capsule"]: (json.loads(r["spec"]), r["refused"]) for r in H.spec_history(audit).collect()}
+    assert got["c"][0]["mode"] == "learner" and got["c"][0]["exploration"]["epsilon"] == 0.05
+    assert got["c"][1] == 1 and got["d"][0]["mode"] == "frozen"
 
 
 def test_ewma_stretches(spark):

@@ -1,5 +1,7 @@
 """Estimators on hand-computed rows, with known truth, and the cross-fitting leak."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from policylens.operators import gates as G
 from policylens.operators import policies as T
 from policylens.operators.bootstrap import counts, intervals
 from policylens.operators.reward_model import cell_means, cross_fit
+from policylens.plans.evaluate import EvalConfig, evaluate
 from policylens.operators.validate import data_summary, require_valid, validate_logged
 from policylens.spec import PolicySpec
 
@@ -102,7 +105,7 @@ def known_log(spark, n, seed, capsule="c"):
 
 def test_linear_model_recovers_the_truth(spark):
     d = featurize(known_log(spark, 6000, 1))
-    fitted = cross_fit(d, PolicySpec.of(), fold_of(F.col("id"), 5), 5)
+    fitted = cross_fit(d, PolicySpec.of(), fold_of(F.col("id"), 5), 5, shards=1)
     m = S.metrics(
         S.terms(T.sweep(fitted, [T.greedy(), T.constant("a0")]))
     ).orderBy("policy").collect()
@@ -123,7 +126,8 @@ def test_in_sample_greedy_overestimates(spark):
     values = {}
     for leak in (False, True):
         fitted = cross_fit(
-            d, PolicySpec.of(), fold_of(F.col("id"), 5), 5, with_context=False, in_sample=leak
+            d, PolicySpec.of(), fold_of(F.col("id"), 5), 5, with_context=False, in_sample=leak,
+            shards=1,
         )
         values[leak] = S.metrics(S.terms(T.sweep(fitted, [T.greedy()]))).first()["ips"]
     assert values[True] > 0.65 and abs(values[False] - 0.5) < 0.12
@@ -131,7 +135,7 @@ def test_in_sample_greedy_overestimates(spark):
 
 def test_sharded_cross_fit_scores_every_row(spark):
     d = featurize(known_log(spark, 3000, 5))
-    fitted = cross_fit(d, PolicySpec.of(), fold_of(F.col("id"), 5), 5, shard_rows=500)
+    fitted = cross_fit(d, PolicySpec.of(), fold_of(F.col("id"), 5), 5, shards=6)
     assert fitted.count() == 3000 and fitted.select("id").distinct().count() == 3000
     m = S.metrics(S.terms(T.sweep(fitted, [T.greedy()]))).first()
     assert m["dr"] == pytest.approx(0.8, abs=0.08)
@@ -195,3 +199,37 @@ def test_intervals_cover_the_truth(spark, trial):
         assert hit >= 0.85
         bias = np.mean([r[e] for r in m]) - 0.5
         assert abs(bias) < 3 * np.std([r[e] for r in m]) / np.sqrt(60)
+
+
+@pytest.mark.parametrize(
+    "fault,message",
+    [
+        ("repeat", "repeated"), ("null_target", "no PMF"), ("scaled_target", "no PMF"),
+        ("unknown", "never eligible"), ("one_row", "fewer than two"), ("pmf", "contradicts"),
+    ],
+)
+def test_evaluation_refuses_faulty_input(spark, fault, message):
+    d = known_log(spark, 60, 3).withColumn("target_pmf", F.col("pmf")).withColumn("reward_count", F.lit(1))
+    some = F.col("ts_ms") % 7 == 0
+    targets = [T.target_column()]
+    if fault == "repeat":
+        d = d.unionByName(d.filter(some))
+    elif fault == "null_target":
+        d = d.withColumn("target_pmf", F.when(~some, F.col("pmf")))
+    elif fault == "scaled_target":
+        d = d.withColumn("target_pmf", F.transform("pmf", lambda p: p / 2))
+    elif fault == "unknown":
+        targets = [T.constant("does_not_exist")]
+    elif fault == "one_row":
+        d = d.limit(1)
+    else:
+        d = d.withColumn("pmf", F.transform("pmf", lambda p: p * 1.5))
+    config = EvalConfig(bootstrap=0)
+    run = lambda c: evaluate(d, lambda x: x.withColumn("rhat", F.transform("eligible", lambda e: F.lit(0.5))), targets, c)
+    with pytest.raises(Exception, match=message):
+        run(config).collect()
+    lenient = run(dataclasses.replace(config, strict=False)).collect()
+    if fault == "null_target":
+        assert lenient[0]["n"] == d.filter("target_pmf is not null").count()
+    else:
+        assert lenient == []
