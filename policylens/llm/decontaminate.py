@@ -3,8 +3,8 @@
 Only DataFrame functions are used.  Texts are lower-cased in A-Z and cut into words; the windows of
 `WINDOW` consecutive words of every test item (the whole item, if it has fewer) form a set that goes
 to every executor while it is small, and documents' windows are looked up in it by their words, so a
-hit is verified by the match itself.  Hits merge into spans of words, which or whose documents can
-then be removed.
+hit is verified by the match itself.  Only windows that hold the longest word of a test window are put
+together for that.  Hits merge into spans of words, which or whose documents can then be removed.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ STRETCH = 2048
 #: Distinct test windows up to which the set is broadcast; beyond that it is joined by shuffle.
 BROADCAST_WINDOWS = 500_000
 
+#: Words that windows are looked for around, at most; with more all windows are looked up.
+TRIGGERS = 20_000
+
 #: What separates words, after lower-casing and before.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _PIECES = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -34,6 +37,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(lowered, F.lit("")), SEPARATOR), "")
 
 
+def _window(part: Column, at: Column, length: int) -> Column:
+    words_here = F.array_join(F.slice(part, at + 1, length), " ")
+    return F.struct(at.alias("at"), F.lit(length).alias("length"), words_here.alias("window"))
+
+
 def _windows(part: Column, length: int, most: int | None = None) -> Column:
     """Windows of `length` words of the array `part`, with where they start in it (at most `most`)."""
     last = F.size(part) - length
@@ -42,9 +50,7 @@ def _windows(part: Column, length: int, most: int | None = None) -> Column:
         F.size(part) >= length,
         F.transform(
             F.sequence(F.lit(0), last),
-            lambda i: F.struct(
-                i.alias("at"), F.lit(length).alias("length"), F.array_join(F.slice(part, i + 1, length), " ").alias("window")
-            ),
+            lambda i: _window(part, i, length),
         ),
     ).otherwise(F.array().cast("array<struct<at:int,length:int,window:string>>"))
 
@@ -59,8 +65,19 @@ def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_
     return long.unionByName(short).select("x.window", "x.length", "item_id").distinct()
 
 
-def document_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """Every window of the given lengths of every document: (key, start, length, window)."""
+def triggers(items: DataFrame) -> list[str] | None:
+    """The longest word of every test window; None if there are more than `TRIGGERS`.
+
+    A window can only occur where its longest word does, and long words are rare.
+    """
+    word = F.array_max(F.transform(F.split("window", " "), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("word"))))
+    found = [r["word"] for r in items.select(word["word"].alias("word")).distinct().limit(TRIGGERS + 1).collect()]
+    return found if len(found) <= TRIGGERS else None
+
+
+def document_windows(docs: DataFrame, lengths: list[int], around: list[str] | None = None) -> DataFrame:
+    """Windows of the given lengths of every document, (key, start, length, window): all of them, or
+    those that hold a word of `around`."""
     texts = docs.select("key", "w")
     stretches = texts.where(F.size("w") > 0).select(
         "key",
@@ -70,9 +87,23 @@ def document_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
                 lambda at: F.struct(at.alias("from"), F.slice("w", at + 1, STRETCH + max(lengths) - 1).alias("part")),
             )
         ).alias("s"),
-    )
-    found = F.concat(*[_windows(F.col("s.part"), n, STRETCH) for n in lengths])
-    return stretches.select("key", F.col("s.from").alias("from"), F.explode(found).alias("x")).select(
+    ).select("key", F.col("s.from").alias("from"), F.col("s.part").alias("part"))
+    part, size = F.col("part"), F.size("part")
+    if around is None:
+        found = F.concat(*[_windows(part, n, STRETCH) for n in lengths])
+    else:
+        places = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(part, i).isin(around))
+        stretches = stretches.select("*", places.alias("places")).where(F.size("places") > 0)
+
+        def near(n: int) -> Column:
+            def starts(i: Column) -> Column:
+                least, most = F.greatest(i - n + 1, F.lit(0)), F.least(i, size - n, F.lit(STRETCH - 1))
+                return F.when(least <= most, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+
+            return F.transform(F.array_distinct(F.flatten(F.transform("places", starts))), lambda i: _window(part, i, n))
+
+        found = F.concat(*[near(n) for n in lengths])
+    return stretches.select("key", "from", F.explode(found).alias("x")).select(
         "key", (F.col("from") + F.col("x.at")).alias("start"), "x.length", "x.window"
     )
 
@@ -94,7 +125,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "d
         return docs.sparkSession.createDataFrame([], f"key {_key_type(docs, doc_id, text)}, start int, length int, window string")
     small = sum(r["count"] for r in sizes) <= BROADCAST_WINDOWS
     tests = distinct.select("window")
-    scanned = document_windows(keyed(docs, text, doc_id), sorted(r["length"] for r in sizes))
+    scanned = document_windows(keyed(docs, text, doc_id), sorted(r["length"] for r in sizes), triggers(distinct))
     return scanned.join(F.broadcast(tests) if small else tests, "window").select("key", "start", "length", "window").distinct()
 
 

@@ -261,8 +261,9 @@ def leaks():
     return rows, items
 
 
-@pytest.mark.parametrize("stretch,most", [(2048, 500_000), (7, 500_000), (2048, 0)])
-def test_decontamination(spark, monkeypatch, stretch, most):
+@pytest.mark.parametrize("stretch,most,around", [(2048, 500_000, 20_000), (7, 500_000, 20_000), (2048, 0, 3), (7, 500_000, 3)])
+def test_decontamination(spark, monkeypatch, stretch, most, around):
+    monkeypatch.setattr(decontaminate, "TRIGGERS", around)
     monkeypatch.setattr(decontaminate, "STRETCH", stretch)
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
     rows, items = leaks()
