@@ -135,7 +135,7 @@ def _flush(df: DataFrame, far, order: str) -> DataFrame:
     )
 
 
-@query("T3_reward_timers", LOG + """,
+T3_SQL = LOG + """,
 dec AS (SELECT *, event_id % 4 = 1 AS deferred, event_id % 8 = 1 AS activated FROM logp),
 live AS (SELECT * FROM dec WHERE NOT deferred OR activated),
 paid AS (SELECT live.capsule, live.id, min(rw.ts_ms) AS t, arg_min(rw.value, rw.ts_ms) AS v FROM live JOIN rw
@@ -145,9 +145,11 @@ SELECT capsule, id, 'decision' AS kind, ts_ms, NULL::DOUBLE AS value FROM live
 UNION ALL SELECT live.capsule, live.id, 'reward', t, round(v, 6) FROM live JOIN paid
   ON paid.capsule = live.capsule AND paid.id = live.id
 UNION ALL SELECT live.capsule, live.id, 'default_reward', live.ts_ms + 600000, 5.0 FROM live
-  LEFT JOIN paid ON paid.capsule = live.capsule AND paid.id = live.id WHERE paid.id IS NULL""")
-def t3(spark, folder):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+  LEFT JOIN paid ON paid.capsule = live.capsule AND paid.id = live.id WHERE paid.id IS NULL"""
+
+
+def timer_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions, a quarter of them deferred, half of those activated, and all their rewards."""
     n = F.col("arrival")
     d = event_decisions(spark, folder)
     none = F.lit(None).cast("double").alias("value")
@@ -160,29 +162,44 @@ def t3(spark, folder):
         *KEY, "id", F.lit("activation").alias("kind"), (F.col("ts_ms") + 1000).alias("ts_ms"),
         none, idem,
     )
-    w = event_rewards(spark, folder).filter(F.col("seq") % 2 == 0)
-    # the timer of a decision fires before any reward that comes after its wait
-    known = d.select(*KEY, F.col("id").alias("decision_id"), F.col("ts_ms").alias("made_ms"))
-    paid = w.join(known, [*KEY, "decision_id"]).filter(
-        F.col("ts_ms") <= F.col("made_ms") + 600000
-    ).select(
-        *KEY, F.col("decision_id").alias("id"), F.lit("reward").alias("kind"),
-        F.greatest("ts_ms", F.col("made_ms")).alias("ts_ms"), "value", "idempotency_key",
-    )
-    events = made.unionByName(acts).unionByName(paid)
-    events = events.withColumn("ts", F.timestamp_millis("ts_ms"))
+    paid = event_rewards(spark, folder).select(
+        *KEY, F.col("decision_id").alias("id"), F.lit("reward").alias("kind"), "ts_ms", "value",
+        "idempotency_key",
+    )
+    return made.unionByName(acts).unionByName(paid).withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+def _timed(spark: SparkSession, folder: str, cuts: int) -> DataFrame:
+    """The timers over a stream of `cuts` micro-batches that follow each other in time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    events, path = timer_events(spark, folder), shared_folder(spark, "t3-in")
+    bounds = events.approxQuantile("ts_ms", [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else []
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        part = events if low is None else events.filter(F.col("ts_ms") > low)
+        part = part if high is None else part.filter(F.col("ts_ms") <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
     far = F.timestamp_millis(F.lit(4102444800000))
     last = _flush(events.drop("ts_ms").withColumn("order", F.lit(0)), far, "order").drop("order")
-    events = events.unionByName(
-        last.withColumn("ts_ms", F.lit(4102444800000)).withColumn("kind", F.lit("decision"))
-    )
-    stream = as_stream(events, "t3-in")
+    last = last.withColumn("ts_ms", F.lit(4102444800000)).withColumn("kind", F.lit("decision"))
+    last.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
+    reader = spark.readStream.schema(events.schema)
+    stream = (reader.option("maxFilesPerTrigger", 1) if cuts > 1 else reader).parquet(path)
     out = drain(with_timers(stream, 5.0, 600), "t3")
     return out.filter(F.col("capsule") != "flush").select(
         "capsule", "id", "kind", "ts_ms", r("value").alias("value")
     )
 
 
+@query("T3_reward_timers", T3_SQL)
+def t3(spark, folder):
+    return _timed(spark, folder, 3)
+
+
+@query("T3_reward_timers_one_batch", T3_SQL)
+def t3_one(spark, folder):
+    return _timed(spark, folder, 1)
+
+
 @query("T4_stream_dedupe", LOG + """
 SELECT capsule, count(*) AS n, round(sum(value), 4) AS total FROM rw GROUP BY ALL""")
 def t4(spark, folder):

@@ -1,14 +1,16 @@
 """Default rewards and deferred activation with event-time timers.
 
-One state per (capsule, decision id): the pending decision, the rewards that came early and
-whether a reward was given.  A state holds at most `MAX_HELD` early rewards; more are written
-out as they come with status `held_elsewhere`, for the batch join of `ingest.activate`.
+One state per (capsule, decision id): the pending decision, what came before it could be used, the
+reward keys seen and whether a reward was given.  Events of a micro-batch are taken in time order and
+a wait that ends before an event is settled before it, so results do not depend on how the stream is
+cut.  A finished decision's state goes `KEEP_MS` after its wait; what comes later finds no decision
+and goes with its own timer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,7 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from policylens.schema import DEFERRED_TTL_MS, KEY
 
-MAX_HELD = 1000
+#: How long a decision whose wait is over still answers rewards.
+KEEP_MS = DEFERRED_TTL_MS
 
 OUTPUT = T.StructType(
     [
@@ -34,6 +37,17 @@ INPUT_COLUMNS = [*KEY, "id", "kind", "ts", "ts_ms", "value", "idempotency_key"]
 
 DECISION_STATE = "ts_ms bigint, live boolean, paid boolean, due bigint"
 HELD_STATE = "ts_ms bigint, value double, idempotency_key string"
+#: Order of events of the same millisecond.
+ORDER = {"decision": 0, "deferred": 0, "activation": 1, "reward": 2}
+
+
+class Pending(NamedTuple):
+    """A decision: made at `ts`, in use or still deferred, paid or not, and when its time is over."""
+
+    ts: int
+    live: bool
+    paid: bool
+    due: int
 
 
 class RewardTimers(StatefulProcessor):
@@ -45,76 +59,111 @@ class RewardTimers(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.decision = handle.getValueState("decision", DECISION_STATE)
+        self.activated = handle.getValueState("activated", "ts_ms bigint")
+        self.orphan = handle.getValueState("orphan", "until bigint")
         self.held = handle.getListState("held", HELD_STATE)
+        self.seen = handle.getMapState("seen", "idempotency_key string", "ts_ms bigint")
 
     def row(self, key: Any, kind: str, ts: int, value: float | None, idem: str | None) -> list:
         return [*key, kind, ts, value, idem]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        events = pd.concat(list(rows)).sort_values(["ts_ms", "kind"])
-        state = self.decision.get() if self.decision.exists() else None
-        out = []
+        events = pd.concat(list(rows))
+        events = events.assign(rank=events["kind"].map(ORDER)).sort_values(["ts_ms", "rank", "idempotency_key"])
+        state = Pending(*self.decision.get()) if self.decision.exists() else None
+        out: list = []
         for e in events.itertuples(index=False):
             ts = int(e.ts_ms)
             if e.kind in ("decision", "deferred"):
                 if state is None:
-                    live = e.kind == "decision"
-                    due = ts + (self.wait_ms if live else DEFERRED_TTL_MS)
-                    state = (ts, live, False, due)
-                    self.handle.registerTimer(due)
-                    if live:
-                        out.append(self.row(key, "decision", ts, None, None))
-                        state = self._release(key, state, out)
+                    state = self._made(key, ts, e.kind == "decision", out)
             elif e.kind == "activation":
-                if state is not None and not state[1]:
-                    self.handle.deleteTimer(state[3])
-                    due = state[0] + self.wait_ms
-                    state = (state[0], True, state[2], due)
-                    self.handle.registerTimer(due)
-                    out.append(self.row(key, "decision", state[0], None, None))
-                    state = self._release(key, state, out)
+                if state is None:
+                    self._wait_for_decision(ts)
+                    self.activated.update((ts,))
+                elif not state.live:
+                    state = self._go_live(key, state.ts, out)
             else:
                 state = self._reward(key, state, (ts, float(e.value), e.idempotency_key), out)
         if state is not None:
-            self.decision.update(state)
+            self.decision.update(tuple(state))
         yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
-    def _reward(self, key: Any, state: Any, reward: tuple, out: list) -> Any:
-        ts, value, idem = reward
-        if state is None or not state[1]:
-            waiting = list(self.held.get()) if self.held.exists() else []
-            if len(waiting) < MAX_HELD:
-                self.held.appendValue((ts, value, idem))
-                if state is None and not waiting:
-                    self.handle.registerTimer(ts + DEFERRED_TTL_MS)
-            else:
-                out.append(self.row(key, "held_elsewhere", ts, value, idem))
-            return state
-        if self.mode == "first" and state[2]:
-            return state
-        out.append(self.row(key, "reward", ts, value, key[3] if self.mode == "first" else idem))
-        return (state[0], state[1], True, state[3])
-
-    def _release(self, key: Any, state: Any, out: list) -> Any:
-        waiting = sorted(self.held.get()) if self.held.exists() else []
+    def _wait_for_decision(self, ts: int) -> None:
+        """What comes before its decision waits as long as a deferred decision would."""
+        if not self.orphan.exists():
+            self.orphan.update((ts + DEFERRED_TTL_MS,))
+            self.handle.registerTimer(ts + DEFERRED_TTL_MS)
+
+    def _made(self, key: Any, ts: int, live: bool, out: list) -> Pending:
+        self.orphan.clear()
+        if live or self.activated.exists():
+            return self._go_live(key, ts, out)
+        due = ts + DEFERRED_TTL_MS
+        self.handle.registerTimer(due)
+        return Pending(ts, False, False, due)
+
+    def _go_live(self, key: Any, ts: int, out: list) -> Pending:
+        state: Pending = Pending(ts, True, False, ts + self.wait_ms)
+        self.handle.registerTimer(state.due)
+        self.handle.registerTimer(state.due + KEEP_MS)
+        out.append(self.row(key, "decision", ts, None, None))
+        waiting = sorted(self.held.get(), key=lambda r: (r[0], r[2] or "")) if self.held.exists() else []
         self.held.clear()
+        self.activated.clear()
         for reward in waiting:
             state = self._reward(key, state, tuple(reward), out)
         return state
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
-        out = []
-        state = self.decision.get() if self.decision.exists() else None
-        if state is not None and state[1] and not state[2] and self.default is not None:
-            idem = key[3] if self.mode == "first" else f"{key[3]}:default"
-            out.append(self.row(key, "default_reward", state[0] + self.wait_ms, self.default, idem))
-        if state is None or not state[1]:
-            self.decision.clear()  # never activated: dropped with what it held
-            self.held.clear()
+    def _settled(self, key: Any, state: Pending, out: list) -> Pending:
+        """The decision after its wait: with the default reward if none was given."""
+        if state.paid or self.default is None:
+            return state
+        idem = key[3] if self.mode == "first" else f"{key[3]}:default"
+        out.append(self.row(key, "default_reward", state.due, self.default, idem))
+        return state._replace(paid=True)
+
+    def _reward(self, key: Any, state: Pending | None, reward: tuple, out: list) -> Pending | None:
+        ts, value, idem = reward
+        if state is None or not state.live:
+            self.held.appendValue((ts, value, idem))
+            if state is None:
+                self._wait_for_decision(ts)
+            return state
+        if ts > state.due:
+            state = self._settled(key, state, out)
+        if self.mode == "first":
+            if state.paid:
+                return state
+            idem = key[3]
         else:
-            self.decision.update((state[0], True, True, state[3]))
+            if idem is not None and self.seen.containsKey((idem,)):
+                return state
+            if idem is not None:
+                self.seen.updateValue((idem,), (ts,))
+        out.append(self.row(key, "reward", ts, value, idem))
+        return state._replace(paid=True)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any):
+        out: list = []
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        state = Pending(*self.decision.get()) if self.decision.exists() else None
+        if state is None:
+            if self.orphan.exists() and now >= self.orphan.get()[0]:
+                self._forget()
+        elif now >= state.due and not state.live:
+            self._forget()  # never activated: dropped with what it held
+        elif now >= state.due:
+            state = self._settled(key, state, out)
+            self.decision.update(tuple(state))
+            if now >= state.due + KEEP_MS:
+                self._forget()
         yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
 
+    def _forget(self) -> None:
+        for kept in (self.decision, self.activated, self.orphan, self.held, self.seen):
+            kept.clear()
+
     def close(self) -> None:
         return None
 

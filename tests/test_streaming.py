@@ -56,8 +56,8 @@ def drain_batches_at(stream, root, state):
     q.awaitTermination()
 
 
-@pytest.mark.parametrize("mode", ["first", "sum"])
-def test_timers(spark, tmp_path, mode):
+@pytest.mark.parametrize("mode,cut", [("first", True), ("sum", True), ("first", False), ("sum", False)])
+def test_timers(spark, tmp_path, mode, cut):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     minute = 60_000
     schema = ("tenant string, job string, capsule string, id string, kind string, ts_ms bigint, "
@@ -73,7 +73,10 @@ def test_timers(spark, tmp_path, mode):
               ("d", "deferred", 0, None, None), ("d", "reward", 1000, 3.0, "k1"),
               ("x", "deferred", 0, None, None)),
         batch(("a", "reward", 5 * minute, 2.0, "k2"), ("a", "reward", 6 * minute, 1.0, "k3"),
-              ("d", "activation", 2 * minute, None, None)),
+              ("d", "activation", 2 * minute, None, None), ("a", "reward", 7 * minute, 1.0, "k3"),
+              ("e", "activation", 5 * minute, None, None), ("f", "deferred", 5 * minute, None, None),
+              ("f", "activation", 5 * minute, None, None)),
+        batch(("e", "deferred", 6 * minute, None, None)),
         batch(("z", "decision", 90 * minute, None, None)),
         batch(("b", "reward", 95 * minute, 7.0, "late"), ("z", "reward", 96 * minute, 1.0, "k")),
         batch(("far", "decision", 60 * 24 * 3 * minute, None, None)),
@@ -83,6 +86,11 @@ def test_timers(spark, tmp_path, mode):
     stream = with_timers(
         spark.readStream.schema(batches[0].schema).parquet(source), 0.5, 600, mode
     )
+    if not cut:
+        whole = batches[0]
+        for b in batches[1:-1]:
+            whole = whole.unionByName(b)
+        batches = [whole, batches[-1]]
     for b in batches:
         b.coalesce(1).write.mode("append").parquet(source)
         q = (
@@ -106,8 +114,13 @@ def test_timers(spark, tmp_path, mode):
         ("b", "decision", None, None),
         ("b", "default_reward", 0.5, key("b", "b:default")),
         ("d", "decision", None, None), ("d", "reward", 3.0, key("d", "k1")),
+        ("e", "decision", None, None), ("e", "default_reward", 0.5, key("e", "e:default")),
+        ("f", "decision", None, None), ("f", "default_reward", 0.5, key("f", "f:default")),
         ("z", "decision", None, None), ("z", "reward", 1.0, key("z", "k")),
     ]
     if mode == "sum":
         want += [("a", "reward", 1.0, "k3"), ("b", "reward", 7.0, "late")]
     assert sorted(got, key=order) == sorted(want, key=order)
+    # three days on, only the last decision is still remembered
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert rows[-1] <= 8
