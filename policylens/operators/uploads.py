@@ -12,7 +12,7 @@ from policylens.operators.joins import with_model
 from policylens.operators.learner import decide
 from policylens.operators.validate import event_id_ok, pmf_ok, upload_window, yes
 from policylens.schema import KEY, PROBABILITY_TOLERANCE
-from policylens.session import checkpointed
+from policylens.session import written
 from policylens.spec import PolicySpec
 
 SAME = ["request_sha256", "seed", "chosen_index"]
@@ -36,6 +36,14 @@ def consistent() -> Column:
     )
 
 
+def _same(side: str) -> Column:
+    """Whether an upload is the decision of the columns with this prefix."""
+    same = F.lit(True)
+    for c in SAME:
+        same = same & F.col(c).eqNullSafe(F.col(f"{side}_{c}"))
+    return same
+
+
 def verify_uploads(
     uploads: DataFrame, stored: DataFrame, models: DataFrame, slots: DataFrame,
     spec: PolicySpec, now_ms: int,
@@ -51,22 +59,11 @@ def verify_uploads(
     )
     up = uploads.withColumn("actions", F.coalesce("actions", declared))
     up = upload_window(up, now_ms)
-    # an id may be taken by a stored decision, or by an earlier upload of the same batch
-    earlier = up.groupBy(*KEY, "id").agg(
-        F.min("arrival").alias("first_arrival"),
-        F.min_by(F.struct(*[F.col(c).alias(f"first_{c}") for c in SAME]), "arrival").alias("f"),
-    ).select(*KEY, "id", "first_arrival", "f.*")
     taken = stored.select(*KEY, "id", *[F.col(c).alias(f"stored_{c}") for c in SAME])
-    ids = earlier.join(taken, [*KEY, "id"], "left")
-    up = up.join(ids, [*KEY, "id"], "left")
-    use_stored = F.col("stored_request_sha256").isNotNull()
-    same = F.lit(True)
-    for c in SAME:
-        other = F.when(use_stored, F.col(f"stored_{c}")).otherwise(F.col(f"first_{c}"))
-        same = same & F.col(c).eqNullSafe(other)
-    repeat = use_stored | (F.col("arrival") != F.col("first_arrival"))
-    up = up.withColumn("repeat", repeat).withColumn("same", same).drop(
-        "first_arrival", *[f"{side}_{c}" for side in ("stored", "first") for c in SAME]
+    up = up.join(taken, [*KEY, "id"], "left")
+    repeat = F.col("stored_request_sha256").isNotNull()
+    up = up.withColumn("repeat", repeat).withColumn("same", _same("stored")).drop(
+        *[f"stored_{c}" for c in SAME]
     )
     known = with_model(up, models.select(*KEY, "model_tag", F.col("n_updates").alias("version")))
     known = known.withColumn(
@@ -86,7 +83,7 @@ def verify_uploads(
         ),
     )
     # used twice below: to replay, and to meet the replay's result
-    known = checkpointed(known)
+    known = written(known, "uploads")
     work = known.filter(F.col("early").isNull()).select(
         *KEY, "model_tag", "id", "arrival", "seed", "context", F.lit("{}").alias("derived"),
         "actions", "excluded_ids", *(["baseline"] if "baseline" in known.columns else []),
@@ -118,6 +115,28 @@ def verify_uploads(
         .otherwise("rejected")
     )
     why = F.when(status == "rejected", F.coalesce("early", F.lit("does_not_replay")))
-    return joined.withColumn("status", status).withColumn("why", why).drop(
+    judged = written(joined.withColumn("status", status).withColumn("why", why).drop(
         "early", "repeat", "same", "r_eligible", "r_pmf", "r_chosen", "r_probability"
+    ), "judged-uploads")
+    # an id belongs to the first upload of it that is accepted; later ones repeat that
+    accepted = judged.filter(F.col("status").isin("new", "unverified"))
+    claims = accepted.groupBy(*KEY, "id").agg(
+        F.min("arrival").alias("claim_arrival"),
+        F.min_by(F.struct(*[F.col(c).alias(f"claim_{c}") for c in SAME]), "arrival").alias("f"),
+    ).select(*KEY, "id", "claim_arrival", "f.*")
+    unreadable = F.col("problem").isNotNull() | (F.col("why") == "event_id_invalid")
+    later = (F.col("arrival") > F.col("claim_arrival")) & ~F.coalesce(unreadable, F.lit(False))
+    return (
+        judged.join(claims, [*KEY, "id"], "left")
+        .withColumn("later", F.coalesce(later, F.lit(False)))
+        .withColumn("same", _same("claim"))
+        .withColumn(
+            "status",
+            F.when(F.col("later"), F.when(F.col("same"), "duplicate").otherwise("rejected")).otherwise(F.col("status")),
+        )
+        .withColumn(
+            "why",
+            F.when(F.col("later"), F.when(~F.col("same"), "id_used_by_other_decision")).otherwise(F.col("why")),
+        )
+        .drop("later", "same", "claim_arrival", *[f"claim_{c}" for c in SAME])
     )

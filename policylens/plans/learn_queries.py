@@ -16,7 +16,7 @@ from policylens.plans.registry import query, r, rounded
 from policylens.plans.sample_log import event_decisions as all_decisions
 from policylens.plans.sample_log import event_rewards, spread, table
 from policylens.schema import KEY
-from policylens.session import checkpointed, shared_folder
+from policylens.session import checkpointed, shared_folder, written
 from policylens.sources import dsjson, exports, logs
 from policylens.spec import PolicySpec
 
@@ -254,30 +254,16 @@ SELECT log.capsule, CASE WHEN event_id % 13 = 1 THEN 'rejected'
   count(*) AS n FROM log GROUP BY ALL""")
 def l6(spark, folder):
     """Uploads that replay, and every way one can fail to."""
-    d = event_decisions(spark, folder)
-    slots = weight_table(d, BITS).withColumn("model_tag", F.lit("tag0"))
-    models = d.select(*KEY).distinct().select(
-        *KEY, F.lit("tag0").alias("model_tag"), F.lit(400).cast("bigint").alias("n_updates")
-    )
-    signup = F.array(F.lit("signup"))
-    requests = d.drop("pmf", "probability", "chosen_index", "chosen_id", "mode").withColumn(
-        "excluded_ids", F.when(F.size("eligible") == 4, signup).otherwise(F.slice(signup, 1, 0))
-    ).withColumn("model_tag", F.lit("tag0"))
-    decided = L.decide(
-        X.featurize(requests), slots, models, SPEC, model_key=[*KEY, "model_tag"]
-    )
+    decided, models, slots = upload_fixture(spark, folder)
     k = F.col("arrival") % 13
     tag = F.when(k.isin(3, 4), "gone").otherwise(F.col("model_tag"))
     sent = decided.withColumn("model_tag", tag).withColumns(
         {
             "probability": F.when(k == 4, F.col("probability") / 2).otherwise(F.col("probability")),
-            "seed": F.when(k == 5, F.col("seed")).otherwise(F.col("seed")),
-            "pmf": F.when(
-                k == 5, F.transform("pmf", lambda p: 0.9 * p + 0.1 / F.size("pmf") + 1e-3)
-            ).otherwise(F.col("pmf")),
+            "pmf": F.when(k == 5, blurred()).otherwise(F.col("pmf")),
         }
     )
-    uploads = checkpointed(logs.parse_uploaded_decisions(upload_lines(sent)))
+    uploads = written(logs.parse_uploaded_decisions(upload_lines(sent)), "l6-uploads")
     stored = uploads.filter(F.col("arrival") % 13 == 2).unionByName(
         uploads.filter(F.col("arrival") % 13 == 1).withColumn("seed", F.col("seed") + 1)
     )
@@ -285,6 +271,49 @@ def l6(spark, folder):
     return out.groupBy("capsule", "status", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("L6_claims", LOG + f""",
+copies AS (SELECT *, ts_ms BETWEEN {NOW} - 7 * 24 * 3600 * 1000::BIGINT AND {NOW} + 300000 AS on_time
+  FROM log, (VALUES (0), (1), (2), (3)) t(copy))
+SELECT capsule, CASE WHEN on_time AND copy = 1 THEN 'new' WHEN on_time AND copy = 2 THEN 'duplicate' ELSE 'rejected' END AS status,
+  CASE WHEN NOT on_time THEN 'outside_upload_window' WHEN copy = 0 THEN 'does_not_replay'
+  WHEN copy = 3 THEN 'id_used_by_other_decision' END AS why, count(*) AS n FROM copies GROUP BY ALL""")
+def l6_claims(spark, folder):
+    """Four uploads of each id: one that does not replay, the right one, that again, another seed."""
+    decided, models, slots = upload_fixture(spark, folder)
+    copy = F.col("arrival") % 4
+    sent = decided.withColumn("n", F.explode(F.array(*map(F.lit, range(4))))).withColumn(
+        "arrival", F.col("arrival") * 4 + F.col("n")
+    )
+    sent = sent.withColumn("pmf", F.when(copy == 0, blurred()).otherwise(F.col("pmf"))).withColumn(
+        "seed", F.when(copy == 3, F.col("seed") + 1).otherwise(F.col("seed"))
+    ).drop("n")
+    uploads = written(logs.parse_uploaded_decisions(upload_lines(sent)), "claims")
+    out = verify_uploads(uploads, uploads.limit(0), models, slots, SPEC, int(NOW))
+    return out.groupBy("capsule", "status", "why").agg(F.count(F.lit(1)).alias("n"))
+
+
+def blurred():
+    """A PMF that no longer is the one that was drawn from."""
+    return F.transform("pmf", lambda p: 0.9 * p + 0.1 / F.size("pmf") + 1e-3)
+
+
+def upload_fixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Decisions of one published model per capsule, with models and slots."""
+    d = event_decisions(spark, folder)
+    slots = weight_table(d, BITS).withColumn("model_tag", F.lit("tag0"))
+    models = d.select(*KEY).distinct().select(
+        *KEY, F.lit("tag0").alias("model_tag"), F.lit(400).cast("bigint").alias("n_updates")
+    )
+    signup = F.array(F.lit("signup"))
+    requests = d.drop("pmf", "probability", "chosen_index", "chosen_id", "mode").withColumn(
+        "excluded_ids", F.when(F.size("eligible") == 4, signup).otherwise(F.slice(signup, 1, 0))
+    ).withColumn("model_tag", F.lit("tag0"))
+    decided = L.decide(
+        X.featurize(requests), slots, models, SPEC, model_key=[*KEY, "model_tag"]
+    )
+    return decided, models, slots
+
+
 @query("F20_model_tag")
 def f20(spark, folder):
     """Tag of each capsule's learned model: spec text plus a digest of its sorted slots."""
