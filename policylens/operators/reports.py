@@ -171,27 +171,74 @@ def outcome_breakdown(logged: DataFrame) -> DataFrame:
     )
 
 
+def _meet(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null is one."""
+    named = right.select(*[F.col(c).alias(f"_{c}" if c in by else c) for c in right.columns])
+    same = F.lit(True)
+    for c in by:
+        same = same & left[c].eqNullSafe(named[f"_{c}"])
+    return left.join(named, same, how).drop(*[f"_{c}" for c in by])
+
+
+#: Equal parts of a group's range that are counted before values are looked at.
+RANGES = 4096
+
+
 def column_stats(df: DataFrame, by: list[str], value: str, percent: float) -> DataFrame:
-    """Mean, population deviation, extremes and an interpolated percentile."""
+    """Mean, population deviation, extremes and an interpolated percentile.
+
+    The percentile is exact and no task holds a group's values: counts of equal ranges tell in which
+    ranges the two ranks beside it lie, and only the values of those are ranked, by their counts.
+    """
     if not 0 <= percent <= 100:
         raise ValueError("percent must be in [0, 100]")
-    return df.groupBy(*by).agg(
+    stats = df.groupBy(*by).agg(
         F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std_dev"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
-        F.percentile(value, percent / 100).alias("percentile"),
+        ((F.count(value) - 1) * (percent / 100)).alias("rank"),
+    )
+    values = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    held = _meet(values, stats, by)
+    part = F.try_divide((F.col("v") - F.col("low")) * RANGES, F.col("high") - F.col("low"))
+    counted = (
+        held.groupBy(*by, "rank", F.coalesce(F.floor(part), F.lit(0).cast("long")).alias("range"), "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    up_to = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counted.groupBy(*by, "rank", "range").agg(F.sum("n").alias("m")).withColumn(
+        "before", F.coalesce(F.sum("m").over(up_to), F.lit(0))
+    )
+    around = ranges.filter(
+        (F.col("before") <= F.ceil("rank")) & (F.col("before") + F.col("m") > F.floor("rank"))
+    ).select(*by, "range", "before")
+    inside = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = _meet(counted, around, [*by, "range"]).withColumn(
+        "first", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
 
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("v")))
+
+    between = placed.groupBy(*by).agg(
+        at(F.floor("rank")).alias("below"), at(F.ceil("rank")).alias("above"), F.max("rank").alias("r")
+    )
+    share = F.col("r") - F.floor("r")
+    percentile = F.when(share == 0, F.col("below")).otherwise(
+        (1 - share) * F.col("below") + share * F.col("above")
+    )
+    return _meet(stats, between.select(*by, percentile.alias("percentile")), by, "left").drop("rank")
+
 
 def ewma(
     df: DataFrame, by: list[str], order: str, value: str, alpha: float, window: int = 1 << 16
 ) -> DataFrame:
     """One-step exponentially weighted forecast of each group's ordered series.
 
-    f = a v + (1 - a) f is affine in the carried forecast, so a stretch of the series is the
-    pair (slope, intercept) of its map and stretches compose.  Stretches of at most `window`
-    consecutive order values are folded on their own, then one row per stretch is composed.
+    f = a v + (1 - a) f is affine in the carried forecast.  Stretches of at most `window` consecutive
+    order values are folded on their own; a stretch counts (1 - a) to the power of the number of
+    values after it, and the stretches' shares add up.  No list grows with the number of stretches.
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must be in [0, 1]")
@@ -203,7 +250,7 @@ def ewma(
         .select(
             *by, "stretch",
             F.get("e", F.lit(0))["v"].alias("first"),
-            F.pow(F.lit(keep), F.size("e").cast("double")).alias("slope"),
+            F.size("e").alias("n"),
             F.aggregate("e", F.lit(0.0), lambda f, x: f * keep + x["v"] * alpha).alias("add"),
             F.aggregate(
                 F.slice("e", F.lit(2), F.greatest(F.size("e") - 1, F.lit(0))),
@@ -212,15 +259,13 @@ def ewma(
             ).alias("alone"),
         )
     )
-    ordered = F.array_sort(F.collect_list(F.struct("stretch", "slope", "add", "alone")))
-    composed = F.aggregate(
-        F.slice(F.col("parts"), F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0))),
-        F.get("parts", F.lit(0))["alone"],
-        lambda f, p: f * p["slope"] + p["add"],
-    )
-    return stretches.groupBy(*by).agg(ordered.alias("parts")).select(
-        *by, composed.alias("forecast")
-    )
+    # what comes after a stretch multiplies its share; the earliest one has no forecast before it
+    later = Window.partitionBy(*by).orderBy(F.col("stretch").desc())
+    after = F.coalesce(F.sum("n").over(later.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earliest = F.lead("stretch").over(later).isNull()
+    share = F.when(earliest, F.col("alone")).otherwise(F.col("add")) * F.pow(F.lit(keep), after.cast("double"))
+    return stretches.select(*by, share.alias("share")).groupBy(*by).agg(F.sum("share").alias("forecast"))
+
 
 
 def ranking(decisions: DataFrame) -> DataFrame:

@@ -148,11 +148,16 @@ def read_logged_rows(
 
 
 def write_event_log(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet partitioned by key and day, so key and time filters skip files."""
+    """Parquet partitioned by key and day, so key and time filters skip files.
+
+    Tasks take ranges of (key, day, time): a folder gets few files, each with a narrow range of times,
+    and a day with very many rows is several tasks' work.
+    """
     day = F.to_date(F.timestamp_millis("ts_ms")).alias("day")
     (
         df.withColumn("day", day)
-        .sortWithinPartitions("ts_ms")
+        .repartitionByRange(*KEY, "day", "ts_ms")
+        .sortWithinPartitions(*KEY, "day", "ts_ms", *(["id"] if "id" in df.columns else []))
         .write.mode(mode)
         .partitionBy(*KEY, "day")
         .parquet(path)

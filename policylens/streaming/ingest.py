@@ -117,7 +117,7 @@ def join_streams(
     return left.join(right, on, "left_outer").select(
         *[F.col(f"d.{k}").alias(k) for k in KEY], F.col("d.id").alias("id"),
         F.col("d.ts").alias("ts"), F.col("r.reward_ts").alias("reward_ts"),
-        F.col("r.value").alias("value"),
+        *[F.col(f"r.{c}").alias(c) for c in rewards.columns if c not in (*KEY, "decision_id", "ts")],
     )
 
 

@@ -322,6 +322,21 @@ def test_ewma_stretches(spark):
     want = values[0]
     for v in values[1:]:
         want = 0.3 * v + 0.7 * want
-    for window in (7, 1000):
+    for window in (1, 7, 1000):
         got = R.ewma(df, ["g"], "o", "v", 0.3, window).first()["forecast"]
         assert got == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("percent", [0, 12.5, 50, 99, 100])
+def test_percentiles_are_exact(spark, percent, monkeypatch):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=501), None: rng.integers(0, 5, 200) * 1.0, "one": np.array([3.5]), "flat": np.ones(9)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("a", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for ranges in (4096, 3):
+        monkeypatch.setattr(R, "RANGES", ranges)
+        got = {r["g"]: r for r in R.column_stats(df, ["g"], "v", percent).collect()}
+        assert set(got) == {*groups, "empty"} and got["empty"]["percentile"] is None
+        for g, values in groups.items():
+            assert got[g]["percentile"] == pytest.approx(np.percentile(values, percent), rel=1e-12)
+            assert got[g]["mean"] == pytest.approx(values.mean())
