@@ -156,6 +156,29 @@ def idempotency_key(mode: str, decision_id: Column, given: Column, *fresh: Colum
     return F.coalesce(given, made)
 
 
+def mark_frozen(rewards: DataFrame, specs: DataFrame) -> DataFrame:
+    """Rewards of capsules whose spec is frozen, marked in `detail` as not to be learned (L3).
+
+    `specs` holds KEY and `spec` (JSON), one row per capsule, as `retention.spec_history` gives it.
+    A detail that is no JSON object is kept under `detail` in the new one.
+    """
+    frozen = specs.filter(F.get_json_object("spec", "$.mode") == "frozen").select(
+        *KEY, F.lit(True).alias("frozen")
+    )
+    told = F.regexp_replace("detail", '"learned"\\s*:\\s*(true|false|null)', '"learned":false')
+    body = F.regexp_extract("detail", r"^\s*\{(.*)\}\s*$", 1)
+    marked = (
+        F.when(F.col("detail").isNull(), '{"learned":false}')
+        .when(F.get_json_object("detail", "$.learned").isNotNull(), told)
+        .when(F.trim(F.col("detail")).rlike(r"^\{\s*\}$"), '{"learned":false}')
+        .when(F.length(body) > 0, F.concat(F.lit("{"), body, F.lit(',"learned":false}')))
+        .otherwise(F.concat(F.lit('{"detail":'), F.to_json(F.array("detail")), F.lit(',"learned":false}')))
+    )
+    return rewards.join(frozen, KEY, "left").withColumn(
+        "detail", F.when(F.col("frozen"), marked).otherwise(F.col("detail"))
+    ).drop("frozen")
+
+
 def default_rewards(
     decisions: DataFrame, rewards: DataFrame, now_ms: int, value: float, wait_seconds: int,
     mode: str = "first", low: float = 0.0, high: float = 1.0,

@@ -204,6 +204,22 @@ def l4(spark, folder):
     )
 
 
+@query("L3_frozen_rewards", LOG + """
+SELECT rw.capsule, rw.capsule = 'router2' AS frozen, count(*) FILTER (rw.capsule <> 'router2') AS learned, count(*) AS n
+FROM rw JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP BY ALL""")
+def l3_frozen(spark, folder):
+    """Rewards of a frozen capsule are stored and teach nothing."""
+    base = SPEC.patched({"mode": "frozen"}).json()
+    d = event_decisions(spark, folder)
+    specs = d.select(*KEY).distinct().withColumn(
+        "spec", F.when(F.col("capsule") == "router2", base).otherwise(SPEC.json())
+    )
+    stored = J.known_rewards(I.mark_frozen(event_rewards(spark, folder), specs), d)
+    return stored.groupBy("capsule", (F.col("capsule") == "router2").alias("frozen")).agg(
+        F.count_if(L.was_learned(F.col("detail"))).alias("learned"), F.count(F.lit(1)).alias("n")
+    )
+
+
 @query("L5_decide_batch")
 def l5(spark, folder):
     """Every event decided again by the model learned from the log."""

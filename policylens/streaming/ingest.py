@@ -18,15 +18,21 @@ from policylens.operators.joins import rewards_since
 from policylens.operators.learner import fold_models
 from policylens.operators.retention import latest_models
 from policylens.schema import DECISIONS, KEY, MODEL_HEADER, MODEL_SLOTS, REWARDS
+from policylens.session import checkpointed
 from policylens.spec import PolicySpec
 
 
+def numbered(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """Rows of the batches before `batch_id` with their `batch`; empty when there is none."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    if batch_id == 0:
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path).filter(F.col("batch") < batch_id)
+
+
 def earlier(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
     """Rows of the batches before `batch_id`; empty when there is none."""
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(full).parquet(path).filter(F.col("batch") < batch_id).drop("batch")
+    return numbered(spark, path, batch_id, schema).drop("batch")
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, schema: T.StructType) -> None:
@@ -64,14 +70,19 @@ def learn_batch(root: str, spec: PolicySpec) -> Callable[[DataFrame, int], None]
     """A `foreachBatch` function that learns from a batch of joined rewards.
 
     The batch holds one row per applied reward with its decision (see `fold_models`); each
-    batch writes one snapshot per capsule that learned something.
+    batch writes one snapshot per capsule that learned something.  Of earlier slots it reads only
+    the folders with the latest snapshots of its own capsules.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        headers = earlier(spark, f"{root}/headers", batch_id, MODEL_HEADER)
-        slots = earlier(spark, f"{root}/slots", batch_id, MODEL_SLOTS)
-        last = latest_models(headers)
+        headers = numbered(spark, f"{root}/headers", batch_id, MODEL_HEADER)
+        here = batch.select(*KEY).distinct()
+        last = checkpointed(latest_models(headers).join(here, KEY, "left_semi"))
+        folders = [row["batch"] for row in last.select("batch").distinct().collect()]
+        slots = numbered(spark, f"{root}/slots", batch_id, MODEL_SLOTS)
+        slots = slots.filter(F.col("batch").isin(folders)).drop("batch")
+        last = last.drop("batch")
         now = slots.join(last.select(*KEY, "version"), [*KEY, "version"], "left_semi")
         header, learned = fold_models(featurize(batch), spec, now, last)
         write_batch(header, f"{root}/headers", batch_id, MODEL_HEADER)

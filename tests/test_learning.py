@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from policylens.functions.features import featurize
+from policylens.operators import ingest as I
 from policylens.operators import joins as J
 from policylens.operators import learner as L
 from policylens.operators.learner import Nag
@@ -132,3 +133,15 @@ def test_frozen_rewards_are_not_learned(spark, folder):
     head, slots = L.fold_models(data, SPEC)
     assert head.count() == 0 and slots.count() == 0
     assert J.KEY == KEY
+
+
+def test_frozen_capsules_are_marked(spark):
+    rows = [("t", "j", c, d) for c in "ab" for d in (None, "{}", '{"x":1}', '{"learned":true}', "[1]", "text", '{"y":{"z":2}}')]
+    r = spark.createDataFrame(rows, "tenant string, job string, capsule string, detail string")
+    specs = spark.createDataFrame(
+        [("t", "j", "a", SPEC.patched({"mode": "frozen"}).json()), ("t", "j", "b", SPEC.json())],
+        "tenant string, job string, capsule string, spec string",
+    )
+    got = I.mark_frozen(r, specs).withColumn("ok", L.was_learned(F.col("detail"))).collect()
+    assert {x["ok"] for x in got if x["capsule"] == "a"} == {False}
+    assert {x["detail"] for x in got if x["capsule"] == "b"} == {d for _, _, c, d in rows if c == "b"}
