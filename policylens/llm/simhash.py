@@ -240,5 +240,5 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 def _once(docs: DataFrame, doc_id: str) -> DataFrame:
     """One row per id (rows without an id stay), chosen by its content."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.min(row).alias("row"))
+    named = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return named.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col(doc_id).isNull()))

@@ -36,16 +36,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return reduce(DataFrame.unionByName, found)
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: all columns) with `n_bytes`, `n_removed`, `n_spans` and `kept` (the remaining bytes).
-
-    A null text counts as empty.  Matches never cross texts.  Rows without an id are returned as they
-    are and match nothing.  Repeated rows of one id and text are one document: they do not count as
-    each other's repetition and get equal results; rows that share only the id are told apart.  Columns
-    of `docs` named like a new one are replaced.
-    """
-    kept = [c for c in keep or docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    held = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id, kept)
+def _judged(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): the columns `keep` and what is left of each text."""
+    held = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id, keep)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, rest = [], []
@@ -60,23 +53,37 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
             ["row", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    out = arrow_map(held, work, f"row {held.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
+    row_type = held.schema["row"].dataType.simpleString()
+    return arrow_map(held, work, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """`keep` (default: all columns) with `n_bytes`, `n_removed`, `n_spans` and `kept` (the remaining bytes).
+
+    A null text counts as empty.  Matches never cross texts.  Rows without an id are returned as they
+    are and match nothing.  Repeated rows of one id and text are one document: they do not count as
+    each other's repetition and get equal results; rows that share only the id are told apart.  Columns
+    of `docs` named like a new one are replaced.
+    """
+    kept = [c for c in keep or docs.columns if c.lower() not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    out = _judged(docs, text, doc_id, kept)
     return out.select(*[F.col("row")[c].alias(c) for c in kept], "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with what repeats cut out of the text.
+    """`docs` with what repeats cut out of the text, all other columns as they were.
 
     Of a character that is cut in two, the remaining bytes go as well.  Texts without repetition, null
     ones too, are returned unchanged; a text that repeats as a whole becomes empty.
     """
-    done = deduplicate(docs, text, doc_id)
+    held = _judged(docs, text, doc_id, docs.columns).select("row", "n_removed", "kept")
 
     def valid(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [x.decode(errors="ignore") for x in column(batch, "kept").to_pylist()]
-        return pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "n_removed"), pa.array(texts, pa.string())], ["row", "n_removed", "cut"])
+        return pa.RecordBatch.from_arrays(
+            [column(batch, "row"), column(batch, "n_removed"), pa.array(texts, pa.string())], ["row", "n_removed", "cut"]
+        )
 
-    held = done.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), "n_removed", "kept")
     out = arrow_map(held, valid, f"row {held.schema['row'].dataType.simpleString()}, n_removed long, cut string")
     cut = F.when(F.col("n_removed") == 0, F.col("row")[text]).otherwise(F.col("cut"))
     return out.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
