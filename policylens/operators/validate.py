@@ -215,19 +215,29 @@ def health(
     orphan = rewards.join(ids, [*KEY, "decision_id"], "left_anti").select(
         c("decision_id").alias("id")
     )
-    bad_pmf = decisions.filter(c("pmf").isNotNull() & ~pmf_ok(c("pmf"), F.size("eligible")))
-    wrong_id = decisions.filter(
-        ~c("chosen_id").eqNullSafe(F.get("actions", c("chosen_index"))["id"])
+    found = finding(repeated, "error", "duplicate_id").unionByName(
+        finding(orphan, "error", "orphan_reward")
     )
+
+    def by_row(rows: DataFrame, id_: str, rules: dict[tuple[str, str], Column]) -> DataFrame:
+        """Findings of all rules about single rows in one pass."""
+        told = [
+            F.struct(
+                F.lit(severity).alias("severity"), F.lit(code).alias("code"),
+                F.count_if(broken).alias("n"),
+                F.min(F.when(broken, c(id_))).alias("first_id"),
+                F.max(F.when(broken, c(id_))).alias("last_id"),
+            )
+            for (severity, code), broken in rules.items()
+        ]
+        return rows.agg(F.array(*told).alias("told")).select(F.inline("told"))
+
     norm = F.least(F.greatest((c("value") - low) / (high - low), F.lit(0.0)), F.lit(1.0))
-    off = rewards.filter(F.abs(c("value_norm") - norm) > 1e-9).select(c("decision_id").alias("id"))
-    found = finding(repeated, "error", "duplicate_id")
-    for rows, severity, code in (
-        (orphan, "error", "orphan_reward"),
-        (bad_pmf, "error", "bad_pmf"),
-        (wrong_id, "error", "chosen_id_mismatch"),
-        (off, "warn", "value_norm_mismatch"),
-    ):
-        found = found.unionByName(finding(rows, severity, code))
-    return found
+    wrong_id = ~c("chosen_id").eqNullSafe(F.get("actions", c("chosen_index"))["id"])
+    bad_pmf = F.coalesce(c("pmf").isNotNull() & ~pmf_ok(c("pmf"), F.size("eligible")), F.lit(False))
+    return found.unionByName(
+        by_row(decisions, "id", {("error", "bad_pmf"): bad_pmf, ("error", "chosen_id_mismatch"): wrong_id})
+    ).unionByName(
+        by_row(rewards, "decision_id", {("warn", "value_norm_mismatch"): F.abs(c("value_norm") - norm) > 1e-9})
+    )
 
