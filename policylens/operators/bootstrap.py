@@ -23,6 +23,9 @@ from policylens.operators.estimators import BY
 TERMS = ["w", "wr", "dr", "r"]
 #: Rows multiplied at once; bounds a task's memory at about 16 MB for 1000 resamples.
 CHUNK = 2048
+#: Resamples drawn at a time (a multiple of 4), capsules and policies summed at a time, and sums
+#: that a task holds before it passes them on: about 10 MB, whatever the job asks for.
+RESAMPLES, KEYS, HELD = 1000, 64, 256
 
 
 def _poisson_table() -> np.ndarray:
@@ -33,10 +36,12 @@ def _poisson_table() -> np.ndarray:
     )
 
 
-def counts(row_hash: np.ndarray, resamples: int, seed: int) -> np.ndarray:
-    """(rows, resamples) Poisson counts; four 16-bit draws come from one 64-bit hash."""
+def counts(row_hash: np.ndarray, resamples: int, seed: int, first: int = 0) -> np.ndarray:
+    """(rows, resamples) Poisson counts from resample `first` (a multiple of 4) on; four 16-bit
+    draws come from one 64-bit hash."""
     blocks = -(-resamples // 4)
-    base = K.splitmix(np.uint64(seed & (2**64 - 1)) + np.arange(blocks, dtype=np.uint64) * K.GOLDEN)
+    nth = np.arange(first // 4, first // 4 + blocks, dtype=np.uint64)
+    base = K.splitmix(np.uint64(seed & (2**64 - 1)) + nth * K.GOLDEN)
     bits = K.splitmix(row_hash[:, None] ^ base[None, :])
     draws = bits.view(np.uint16).reshape(len(row_hash), blocks * 4)[:, :resamples]
     return _TABLE[draws]
@@ -58,24 +63,43 @@ def resample_sums(t: DataFrame, resamples: int, seed: int) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            _accumulate(held, batch, resamples, seed)
-            if len(held) > 64:
-                yield _emit(held, names, resamples)
-                held = {}
+            for part in _by_keys(pa.Table.from_batches([batch])):
+                for first in range(0, resamples, RESAMPLES):
+                    _accumulate(held, part, first, min(RESAMPLES, resamples - first), seed)
+                    if len(held) > HELD:
+                        yield _emit(held, names)
+                        held = {}
         if held:
-            yield _emit(held, names, resamples)
+            yield _emit(held, names)
 
     return source.mapInArrow(sums, schema).groupBy(*BY, "b").agg(
         *[F.sum(c).alias(c) for c in names[5:]]
     )
 
 
-def _accumulate(held: dict, batch: pa.RecordBatch, resamples: int, seed: int) -> None:
-    table = pa.Table.from_batches([batch])
+def _codes(table: pa.Table) -> tuple[list, np.ndarray]:
+    """The key columns as dictionaries, and one number per row for all of them."""
     keys = [table.column(c).combine_chunks().dictionary_encode() for c in BY]
     code = np.zeros(table.num_rows, dtype=np.int64)
     for k in keys:
         code = code * len(k.dictionary) + k.indices.to_numpy()
+    return keys, code
+
+
+def _by_keys(table: pa.Table) -> Iterator[pa.Table]:
+    """The rows in tables of at most `KEYS` capsules and policies."""
+    code = _codes(table)[1]
+    distinct = np.unique(code)
+    if len(distinct) <= KEYS:
+        yield table
+        return
+    part = np.searchsorted(distinct, code) // KEYS
+    for i in range(part.max() + 1):
+        yield table.filter(pa.array(part == i))
+
+
+def _accumulate(held: dict, table: pa.Table, first: int, resamples: int, seed: int) -> None:
+    keys, code = _codes(table)
     hashes = table.column("row_hash").to_numpy().view(np.uint64)
     values = np.column_stack(
         [np.ones(table.num_rows)] + [table.column(c).to_numpy() for c in TERMS]
@@ -88,7 +112,7 @@ def _accumulate(held: dict, batch: pa.RecordBatch, resamples: int, seed: int) ->
     label = {}
     for j, c in enumerate(codes):
         i = int(np.flatnonzero(code_at == j)[0])
-        label[j] = tuple(k.dictionary[int(k.indices[i].as_py())].as_py() for k in keys)
+        label[j] = (*(k.dictionary[int(k.indices[i].as_py())].as_py() for k in keys), first)
     per_code = np.zeros((len(codes), resamples, width))
     for lo in range(0, len(unique_rows), CHUNK):
         hi = min(lo + CHUNK, len(unique_rows))
@@ -98,21 +122,22 @@ def _accumulate(held: dict, batch: pa.RecordBatch, resamples: int, seed: int) ->
         remap[present] = np.arange(len(present))
         wide = np.zeros((hi - lo, len(present), width))
         np.add.at(wide, (row_at[inside] - lo, remap[code_at[inside]]), values[inside])
-        weight = counts(unique_rows[lo:hi], resamples, seed).astype(np.float64)
+        weight = counts(unique_rows[lo:hi], resamples, seed, first).astype(np.float64)
         product = weight.T @ wide.reshape(hi - lo, -1)
         per_code[present] += product.reshape(resamples, len(present), width).transpose(1, 0, 2)
     for j, key in label.items():
         held[key] = held[key] + per_code[j] if key in held else per_code[j]
 
 
-def _emit(held: dict, names: list[str], resamples: int) -> pa.RecordBatch:
+def _emit(held: dict, names: list[str]) -> pa.RecordBatch:
     keys = list(held)
+    sizes = [len(held[k]) for k in keys]
     block = np.concatenate([held[k] for k in keys])
     columns = [
-        pa.array(np.repeat(np.array([k[i] for k in keys], dtype=object), resamples))
-        for i in range(4)
+        pa.array(np.repeat(np.array([k[i] for k in keys], dtype=object), sizes)) for i in range(4)
     ]
-    columns.append(pa.array(np.tile(np.arange(resamples, dtype=np.int32), len(keys))))
+    nth = [np.arange(k[4], k[4] + n, dtype=np.int32) for k, n in zip(keys, sizes, strict=True)]
+    columns.append(pa.array(np.concatenate(nth)))
     columns += [pa.array(block[:, i]) for i in range(block.shape[1])]
     return pa.RecordBatch.from_arrays(columns, names=names)
 

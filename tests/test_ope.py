@@ -233,3 +233,21 @@ def test_evaluation_refuses_faulty_input(spark, fault, message):
         assert lenient[0]["n"] == d.filter("target_pmf is not null").count()
     else:
         assert lenient == []
+
+
+def test_resample_blocks_are_one_draw():
+    h = np.random.default_rng(1).integers(0, 1 << 63, 50).astype(np.uint64)
+    assert np.array_equal(counts(h, 2400, 7)[:, 800:1300], counts(h, 500, 7, 800))
+
+
+def test_bootstrap_memory_bounds_change_nothing(spark, monkeypatch):
+    from policylens.operators import bootstrap as B
+
+    d = known_log(spark, 300, 2).withColumn("capsule", F.concat(F.lit("c"), F.col("ts_ms") % 9))
+    t = S.terms(T.sweep(d, [T.constant("a0"), T.logged()]))
+    want = {tuple(r[:5]): r[5:] for r in B.resample_sums(t, 120, 3).collect()}
+    for name, value in (("RESAMPLES", 40), ("KEYS", 2), ("HELD", 3)):
+        monkeypatch.setattr(B, name, value)
+    got = {tuple(r[:5]): r[5:] for r in B.resample_sums(t, 120, 3).collect()}
+    assert set(got) == set(want) and len(want) == 9 * 2 * 120
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9, nan_ok=True) for k in want)
