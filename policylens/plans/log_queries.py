@@ -360,11 +360,13 @@ def p4(spark, folder):
 
 
 @query("P5_point_lookup", LOG + """
-SELECT capsule, id, ts_ms, chosen_id FROM log WHERE id = 'dec_41' AND capsule = 'router1'""")
+SELECT capsule, id, ts_ms, chosen_id FROM log WHERE capsule = 'router1'
+  AND event_id = (SELECT min(event_id) FROM log WHERE capsule = 'router1')""")
 def p5(spark, folder):
-    return R.point_lookup(event_decisions(spark, folder), ROUTER1, "dec_41").select(
-        "capsule", "id", "ts_ms", "chosen_id"
-    )
+    """The first decision of a capsule, by its id."""
+    d = event_decisions(spark, folder)
+    first = d.filter(F.col("capsule") == "router1").agg(F.min_by("id", "arrival")).first()[0]
+    return R.point_lookup(d, ROUTER1, first).select("capsule", "id", "ts_ms", "chosen_id")
 
 
 @query("P6_decision_page", LOG + f"""

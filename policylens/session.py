@@ -75,16 +75,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows up to which a table with one row per key is copied to every executor.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes (as JSON) up to which a table with one row per key is copied to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     """`df` joined to a table with one row per key, without moving `df` when that is safe.
 
-    The table is written once and its rows are counted: a small one is broadcast, a large one
-    is joined by shuffle, where AQE splits hot keys.
+    The table is written once, its rows counted and their size summed: a small one is broadcast,
+    a large one is joined by shuffle, where AQE splits hot keys.
     """
     per_key = checkpointed(per_key)
-    small = per_key.count() <= BROADCAST_ROWS
+    width = F.octet_length(F.to_json(F.struct(*per_key.columns)))
+    rows, size = per_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     return df.join(F.broadcast(per_key) if small else per_key, keys)
