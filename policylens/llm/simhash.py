@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylens.llm.common import arrow_map, column, written
@@ -226,19 +226,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with one document of each group: that of the smallest id.
+    """`docs` with one document of each group: that of the smallest id, and of its texts that of the smallest hash.
 
-    A row without an id stays.  Of repeated rows with that id one stays.
+    A document is told apart by its id and text, so texts that share an id are judged each on its own.
+    A row without an id stays.  Of rows equal in id and text one stays.
     """
-    groups = near_duplicates(docs.where(F.col(doc_id).isNotNull()), text, doc_id)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__dropped")).distinct()
-    kept = docs.join(dropped, docs[f"`{doc_id}`"] == dropped["__dropped"], "left_anti")
-    again = kept.groupBy(F.col(f"`{doc_id}`").alias("id")).count().where("id is not null and count > 1").select("id")
-    return kept if not again.limit(1).count() else _once(kept, doc_id)
+    named = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(_key(text, doc_id).alias("key"), F.col(f"`{text}`").alias("text"))
+    groups = near_duplicates(named, "text", "key")
+    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
+    same = (docs[f"`{doc_id}`"] == dropped["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == dropped["__hash"])
+    kept = docs.join(dropped, same, "left_anti")
+    again = kept.groupBy(_key(text, doc_id).alias("key")).count().where("key.id is not null and count > 1").select("key")
+    return kept if not again.limit(1).count() else _once(kept, text, doc_id)
 
 
-def _once(docs: DataFrame, doc_id: str) -> DataFrame:
-    """One row per id (rows without an id stay), chosen by its content."""
+def _key(text: str, doc_id: str) -> Column:
+    return F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+
+
+def _once(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row per id and text (rows without an id stay), chosen by its content."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    named = docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return named.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col(doc_id).isNull()))
+    held = docs.where(F.col(f"`{doc_id}`").isNotNull())
+    named = held.groupBy(_key(text, doc_id).alias("key")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return named.select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))

@@ -100,6 +100,20 @@ def test_keep_first(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 4, 6, 7, 8, 9, 10, None, None])
 
 
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(6)
+    a, b, c, d = (helpers.sentence(rng, 80) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (5, c), (5, c), (8, c), (5, d), (9, d), (None, a)]
+    kept = Counter((r.doc_id, r.text) for r in simhash.keep_first(helpers.documents(spark, rows)).collect())
+    assert kept == Counter([(3, a), (5, b), (5, c), (5, d), (None, a)])
+    # two linked texts of the smallest id: one stays
+    words = b.split()
+    options = [" ".join(words[:i] + ["zz"] + words[i + 1 :]) for i in range(len(words))]
+    near = next(t for t in options if (plain_fingerprint(t) ^ plain_fingerprint(b)).bit_count() <= 3)
+    kept = [(r.doc_id, r.text) for r in simhash.keep_first(helpers.documents(spark, [(1, b), (1, near), (2, b)])).collect()]
+    assert len(kept) == 1 and kept[0][0] == 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 60)] + [(100 + rng.randrange(80), 100 + rng.randrange(80)) for _ in range(60)]
