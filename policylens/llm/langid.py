@@ -4,6 +4,10 @@ A text is a unit vector of square-rooted counts of hashed byte trigrams.  A one-
 support vector machine per family picks the family; inside it, one machine per pair of languages
 votes.  All machines are trained here, in numpy, on a bounded sample of labelled rows whose vectors
 (not texts) reach the driver.
+
+Machines only tell the learned languages from each other.  Whether a text is in one of them at all is
+told by its trigrams' mean log likelihood under each language's profile, as a deviation from what labelled
+texts outside the profile reach, in units that allow for the text's length.
 """
 
 from __future__ import annotations
@@ -23,6 +27,12 @@ from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes,
 DIMS = 4096
 #: Labelled rows that are learned from, at most about.
 TRAIN_ROWS = 4000
+#: Every so manieth labelled row of a language is kept out of its profile, to calibrate what fits.
+HELD_BACK = 5
+#: Share of the rows held back that fits, at least, and the deviation up to which every text fits.
+FITTING, SURE = 0.995, 3.0
+#: Part of a profile that is spread over all trigrams; trigrams after which a text's length tells no more.
+SPREAD, ENOUGH = 0.02, 50
 #: Answer for a text that is null or holds no letter, and when nothing could be learned.
 UNDETERMINED = "und"
 
@@ -50,6 +60,11 @@ _SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 def vectors(texts: list[str | None]) -> np.ndarray:
     """One float32 row per text; zeros for a text without trigrams."""
+    return counted(texts)[0]
+
+
+def counted(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of texts, and how many trigrams each has."""
     plain = [b" ".join((t or "").lower().encode().translate(_SPACED).split()) for t in texts]
     flat, ends = flat_bytes([b" " + p + b" " for p in plain])
     b = flat.astype(np.uint32)
@@ -61,7 +76,7 @@ def vectors(texts: list[str | None]) -> np.ndarray:
         counts = np.bincount(slot[ends[i] : max(ends[i], ends[i + 1] - 2)], minlength=DIMS)
         out[i] = np.sqrt(counts)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    return out / np.where(norm > 0, norm, 1), np.maximum(np.diff(ends) - 2, 0)
 
 
 def train_svm(x: np.ndarray, positive: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
@@ -83,19 +98,77 @@ def train_svm(x: np.ndarray, positive: np.ndarray, rounds: int = 150, decay: flo
     return w
 
 
+@dataclass
+class Profiles:
+    """Per calibrated language the log likelihood of trigrams, with its usual mean and its deviation per trigram.
+
+    A text fits if some language's deviation is at least `least`.
+    """
+
+    log: np.ndarray
+    usual: np.ndarray
+    spread: np.ndarray
+    least: float
+
+    def deviation(self, x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """By text and language: how many deviations the text lies above the usual likelihood."""
+        unit = np.sqrt(1 / np.maximum(n, 1) + 1 / ENOUGH)[:, None] * self.spread
+        return ((x * x) @ self.log.T - self.usual) / unit
+
+
+def profiles(x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> tuple[Profiles | None, set[str]]:
+    """The profiles of the languages with `HELD_BACK` rows or more, and the names of the others.
+
+    The bound is such that `FITTING` of the rows held back fit.
+    """
+    logs, usual, spread, held, few = [], [], [], [], set()
+    for name in sorted(set(langs)):
+        rows = np.flatnonzero((langs == name) & (n > 0))
+        back = rows[HELD_BACK - 1 :: HELD_BACK]
+        if not len(back):
+            few.add(name)
+            continue
+        share = (np.square(x[np.setdiff1d(rows, back)]).mean(0) * (1 - SPREAD) + SPREAD / DIMS).astype(np.float64)
+        log = np.log(share)
+        logs.append(log)
+        usual.append(np.median(np.square(x[back]) @ log))
+        spread.append(np.sqrt((share * np.square(log - (share * log).sum())).sum()))
+        held.append(back)
+    if not logs:
+        return None, few
+    found = Profiles(np.stack(logs).astype(np.float32), np.array(usual), np.maximum(spread, 1e-3), -np.inf)
+    reached = np.concatenate([found.deviation(x[back], n[back])[:, k] for k, back in enumerate(held)])
+    found.least = min(float(np.quantile(reached, 1 - FITTING, method="lower")), -SURE)
+    return found, few
+
+
 @dataclass
 class LanguageModel:
-    """`groups`: languages by family.  `of_family`: one machine each.  `of_pair`: one per pair of a family."""
+    """`groups`: languages by family.  `of_family`: one machine each.  `of_pair`: one per pair of a family.
+
+    `profiles` say which texts fit a language; `few` are the languages with too few rows for one.
+    """
 
     groups: dict[str, list[str]] = field(default_factory=dict)
     of_family: dict[str, np.ndarray] = field(default_factory=dict)
     of_pair: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    profiles: Profiles | None = None
+    few: set[str] = field(default_factory=set)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and whether the text fits a learned language.
+
+        A language with fewer than `HELD_BACK` rows has no bound, so what is taken for it fits.
+        """
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not self.groups:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        x = np.hstack([vectors(texts), np.ones((len(texts), 1), np.float32)])
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        plain, n = counted(texts)
+        near = (self.profiles.deviation(plain, n) >= self.profiles.least).any(1) if self.profiles else np.zeros(len(texts), bool)
+        x = np.hstack([plain, np.ones((len(texts), 1), np.float32)])
         names = sorted(self.groups)
         margins = np.stack([x @ self.of_family[n] for n in names], 1) if len(names) > 1 else np.full((len(x), 1), 1.0)
         chosen = margins.argmax(1)
@@ -117,23 +190,25 @@ class LanguageModel:
             mean = against[best] / max(1, len(members) - 1) if len(members) > 1 else 1.0
             langs.append(best)
             scores.append(float(sigmoid(4 * margins[i, chosen[i]]) * sigmoid(4 * mean)))
-        return langs, scores
+        fits = [has and (bool(near[i]) or langs[i] in self.few) for i, has in enumerate(lettered)]
+        return langs, scores, fits
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
     """A model from rows with text and language (others are left out); `TRAIN_ROWS` bounds the sample."""
     labelled = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
-        doc_id, text, lang
+        doc_id, text, lang, F.xxhash64(F.lit("sample"), doc_id, text).alias("hash")
     )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = vectors(column(batch, text).to_pylist()).astype(np.float16)
+        x, n = counted(column(batch, text).to_pylist())
+        sent = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [column(batch, lang).cast(pa.string()), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"]
+            [column(batch, lang).cast(pa.string()), column(batch, "hash"), pa.array(n, pa.int64()), sent], ["lang", "hash", "n", "x"]
         )
 
     sample = bounded_sample(labelled, doc_id, TRAIN_ROWS)
-    got = arrow_map(sample, work, "lang string, x binary", 128).toArrow()
+    got = arrow_map(sample, work, "lang string, hash long, n long, x binary", 128).toArrow().sort_by("hash")
     if not got.num_rows:
         return LanguageModel()
     langs = np.array(got["lang"].to_pylist(), object)
@@ -143,6 +218,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
         groups.setdefault(family(name), []).append(name)
     families = np.array([family(name) for name in langs], object)
     model = LanguageModel(groups)
+    model.profiles, model.few = profiles(x, np.array(got["n"].to_pylist()), langs)
     if len(groups) > 1:
         model.of_family = {name: train_svm(x, families == name) for name in groups}
     for members in groups.values():
@@ -153,22 +229,23 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` (default: all columns) with `lang_pred` and `score` (0 to 1), from the whole text alone.
+    """`keep` (default: all columns) with `lang_pred`, `score` (0 to 1) and `fits` (whether the text is in
+    a learned language at all), from the whole text alone.
 
-    A text that is null, empty or without a letter gets `und` and 0, and so does every text if
+    A text that is null, empty or without a letter gets `und`, 0 and false, and so does every text if
     nothing could be learned.  Rows stand for themselves: repeated rows get equal answers, null ids
-    are kept.  Columns of `docs` named `lang_pred` or `score` are replaced.
+    are kept.  Columns of `docs` named `lang_pred`, `score` or `fits` are replaced.
     """
-    kept = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score")]
+    kept = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score", "fits")]
     held = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = model.predict(column(batch, "text").to_pylist())
+        langs, scores, fits = model.judge(column(batch, "text").to_pylist())
         return pa.RecordBatch.from_arrays(
-            [column(batch, "row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-            ["row", "lang_pred", "score"],
+            [column(batch, "row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())],
+            ["row", "lang_pred", "score", "fits"],
         )
 
     row_type = held.schema["row"].dataType.simpleString()
-    out = arrow_map(held, work, f"row {row_type}, lang_pred string, score double")
-    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score")
+    out = arrow_map(held, work, f"row {row_type}, lang_pred string, score double, fits boolean")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score", "fits")

@@ -93,6 +93,67 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(docs, one).collect()} == {"xx"}
 
 
+OUTSIDE = [
+    "Hallitus päätti eilen että uusi laki tulee voimaan ensi vuoden alussa koko maassa",
+    "Rząd zdecydował wczoraj że nowa ustawa wejdzie w życie na początku przyszłego roku",
+    "Правительство вчера решило что новый закон вступит в силу",
+    "xqzkj wvbnq kjhgf zxcvb qwrtp mnbvc lkjhg",
+]
+
+
+def plain_fits(train, texts):
+    """The rule of `langid.Profiles`, text by text with dictionaries."""
+    def trigrams(text):
+        x, n = langid.counted([text])
+        return {int(i): float(x[0, i]) ** 2 for i in np.flatnonzero(x[0])}, int(n[0])
+
+    known, reached = [], []
+    for lang in sorted({r[2] for r in train}):
+        rows = [trigrams(t) for _, t, l in train if l == lang]
+        back = rows[langid.HELD_BACK - 1 :: langid.HELD_BACK]
+        rest = [r for i, r in enumerate(rows) if (i + 1) % langid.HELD_BACK]
+        share = [langid.SPREAD / langid.DIMS] * langid.DIMS
+        for r, _ in rest:
+            for i, f in r.items():
+                share[i] += (1 - langid.SPREAD) * f / len(rest)
+        mean = sum(p * math.log(p) for p in share)
+        unit = math.sqrt(sum(p * (math.log(p) - mean) ** 2 for p in share))
+        score = lambda r, share=share: sum(f * math.log(share[i]) for i, f in r.items())
+        usual = float(np.median([score(r) for r, _ in back]))
+        far = lambda r, n, score=score, usual=usual, unit=unit: (score(r) - usual) / unit / math.sqrt(1 / n + 1 / langid.ENOUGH)
+        known.append(far)
+        reached += [far(*r) for r in back]
+    least = min(sorted(reached)[int((1 - langid.FITTING) * (len(reached) - 1))], -langid.SURE)
+    return [max(far(*trigrams(t)) for far in known) >= least for t in texts]
+
+
+def test_texts_that_no_language_fits(spark, folder):
+    import corpus_pipeline as pipeline
+
+    docs = Q.table(spark, folder, "documents")
+    clean = ["The and of the.", "Der die und ein heit.", "Que de la ción.", "La les des ment."]
+    odd = helpers.documents(spark, [(10_000_000 + i, t, None) for i, t in enumerate([*OUTSIDE, *clean])], extra=False)
+    kept = pipeline.language_id(spark, docs.unionByName(odd), folder).collect()
+    assert {r.text for r in kept if r.doc_id >= 10_000_000} == set(clean)
+    lettered = [r for r in docs.collect() if any(map(str.isalpha, r.text or ""))]
+    assert sum(r.doc_id < 10_000_000 for r in kept) >= 0.97 * len(lettered)
+    # a language that is left out does not fit the others
+    model = langid.fit(docs.where("lang <> 'de'"))
+    left = langid.identify(docs.where("lang = 'de' and n_chars > 200"), model).collect()
+    assert left and sum(r.fits for r in left) <= 0.05 * len(left)
+
+
+def test_what_fits_equals_the_plain_rule():
+    rng = random.Random(8)
+    train = [(i, helpers.sentence(rng, rng.randint(2, 60)).replace("a", "xo" if i % 3 else "a"), "xx" if i % 3 else "yy") for i in range(60)]
+    x, n = langid.counted([t for _, t, _ in train])
+    found, few = langid.profiles(x, n, np.array([r[2] for r in train], object))
+    texts = [*OUTSIDE, *(helpers.sentence(rng, k) for k in (1, 2, 9, 50)), *(t[: 40 * k] + OUTSIDE[3] for k, (_, t, _) in enumerate(train[:8]))]
+    got = (found.deviation(*langid.counted(texts)) >= found.least).any(1).tolist()
+    assert not few and got == plain_fits(train, texts) and len(set(got)) == 2
+    assert langid.profiles(x[:4], n[:4], np.array(["xx"] * 4, object)) == (None, {"xx"})
+
+
 def test_families():
     assert langid.family("en") == langid.family("DE-at") == "germanic" and langid.family("qq") == "only qq"
 
