@@ -55,9 +55,10 @@ def _windows(part: Column, length: int, most: int | None = None) -> Column:
     ).otherwise(F.array().cast("array<struct<at:int,length:int,window:string>>"))
 
 
-def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """Distinct (window, length, item_id).  Items without words or without an id have none."""
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
+def item_windows(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", nameless: bool = False) -> DataFrame:
+    """Distinct (window, length, item_id).  Items without words have none; items without an id only if `nameless`."""
+    taken = benchmark if nameless else benchmark.where(F.col(item_id).isNotNull())
+    items = taken.select(F.col(item_id).alias("item_id"), words(F.col(text)).alias("w"))
     long = items.where(F.size("w") >= WINDOW).select("item_id", F.explode(_windows(F.col("w"), WINDOW)).alias("x"))
     short = items.where((F.size("w") > 0) & (F.size("w") < WINDOW)).select(
         "item_id", F.struct(F.lit(0).alias("at"), F.size("w").alias("length"), F.array_join("w", " ").alias("window")).alias("x")
@@ -150,7 +151,8 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
 
     Null and empty texts have no words and no hits.  Rows that share an id and a text get the same
     result each; rows that share only an id are told apart; a null id is kept.  Without test items
-    nothing is hit.  Other columns play no part.
+    nothing is hit.  Items without an id are left out, as the SQL twin has it; removal counts them.
+    Other columns play no part.
     """
     items = written(item_windows(benchmark), "test-windows")
     hits = written(find(docs, items, text, doc_id), "test-hits")
@@ -171,14 +173,16 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` without the documents that hold a test window; clean rows are returned unchanged."""
-    hits = find(docs, written(item_windows(benchmark), "test-windows"), text, doc_id).select("key").distinct()
+    """`docs` without the documents that hold a window of any test item, with an id or not; clean rows are
+    returned unchanged."""
+    hits = find(docs, written(item_windows(benchmark, nameless=True), "test-windows"), text, doc_id).select("key").distinct()
     return docs.join(hits, document_key(doc_id, text).eqNullSafe(hits["key"]), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """`docs` with the hit words, and what separates them from the next word, cut out of the text."""
-    hits = find(docs, written(item_windows(benchmark), "test-windows"), text, doc_id)
+    """`docs` with the hit words, and what separates them from the next word, cut out of the text; items
+    without an id count as well."""
+    hits = find(docs, written(item_windows(benchmark, nameless=True), "test-windows"), text, doc_id)
     cuts = spans(hits).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("__cuts"))
     joined = docs.join(cuts, document_key(doc_id, text).eqNullSafe(cuts["key"]), "left").drop(cuts["key"])
     pieces = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(_PIECES), F.lit(0))

@@ -308,3 +308,13 @@ def test_decontamination_removes(spark):
     assert decontaminate.report(helpers.documents(spark, []), tests).count() == 0
 
 
+def test_items_without_an_id_are_removed_as_well(spark):
+    rng = random.Random(12)
+    secret = helpers.sentence(rng, 14)
+    rows = [(i, helpers.sentence(rng, 40) + (" " + secret if i % 3 == 0 else "")) for i in range(12)]
+    docs = helpers.documents(spark, rows)
+    tests = spark.createDataFrame([(None, secret), (1, helpers.sentence(rng, 12))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.remove_documents(docs, tests).collect()} == {i for i, _ in rows if i % 3}
+    cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, tests).collect()}
+    assert all((secret in t) == (i % 3 == 0) and secret not in cut[i] for i, t in rows)
+    assert {r.n_hit for r in decontaminate.report(docs, tests).collect()} == {0}  # as the SQL twin has it
