@@ -13,6 +13,8 @@ from policylens.session import shared_folder
 
 #: Rows of a batch that are worked on at a time inside a task.
 SLICE_ROWS = 512
+#: Rows that a group of a sample has at least, if it holds as many.
+LEAST_ROWS = 20
 
 
 def arrow_map(
@@ -51,17 +53,37 @@ def bucket_of(doc_id: Column, of: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % of
 
 
-def share_of(doc_id: Column) -> Column:
-    """A fixed number in [0, 1) per id; `share_of(id) < x` is a repeatable sample of about x."""
-    return (F.xxhash64(F.lit("sample"), doc_id) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
-
-
-def bounded_sample(rows: DataFrame, doc_id: str, most: int) -> DataFrame:
-    """About `most` rows (all, if there are fewer), chosen by a hash of the id."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(share_of(F.col(doc_id)) < most / n)
+def sample_hash(*of: str) -> Column:
+    """What `bounded_sample` chooses by: a fixed number per content of the named columns."""
+    return F.xxhash64(F.lit("sample"), *[F.col(f"`{c}`") for c in of])
+
+
+def room(sizes: list[int], most: int) -> int:
+    """The largest number of rows per group with which all groups together have about `most`."""
+    left, rest = most, sorted(sizes)
+    for i, n in enumerate(rest):
+        if n > (each := left // (len(rest) - i)):
+            return max(each, LEAST_ROWS)
+        left -= n
+    return rest[-1] if rest else 0
+
+
+def bounded_sample(rows: DataFrame, groups: list[str], most: int) -> DataFrame:
+    """About `most` rows (all, if there are fewer), chosen in each group by the column `hash`.
+
+    Small groups come whole and leave their room to the others; a group has `LEAST_ROWS` at least, if it
+    holds as many.  Of the rows of a group that are equal in `hash` one is taken.
+    """
+    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("hash", 0.01).alias("n")).collect()
+    each = room([r["n"] for r in counts], most)
+    cut = [(*[r[g] for g in groups], each / r["n"]) for r in counts if r["n"] > each]
+    if cut:
+        types = [f"`__{g}` {rows.schema[g].dataType.simpleString()}" for g in groups]
+        shares = F.broadcast(rows.sparkSession.createDataFrame(cut, ", ".join([*types, "__share double"])))
+        same = [rows[f"`{g}`"].eqNullSafe(shares[f"`__{g}`"]) for g in groups]
+        at = F.pmod("hash", F.lit(1 << 52)) / (1 << 52)
+        rows = rows.join(shares, same, "left").where(F.col("__share").isNull() | (at < F.col("__share"))).select(*[f"`{c}`" for c in rows.columns])
+    return rows.dropDuplicates([*groups, "hash"])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, sigmoid
+from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, sample_hash, sigmoid
 
 #: Hashed trigrams.
 DIMS = 4096
@@ -195,9 +195,12 @@ class LanguageModel:
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> LanguageModel:
-    """A model from rows with text and language (others are left out); `TRAIN_ROWS` bounds the sample."""
+    """A model from rows with text and language (others are left out).
+
+    `TRAIN_ROWS` bounds the sample, which is drawn by language: rare languages come whole.
+    """
     labelled = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(doc_id).isNotNull()).select(
-        doc_id, text, lang, F.xxhash64(F.lit("sample"), doc_id, text).alias("hash")
+        doc_id, text, lang, sample_hash(doc_id, text).alias("hash")
     )
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -207,7 +210,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
             [column(batch, lang).cast(pa.string()), column(batch, "hash"), pa.array(n, pa.int64()), sent], ["lang", "hash", "n", "x"]
         )
 
-    sample = bounded_sample(labelled, doc_id, TRAIN_ROWS)
+    sample = bounded_sample(labelled, [lang], TRAIN_ROWS)
     got = arrow_map(sample, work, "lang string, hash long, n long, x binary", 128).toArrow().sort_by("hash")
     if not got.num_rows:
         return LanguageModel()

@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from policylens.llm import bpe, langid, quality, revisits, topk, toxicity
+from policylens.llm import bpe, common, langid, quality, revisits, topk, toxicity
 from policylens.llm import queries as Q
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -154,6 +154,23 @@ def test_what_fits_equals_the_plain_rule():
     assert langid.profiles(x[:4], n[:4], np.array(["xx"] * 4, object)) == (None, {"xx"})
 
 
+def test_samples_are_drawn_by_language(spark, monkeypatch):
+    assert common.room([5, 1000, 3000], 400) == 197 and common.room([5, 7], 400) == 7 and common.room([], 9) == 0
+    assert common.room([100] * 50, 60) == common.LEAST_ROWS
+    rng = random.Random(5)
+    rows = [(i, helpers.sentence(rng, 8), "nl" if i % 600 == 0 else "en" if i % 2 else "de") for i in range(3000)]
+    rows += [(7_000_000, helpers.sentence(rng, 8), "en") for _ in range(1500)] + [(8, "same", "de")] * 1500
+    docs = helpers.documents(spark, rows).withColumn("hash", common.sample_hash("doc_id", "text"))
+    got = common.bounded_sample(docs, ["lang"], 400).collect()
+    of = Counter(r.lang for r in got)
+    assert of["nl"] == 5 and all(130 <= of[x] <= 270 for x in ("en", "de"))
+    assert len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert 50 <= sum(r.doc_id == 7_000_000 for r in got) <= 150
+    assert len(common.bounded_sample(docs, ["lang"], 10_000).collect()) == len(set(rows))
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 400)
+    assert "nl" in langid.fit(docs).groups["germanic"]
+
+
 def test_families():
     assert langid.family("en") == langid.family("DE-at") == "germanic" and langid.family("qq") == "only qq"
 
