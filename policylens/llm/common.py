@@ -68,14 +68,18 @@ def room(sizes: list[int], most: int) -> int:
     return rest[-1] if rest else 0
 
 
-def bounded_sample(rows: DataFrame, groups: list[str], most: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, groups: list[str], most: int, most_bytes: int | None = None) -> DataFrame:
     """About `most` rows (all, if there are fewer), chosen in each group by the column `hash`.
 
     Small groups come whole and leave their room to the others; a group has `LEAST_ROWS` at least, if it
-    holds as many.  Of the rows of a group that are equal in `hash` one is taken.
+    holds as many.  With `most_bytes` there are so few rows that the column `bytes` sums to about that at most;
+    which rows are taken does not depend on it.  Of the rows of a group that are equal in `hash` one is taken.
     """
-    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("hash", 0.01).alias("n")).collect()
+    size = F.lit(0.0) if most_bytes is None else F.avg("bytes")
+    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("hash", 0.01).alias("n"), size.alias("size")).collect()
     each = room([r["n"] for r in counts], most)
+    while most_bytes is not None and each > LEAST_ROWS and sum(min(r["n"], each) * r["size"] for r in counts) > most_bytes:
+        each = max(LEAST_ROWS, each * 9 // 10)
     cut = [(*[r[g] for g in groups], each / r["n"]) for r in counts if r["n"] > each]
     if cut:
         types = [f"`__{g}` {rows.schema[g].dataType.simpleString()}" for g in groups]

@@ -228,6 +228,29 @@ def test_whole_texts_count(spark):
     assert got[2] > got[1]
 
 
+def test_long_texts_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SEEN", 300)
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(80):
+        words = helpers.sentence(rng, 4000 if i % 2 else 20).split()
+        if i % 4 == 1:
+            words[rng.randrange(len(words))] = "zorkling"
+        rows.append((i, " ".join(words), "fr" if i % 2 else "en"))
+        labels.append((i, 1, int(i % 4 == 1)))
+    assert sum(len(t) > 12_000 for _, t, _ in rows) == 40
+    docs = helpers.documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(model.thresholds) == {"en", "fr"}
+    sent = toxicity._sequences(docs.selectExpr("doc_id as hash", "lang", "1d as y", "text")).collect()
+    texts = {i: t for i, t, _ in rows}
+    assert all(list(map(tuple, np.frombuffer(r.slots, np.uint16).reshape(-1, 3))) == [toxicity.slots(w) for w in toxicity.words(texts[r.hash])] for r in sent)
+    told = docs.selectExpr("lang", "xxhash64(doc_id) as hash", "octet_length(text) as bytes")
+    assert len(common.bounded_sample(told, ["lang"], 80, 10**9).collect()) == 80
+    fewer = Counter(r.lang for r in common.bounded_sample(told, ["lang"], 80, 400_000).collect())
+    assert all(10 <= fewer[x] <= 35 for x in ("en", "fr"))
+
+
 def test_thresholds():
     scores, labels = np.array([0.9, 0.8, 0.4, 0.3, 0.2]), np.array([1, 1, 1, 0, 0])
     assert toxicity.best_threshold(scores, labels) == 0.4
