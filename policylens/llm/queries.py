@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylens.llm import bpe, decontaminate, langid, quality, revisits, simhash, substrings, suffix_array, topk, toxicity
+from policylens.llm import (
+    bpe, clustering, decontaminate, langid, quality, revisits, simhash, spelling, substrings, suffix_array, topk, toxicity, word_bpe,
+)
 from policylens.llm.common import bucket_of, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +236,109 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "record_id", "url_key", "outcome", "response_id", "response_digest", revisits.header_lines(F.col("merged")).alias("headers")
     )
+
+
+def _op11_sql(k: int, rounds: int) -> str:
+    """The rounds written out one after the other."""
+    steps = [
+        f"""a{i} as materialized (
+  select vec_id, x, arg_min(cluster, (d, cluster)) as cluster, min(d) as d
+  from (select r, vec_id, x, c{i}.cluster, list_sum(list_transform(list_zip(x, c{i}.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d from v, c{i})
+  group by r, vec_id, x)"""
+        for i in range(rounds + 1)
+    ]
+    moves = [
+        f"""c{i + 1} as materialized (
+  select c{i}.cluster, coalesce(m.c, c{i}.c) as c from c{i} left join (
+    select cluster, list(s order by j) as c from (
+      select cluster, j, (sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*) as s
+      from (select cluster, unnest(x) as e, unnest(generate_series(1, {clustering.WIDTH})) as j from a{i}) group by cluster, j)
+    group by cluster) as m on m.cluster = c{i}.cluster)"""
+        for i in range(rounds)
+    ]
+    chain = [part for pair in zip(steps, [*moves, ""]) for part in pair if part]
+    return f"""
+with v as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as x
+  from embeddings where len(embedding) = {clustering.WIDTH}
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0),
+c0 as materialized (
+  select cast(row_number() over (order by h nulls last, x) - 1 as integer) as cluster, x as c
+  from (select sha256('3:' || cast(vec_id as varchar)) as h, x from v order by h nulls last, x limit {k})),
+{", ".join(chain)}
+select vec_id, a.cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by a.cluster) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} as a join c{rounds} as c on a.cluster = c.cluster
+"""
+
+
+@query("op11_clustering", _op11_sql(8, 10))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.cluster(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.concat_ws(",", F.col("centroid").cast("array<string>")), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def word_vocabulary() -> str:
+    """The tokenizer file with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_word_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return word_bpe.encode_documents(docs, word_vocabulary(), keep=["doc_id"]).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+OP13_SQL = r"""
+with recursive crc as materialized (
+  select list(v order by i) as tab from (
+    select i, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) as v
+    from (select unnest(range(256)) as i))),
+found as materialized (
+  select doc_id, run, count(*) as k from (
+    select doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) as run
+    from documents) group by doc_id, run),
+hashed as (
+  select run, k, xor(list_reduce(
+    flatten(list_transform(string_split(cast(doc_id as varchar) || ':' || run, ''),
+      lambda c: case when unicode(c) < 128 then [cast(unicode(c) as bigint)] else [cast(192 + (unicode(c) >> 6) as bigint), 128 + (unicode(c) & 63)] end)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), cast(4294967295 as bigint)), 4294967295) as h
+  from found, crc),
+vocabulary as materialized (
+  select word, cast(sum(k) as bigint) as n from (
+    select k, case when h % 97 = 0 then left(run, h % length(run)) || substring(run, h % length(run) + 2) else run end as word from hashed)
+  where length(word) >= 5 group by word having sum(k) >= 3),
+cuts as materialized (
+  select word, n, i, left(word, i - 1) || '|' || substring(word, i + 1) as rest
+  from (select word, n, unnest(generate_series(1, length(word))) as i from vocabulary)),
+longer as (
+  select distinct cuts.word as a, cuts.n as an, v.word as b, v.n as bn
+  from cuts join vocabulary as v on replace(cuts.rest, '|', '') = v.word),
+near as (
+  select a.word, b.word as other, b.n as other_n from cuts as a join cuts as b on a.rest = b.rest and a.word <> b.word
+  union all select a, b, bn from longer union all select b, a, an from longer),
+best as (
+  select word, count(*) as n_near, max(other_n) as top, arg_min(other, (-other_n, other)) as other from near group by word),
+forms as materialized (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when top >= 2 * v.n then other end as form, case when top >= 2 * v.n then top end as form_n
+  from vocabulary as v left join best on v.word = best.word),
+steps as (
+  select word, word as top, 0 as k from forms
+  union all select steps.word, forms.form, k + 1 from steps join forms on steps.top = forms.word where forms.form is not null),
+ends as (select word, arg_max(top, k) as root from steps group by word)
+select forms.word, form, root, n, n_near, form_n from forms join ends on forms.word = ends.word
+"""
+
+
+@query("op13_spelling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
