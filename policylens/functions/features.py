@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,29 +63,88 @@ def named_values(text: str | None) -> list[tuple[str, float]]:
     return out
 
 
-def flatten_features(column: Column) -> Column:
-    """JSON object text -> array of (name, value) features (F1)."""
+def _gather(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each wanted piece of a flat array, and where its entries stand in it."""
+    size = lengths[which]
+    owner, at = K.ragged_positions(size)
+    return size, starts[which][owner] + at
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths)))[:-1]
+
+
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+
+
+def _codes(texts: pa.Array) -> tuple[list[str | None], np.ndarray]:
+    """The distinct values of a string array, null for null, and each row's place among them."""
+    coded = texts.dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _parsed(texts: Sequence[str | None]) -> tuple[list[list[tuple[str, float]]], list[str | None]]:
+    """Features of each text, and what keeps it from having any."""
+    out, problems = [], []
+    for text in texts:
+        try:
+            out.append(named_values(text))
+            problems.append(None)
+        except (ValueError, OverflowError, RecursionError) as error:  # FeatureError, and JSON that cannot be read
+            out.append([])
+            problems.append(str(error))
+    return out, problems
+
+
+def _flat(named: list[list[tuple[str, float]]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(number of features of each text, names, values)."""
+    lengths = np.fromiter((len(n) for n in named), np.int64, len(named))
+    names = [n for features in named for n, _ in features]
+    return lengths, names, np.fromiter((v for features in named for _, v in features), np.float32, len(names))
+
+
+def _named_hashes(space: str, names: list[str]) -> np.ndarray:
+    """Hash of each name in a namespace; equal names are hashed once."""
+    seen = sorted(set(names))
+    place = dict(zip(seen, range(len(seen)), strict=True))
+    prefix = space.encode() + b"\0"
+    codes = K.fnv1a(prefix + n.encode() for n in seen).view(np.int64)
+    return codes[np.fromiter(map(place.__getitem__, names), np.int64, len(names))] if names else codes
 
-    @F.pandas_udf("array<struct<name:string,value:float>>")
-    def flat(texts: pd.Series) -> pd.Series:
-        memo: dict[Any, list[dict[str, Any]]] = {}
-        for t in texts.unique():
-            memo[t] = [{"name": n, "value": v} for n, v in named_values(t)]
-        return texts.map(memo)
+
+def _first(problems: list[str | None]) -> None:
+    for problem in problems:
+        if problem is not None:
+            raise FeatureError(problem)
+
+
+def flatten_features(column: Column) -> Column:
+    """JSON object text -> array of (name, value) features (F1).  Equal texts of a batch are read once."""
+
+    @F.arrow_udf("array<struct<name:string,value:float>>")
+    def flat(texts: pa.Array) -> pa.Array:
+        distinct, code = _codes(texts)
+        named, problems = _parsed(distinct)
+        _first(problems)
+        lengths, names, values = _flat(named)
+        size, at = _gather(_starts(lengths), lengths, code)
+        pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(at)), pa.array(values[at], pa.float32())], ["name", "value"])
+        return pa.ListArray.from_arrays(_offsets(size), pairs)
 
     return flat(column)
 
 
 def hash_features(names: Column, namespace: str) -> Column:
-    """64-bit hashes, as signed bits, of an array of feature names (F2)."""
+    """64-bit hashes, as signed bits, of an array of feature names (F2).  Equal names of a batch are hashed once."""
     prefix = namespace.encode() + b"\0"
 
-    @F.pandas_udf("array<bigint>")
-    def hashed(lists: pd.Series) -> pd.Series:
-        names_seen = sorted({n for names_ in lists for n in names_})
-        codes = K.fnv1a(prefix + n.encode() for n in names_seen).view(np.int64)
-        memo = dict(zip(names_seen, codes.tolist(), strict=True))
-        return lists.map(lambda names_: [memo[n] for n in names_])
+    @F.arrow_udf("array<bigint>")
+    def hashed(lists: pa.Array) -> pa.Array:
+        distinct, code = _codes(lists.flatten())
+        codes = K.fnv1a(prefix + n.encode() for n in distinct).view(np.int64)
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(_offsets(size), pa.array(codes[code]))
 
     return hashed(names)
 
@@ -155,42 +216,53 @@ def stream_seed(base: int, n: Column) -> Column:
     return seeds(n)
 
 
-def featurize(df: DataFrame, declared: dict[str, dict] | None = None) -> DataFrame:
+def featurize(df: DataFrame, declared: dict[str, dict] | None = None, strict: bool = True) -> DataFrame:
     """Add `features`: hashed request features `x` and one list per eligible action `a`.
 
     Done once per row; every model reuses the column (F1, F2, F5).  `declared` replaces the
-    features of the actions it names.
+    features of the actions it names.  A record that is no JSON object, nests too deep or has too many
+    features or terms (`MAX_TERMS`, F3) fails the job; without `strict` it has no features, and `features.problem`
+    tells why (null in all other rows), see `featurized`.
+
+    Texts are read, and names hashed, once per distinct value of a batch; all else moves as whole arrays.
     """
-    own = {
-        name: _hashed("a", [(f"id={name}", 1.0), *named_values(json.dumps(features))])
-        for name, features in (declared or {}).items()
-    }
+    own = {name: named_values(json.dumps(features)) for name, features in (declared or {}).items()}
 
-    @F.pandas_udf(
-        "x array<struct<hash:bigint,value:float>>, a array<array<struct<hash:bigint,value:float>>>"
+    @F.arrow_udf(
+        "x array<struct<hash:bigint,value:float>>, a array<array<struct<hash:bigint,value:float>>>, problem string"
     )
-    def hashed(
-        context: pd.Series, derived: pd.Series, ids: pd.Series, features: pd.Series
-    ) -> pd.DataFrame:
-        memo: dict[tuple, list] = {}
-
-        def lookup(space: str, text: str | None, name: str | None = None) -> list:
-            if name is not None and name in own:
-                return own[name]
-            at = (space, text, name)
-            if at not in memo:
-                head = [] if name is None else [(f"id={name}", 1.0)]
-                memo[at] = _hashed(space, head + named_values(text))
-            return memo[at]
-
-        x = [
-            lookup("c", c) + lookup("d", d) for c, d in zip(context, derived, strict=True)
-        ]
-        a = [
-            [lookup("a", t, n) for n, t in zip(names, texts, strict=True)]
-            for names, texts in zip(ids, features, strict=True)
-        ]
-        return pd.DataFrame({"x": x, "a": a})
+    def hashed(context: pa.Array, derived: pa.Array, ids: pa.Array, features: pa.Array) -> pa.Array:
+        rows = len(context)
+        parts = [_request("c", context), _request("d", derived)]
+        per_row = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        a_size, a_hash, a_value, a_problem = _actions(ids.flatten(), features.flatten(), own)
+        a_row = np.repeat(np.arange(rows), per_row)
+        x_size = parts[0][0] + parts[1][0]
+        first_bad = np.full(rows, "", object)
+        for bad, at in ((a_problem, a_row), (parts[1][3], np.arange(rows)), (parts[0][3], np.arange(rows))):
+            hit = np.flatnonzero(bad != "")
+            first_bad[at[hit]] = bad[hit]
+        wide = np.zeros(rows, bool)
+        wide[a_row[1 + a_size + x_size[a_row] * (1 + a_size) > MAX_TERMS]] = True
+        first_bad[wide & (first_bad == "")] = f"more than {MAX_TERMS} terms"
+        bad = first_bad != ""
+        if strict and bad.any():
+            raise FeatureError(first_bad[bad][0])
+        # what belongs to a bad row goes
+        starts = _starts(np.where(bad, 0, x_size))
+        x_hash, x_value = (np.empty(int(np.where(bad, 0, x_size).sum()), t) for t in (np.int64, np.float32))
+        for (size, codes, values, _), before in zip(parts, (np.zeros(rows, np.int64), parts[0][0])):
+            owner, pos = K.ragged_positions(size)
+            good = ~bad[owner]
+            to = (starts + before)[owner] + pos
+            x_hash[to[good]], x_value[to[good]] = codes[good], values[good]
+        a_good = ~bad[a_row]
+        e_good = np.repeat(a_good, a_size)
+        x = pa.ListArray.from_arrays(_offsets(np.where(bad, 0, x_size)), _entries(x_hash, x_value))
+        inner = pa.ListArray.from_arrays(_offsets(a_size[a_good]), _entries(a_hash[e_good], a_value[e_good]))
+        a = pa.ListArray.from_arrays(_offsets(np.where(bad, 0, per_row)), inner)
+        told = pa.array(np.where(bad, first_bad, None).tolist(), pa.string())
+        return pa.StructArray.from_arrays([x, a, told], ["x", "a", "problem"])
 
     picked = F.transform("eligible", lambda i: F.get(F.col("actions"), i))
     return df.withColumn(
@@ -204,10 +276,44 @@ def featurize(df: DataFrame, declared: dict[str, dict] | None = None) -> DataFra
     )
 
 
-def _hashed(space: str, named: list[tuple[str, float]]) -> list[dict[str, Any]]:
-    prefix = space.encode() + b"\0"
-    codes = K.fnv1a(prefix + n.encode() for n, _ in named).view(np.int64).tolist()
-    return [{"hash": h, "value": v} for h, (_, v) in zip(codes, named, strict=True)]
+def featurized(df: DataFrame, declared: dict[str, dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with `features`, and the rows that cannot have any with `problem`."""
+    both = featurize(df, declared, strict=False)
+    told = F.col("features.problem")
+    return both.filter(told.isNull()), both.filter(told.isNotNull()).withColumn("problem", told).drop("features")
+
+
+def _entries(codes: np.ndarray, values: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(values, pa.float32())], ["hash", "value"])
+
+
+def _told(problems: list[str | None]) -> np.ndarray:
+    return np.array([p or "" for p in problems] + [""], object)[:-1]
+
+
+def _request(space: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of features per row, hashes, values, problem per row or "") of request features."""
+    distinct, code = _codes(texts)
+    named, problems = _parsed(distinct)
+    lengths, names, values = _flat(named)
+    size, at = _gather(_starts(lengths), lengths, code)
+    return size, _named_hashes(space, names)[at], values[at], _told(problems)[code]
+
+
+def _actions(ids: pa.Array, texts: pa.Array, own: dict[str, list]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same of actions, which have their id as a feature."""
+    (names, name), (distinct, code) = _codes(ids), _codes(texts)
+    named, problems = _parsed(distinct)
+    told = _told(problems)
+    pair, back = np.unique(name.astype(np.int64) * max(len(distinct), 1) + code, return_inverse=True)
+    full, bad = [], []
+    for n, t in zip((pair // max(len(distinct), 1)).tolist(), (pair % max(len(distinct), 1)).tolist()):
+        declared = names[n] in own
+        full.append([(f"id={names[n]}", 1.0), *(own[names[n]] if declared else named[t])])
+        bad.append("" if declared else told[t])
+    lengths, flat, values = _flat(full)
+    size, at = _gather(_starts(lengths), lengths, back)
+    return size, _named_hashes("a", flat)[at], values[at], np.array([*bad, ""], object)[:-1][back]
 
 
 def with_derived(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -256,18 +362,25 @@ def merge_objects(texts: Column) -> Column:
                 into[key] = value
         return into
 
-    @F.pandas_udf("string")
-    def merge(lists: pd.Series) -> pd.Series:
-        def one(items: Any) -> str:
-            out: dict = {}
-            for item in items:
-                doc = json.loads(item)
-                if not isinstance(doc, dict):
-                    raise FeatureError("only objects can be merged")
-                merged(out, doc)
-            return json.dumps(out, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
-
-        return lists.map(one)
+    @F.arrow_udf("string")
+    def merge(lists: pa.Array) -> pa.Array:
+        distinct, code = _codes(lists.flatten())
+        size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size)
+        known: dict[bytes, str] = {}  # rows that merge the same texts are merged once
+        out = []
+        for lo, hi in zip((ends - size).tolist(), ends.tolist()):
+            key = code[lo:hi].tobytes()
+            if key not in known:
+                into: dict = {}
+                for i in code[lo:hi].tolist():
+                    doc = json.loads(distinct[i])
+                    if not isinstance(doc, dict):
+                        raise FeatureError("only objects can be merged")
+                    merged(into, doc)
+                known[key] = json.dumps(into, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+            out.append(known[key])
+        return pa.array(out, pa.string())
 
     return merge(texts)
 

@@ -64,9 +64,10 @@ def _rest_to_best(best: Column, others: Column) -> Column:
     return let(filled, renormalize)
 
 
-def gamma(scale: float, exponent: float, n_updates: Column) -> Column:
+def gamma(scale: Column | float, exponent: Column | float, n_updates: Column) -> Column:
     """SquareCB's exploration strength after `n_updates` learner updates."""
-    return F.lit(float(scale)) * F.pow(n_updates.cast("double"), F.lit(float(exponent)))
+    by, power = (v if isinstance(v, Column) else F.lit(float(v)) for v in (scale, exponent))
+    return by * F.pow(n_updates.cast("double"), power)
 
 
 def squarecb(predictions: Column, strength: Column) -> Column:
@@ -144,6 +145,14 @@ def serving_pmf(spec: PolicySpec, predictions: Column, n_updates: Column) -> Col
     return let(base, lambda p: floor_mix(p, e["floor"]))
 
 
+def settings_pmf(settings: Column, predictions: Column, n_updates: Column) -> Column:
+    """`serving_pmf` by a settings column: exploration and floor of each row's own spec."""
+    strength = gamma(settings["gamma_scale"], settings["gamma_exponent"], n_updates)
+    square = settings["kind"] == "squarecb"
+    base = F.when(square, squarecb(predictions, strength)).otherwise(epsilon_greedy(predictions, settings["epsilon"]))
+    return let(base, lambda p: floor_mix(p, settings["floor"]))
+
+
 def draw(pmf: Column, uniform: Column) -> Column:
     """Position drawn by inverting the CDF at `uniform`.
 

@@ -2,8 +2,9 @@
 
 The learner is normalized adaptive gradient descent on squared loss over hashed slots (Ross,
 Mineiro and Langford, "Normalized Online Learning", 2013).  Learning is sequential inside one
-model, so Spark's unit of work is a block of consecutive sequence numbers of one capsule.  Blocks
-are trained in parallel and their slots are merged by a grouped aggregation.
+model: a capsule's rewards pass through one task in sequence order, a batch at a time, and
+only the model stays (`streamed`).  Capsules are learned in parallel.  Whoever asks for blocks has blocks of
+consecutive sequence numbers trained in parallel too, and their models averaged.
 """
 
 from __future__ import annotations
@@ -18,28 +19,40 @@ from pyspark.sql import types as T
 
 from policylens.functions import kernels as K
 from policylens.functions.features import uniform_of_seed
-from policylens.functions.pmf import baseline_explore, draw, once, serving_pmf
+from policylens.functions.pmf import baseline_explore, draw, once, settings_pmf
+from policylens.operators import specs as P
+from policylens.operators.streamed import stream_groups
 from policylens.schema import KEY
 from policylens.session import attach, checkpointed, written
 from policylens.spec import PolicySpec
 
-#: Sequence numbers of a block, whose rewards one task learns from in order.
-SEQ_BLOCK = 1 << 20
+#: Feature terms that a task holds at a time, and slots of a model in one output batch.
+TERMS, OUT_SLOTS = 1 << 21, 1 << 16
 
 
 class Nag:
     """State of `models` learners side by side over a compact list of slots.
 
-    Rows are slots and columns are models; `u` is weight times scale, `s` the scale and `a` the
+    Rows are slots and columns are models; `slots` names the rows and grows as slots are met. `u` is weight times scale, `s` the scale and `a` the
     accumulated squared gradient over squared scale.  They are stored as float32, arithmetic is
     done in doubles.
     """
 
     def __init__(self, slots: int, models: int) -> None:
         self.u, self.s, self.a = (np.zeros((slots, models), dtype=np.float32) for _ in range(3))
+        self.slots = np.arange(slots)
         self.t, self.norm = np.zeros(models), np.zeros(models)
         self.n = np.zeros(models, dtype=np.int64)
 
+    def places(self, slots: np.ndarray) -> np.ndarray:
+        """Rows of the given slots; new ones get a row of zeros, in order of slots."""
+        new = np.setdiff1d(slots, self.slots)
+        if len(new):
+            at = np.searchsorted(self.slots, new)
+            self.slots = np.insert(self.slots, at, new)
+            self.u, self.s, self.a = (np.insert(v, at, np.float32(0), axis=0) for v in (self.u, self.s, self.a))
+        return np.searchsorted(self.slots, slots)
+
     def learn(
         self, lengths: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, h: np.ndarray,
         on: np.ndarray, rate: float,
@@ -57,8 +70,9 @@ class Nag:
         weight = h[:, None] * on
         # every row has at least its bias, so no stretch is empty
         per_row = np.add.reduceat(scaled * scaled, np.cumsum(lengths) - lengths, axis=0)
-        t = self.t + np.cumsum(weight, axis=0)
-        norm = self.norm + np.cumsum(weight * per_row, axis=0)
+        # summed on from the state, row by row: where a stream is cut into passes changes no bit
+        t = np.cumsum(np.vstack((self.t, weight)), axis=0)[1:]
+        norm = np.cumsum(np.vstack((self.norm, weight * per_row)), axis=0)[1:]
         speed = rate * np.sqrt(t / np.where(norm > 0, norm, np.inf))
         models = on.shape[1]
         both = np.concatenate((self.u, self.a), axis=1)
@@ -183,143 +197,165 @@ def normalized(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))
 
 
+def pieces(part: pa.Table, most: int = TERMS) -> Iterator[pa.Table]:
+    """Consecutive rows with about `most` feature terms at most, one row at least."""
+    x_len, _ = ragged(part.column("x"))
+    per_row, lists = ragged(part.column("a"))
+    a_len, _ = ragged(lists)
+    a_row = np.repeat(np.arange(part.num_rows), per_row)
+    terms = np.cumsum(np.bincount(a_row, weights=(1 + a_len) * (1.0 + x_len[a_row]), minlength=part.num_rows))
+    lo = 0
+    while lo < part.num_rows:
+        hi = max(int(np.searchsorted(terms, (terms[lo - 1] if lo else 0) + most, side="right")), lo + 1)
+        yield part.slice(lo, hi - lo)
+        lo = hi
+
+
 def fold_models(
-    featurized: DataFrame, spec: PolicySpec, snapshot: DataFrame | None = None,
-    header: DataFrame | None = None, block: int = SEQ_BLOCK,
+    featurized: DataFrame, spec: PolicySpec | DataFrame, snapshot: DataFrame | None = None,
+    header: DataFrame | None = None, block: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Models after learning from later rewards, per capsule (L2).
 
     `featurized` holds one row per reward joined to its decision: KEY, seq, value, probability,
-    detail, eligible, chosen_index and `features`.  `snapshot` and `header` are the slot and
-    header tables of the models to start from.  Rewards of `block` consecutive sequence numbers
-    are learned one after the other from the start model, and the blocks' models are merged: always
-    by one rule, with blocks that lie where they lie whatever the start.  Returns the new (header,
-    slots), both read from one written table.
+    detail, eligible, chosen_index and `features`.  `spec` is one spec or a spec table (see `specs`); capsules
+    that are frozen by it learn nothing.  `snapshot` and `header` are the slot and header tables of the
+    models to start from.  A capsule's rewards are learned one after the other in sequence order, however many
+    they are, and only its model is held.  With `block`, those of each `block` consecutive sequence numbers are
+    learned from the start model side by side, and the blocks' models averaged: other models, asked for.  Returns
+    the new (header, slots), both read from one written table.
     """
-    low, high = spec.get("reward", "range")
-    bits, rate = spec.get("learner", "bits"), float(spec.get("learner", "learningRate"))
     if header is not None:
         marks = header.select(*KEY, F.col("reward_seq").alias("mark"))
         featurized = featurized.join(marks, KEY, "left").filter(
             F.col("seq") > F.coalesce("mark", F.lit(0))
         )
-    rows = featurized.filter(was_learned(F.col("detail"))).select(
+    own = F.col("settings")
+    shard = F.lit(0).cast("long") if block is None else F.floor(F.col("seq") / block)
+    rows = P.with_settings(featurized.filter(was_learned(F.col("detail"))), spec).filter(own["mode"] != "frozen").select(
         *KEY,
-        F.floor(F.col("seq") / block).alias("shard"),
+        shard.alias("shard"),
+        F.lit(1).alias("kind"),
         "seq",
-        normalized(F.col("value"), low, high).alias("y"),
-        learning_weight(spec, F.col("probability")).alias("h"),
+        normalized(F.col("value"), own["low"], own["high"]).alias("y"),
+        P.weight(own, F.col("probability")).alias("h"),
+        own["bits"].alias("bits"),
+        own["learning_rate"].alias("rate"),
         *chosen_features(),
     )
-    shards = rows.groupBy(*KEY, "shard").agg(F.count(F.lit(1)).alias("n"))
-    start = _start_rows(shards, snapshot, header)
-    trained = (
-        rows.groupBy(*KEY, "shard")
-        .cogroup(start.select(*[F.col(c).alias(c) for c in start.columns]).groupBy(*KEY, "shard"))
-        .applyInArrow(_trainer(bits, rate), TRAINED)
-    )
-    return _merged(written(trained, "trained"), bits, rate)
+    if snapshot is not None and header is not None:
+        start = _start_rows(snapshot, header)
+        if block is None:
+            start = start.withColumn("shard", F.lit(0).cast("long"))
+        else:
+            start = start.join(rows.select(*KEY, "shard").distinct(), KEY)
+        rows = rows.unionByName(start.withColumn("kind", F.lit(0)).withColumn("seq", F.col("start.slot")), allowMissingColumns=True)
+    else:
+        rows = rows.withColumn("start", F.lit(None).cast("struct<slot:bigint>"))
+    trained = stream_groups(rows, [*KEY, "shard"], ["kind", "seq"], _Fold, TRAINED)
+    return _merged(written(trained, "trained"))
 
 
 TRAINED = (
     "tenant string, job string, capsule string, shard bigint, slot bigint, "
     "u double, s double, a double, u0 double, s0 double, a0 double, "
-    "n bigint, t double, norm double, t0 double, norm0 double, n0 bigint, last bigint"
+    "n bigint, t double, norm double, t0 double, norm0 double, n0 bigint, last bigint, bits int, rate double"
 )
 
 
-def _start_rows(
-    shards: DataFrame, snapshot: DataFrame | None, header: DataFrame | None
-) -> DataFrame:
-    """The model every shard starts from; slot -1 carries the header."""
-    empty = shards.select(
-        *KEY, "shard", F.lit(-1).cast("long").alias("slot"),
-        *[F.lit(0.0).alias(c) for c in ("u", "s", "a", "t", "norm")],
-        F.lit(0).cast("long").alias("n"),
-    )
-    if snapshot is None or header is None:
-        return empty
-    heads = header.select(
-        *KEY, F.lit(-1).cast("long").alias("slot"),
-        *[F.lit(0.0).alias(c) for c in ("u", "s", "a")],
-        F.col("total_weight").alias("t"), F.col("norm_sum").alias("norm"),
-        F.col("n_updates").alias("n"),
+def _start_rows(snapshot: DataFrame, header: DataFrame) -> DataFrame:
+    """KEY and `start`: the slots of the models to start from; slot -1 carries the header."""
+    zero = F.lit(0.0)
+    head = F.struct(
+        F.lit(-1).cast("long").alias("slot"), *[zero.alias(c) for c in ("u", "s", "a")],
+        F.col("total_weight").alias("t"), F.col("norm_sum").alias("norm"), F.col("n_updates").alias("n"),
     )
-    body = snapshot.select(
-        *KEY, "slot", *[F.col(c).cast("double").alias(c) for c in ("u", "s", "a")],
-        F.lit(0.0).alias("t"), F.lit(0.0).alias("norm"), F.lit(0).cast("long").alias("n"),
+    body = F.struct(
+        "slot", *[F.col(c).cast("double").alias(c) for c in ("u", "s", "a")],
+        zero.alias("t"), zero.alias("norm"), F.lit(0).cast("long").alias("n"),
     )
-    return shards.select(*KEY, "shard").join(heads.unionByName(body), KEY)
-
-
-def _trainer(bits: int, rate: float):
-    def train(rows: pa.Table, start: pa.Table) -> pa.Table:
-        if rows.num_rows == 0:
-            return pa.Table.from_batches([], schema=_trained_schema())
-        rows = rows.sort_by("seq")
-        _, _, pair, slot, value = phi_of(rows, bits, False)
-        s_slot = start.column("slot").to_numpy()
-        slots = np.unique(np.concatenate((slot, s_slot[s_slot >= 0])))
-        model = Nag(len(slots), 1)
-        head = s_slot < 0
-        body = np.searchsorted(slots, s_slot[~head])
-        for name in ("u", "s", "a"):
-            getattr(model, name)[body, 0] = start.column(name).to_numpy()[~head]
-        t0 = float(start.column("t").to_numpy()[head].sum())
-        norm0 = float(start.column("norm").to_numpy()[head].sum())
-        n0 = int(start.column("n").to_numpy()[head].sum())
-        model.t[0], model.norm[0], model.n[0] = t0, norm0, n0
-        before = [getattr(model, name)[:, 0].astype(np.float64) for name in ("u", "s", "a")]
-        lengths = np.bincount(pair, minlength=rows.num_rows)
-        model.learn(
-            lengths, np.searchsorted(slots, slot), value.astype(np.float64),
-            rows.column("y").to_numpy(), rows.column("h").to_numpy(),
-            np.ones((rows.num_rows, 1)), rate,
+    return header.select(*KEY, head.alias("start")).unionByName(snapshot.select(*KEY, body.alias("start")))
+
+
+class _Fold:
+    """A capsule's (or block's) model while its start model and then its rewards pass by."""
+
+    def __init__(self, key: tuple) -> None:
+        self.key, self.model = key, Nag(0, 1)
+        self.start: list[pa.Table] | None = []
+        self.before = Nag(0, 1)
+        self.last, self.bits, self.rate = None, 0, 0.0
+
+    def add(self, part: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = int(part.num_rows - np.count_nonzero(part.column("kind").to_numpy()))
+        if starts:
+            self.start.append(part.slice(0, starts).select(["start"]))
+        if starts < part.num_rows:
+            if self.start is not None:
+                self._begin()
+            for piece in pieces(part.slice(starts)):
+                self._learn(piece)
+        return iter(())
+
+    def _begin(self) -> None:
+        """The start model in force."""
+        if self.start:
+            held = pa.concat_tables(self.start).combine_chunks().flatten()
+            of = {c: held.column(f"start.{c}").to_numpy() for c in ("slot", "u", "s", "a", "t", "norm", "n")}
+            body = of["slot"] >= 0
+            at = self.model.places(of["slot"][body])
+            for name in ("u", "s", "a"):
+                getattr(self.model, name)[at, 0] = of[name][body]
+            self.model.t[0], self.model.norm[0], self.model.n[0] = (of[c][~body].sum() for c in ("t", "norm", "n"))
+        self.start = None
+        for name in ("slots", "u", "s", "a", "t", "norm", "n"):
+            setattr(self.before, name, getattr(self.model, name).copy())
+
+    def _learn(self, rows: pa.Table) -> None:
+        self.bits, self.rate = rows.column("bits")[0].as_py(), rows.column("rate")[0].as_py()
+        _, _, pair, slot, value = phi_of(rows, self.bits, False)
+        self.model.learn(
+            np.bincount(pair, minlength=rows.num_rows), self.model.places(slot), value.astype(np.float64),
+            rows.column("y").to_numpy(), rows.column("h").to_numpy(), np.ones((rows.num_rows, 1)), self.rate,
         )
-        size = len(slots)
-        last = int(rows.column("seq").to_numpy()[-1])
-
-        def repeat(v, kind):
-            return pa.array(np.full(size, v), type=kind)
+        self.last = rows.column("seq")[-1].as_py()
 
-        keys = [rows.column(k)[0].as_py() for k in (*KEY, "shard")]
-        columns = [pa.array([k] * size, type=pa.string()) for k in keys[:3]]
-        columns.append(repeat(keys[3], pa.int64()))
-        columns.append(pa.array(slots, type=pa.int64()))
-        columns += [pa.array(getattr(model, c)[:, 0].astype(np.float64)) for c in ("u", "s", "a")]
-        columns += [pa.array(b) for b in before]
-        columns += [
-            repeat(int(model.n[0]), pa.int64()), repeat(model.t[0], pa.float64()),
-            repeat(model.norm[0], pa.float64()), repeat(t0, pa.float64()),
-            repeat(norm0, pa.float64()), repeat(n0, pa.int64()), repeat(last, pa.int64()),
-        ]
-        return pa.Table.from_arrays(columns, schema=_trained_schema())
-
-    return train
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.last is None:
+            return
+        m, old = self.model, self.before
+        at = old.places(m.slots)
+        for lo in range(0, len(m.slots), OUT_SLOTS):
+            part = slice(lo, lo + OUT_SLOTS)
+            size = len(m.slots[part])
+            same = [*self.key, int(m.n[0]), m.t[0], m.norm[0], old.t[0], old.norm[0], int(old.n[0]), self.last, self.bits, self.rate]
+            own = [m.slots[part], *[getattr(v, c)[i, 0].astype(np.float64) for v, i in ((m, part), (old, at[part])) for c in ("u", "s", "a")]]
+            columns = [*[[v] * size for v in same[:4]], *own, *[[v] * size for v in same[4:]]]
+            schema = _trained_schema()
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def _trained_schema() -> pa.Schema:
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}
     fields = [part.split() for part in TRAINED.split(", ")]
     return pa.schema([(name, kinds[kind]) for name, kind in fields])
 
 
-def _merged(trained: DataFrame, bits: int, rate: float) -> tuple[DataFrame, DataFrame]:
+def _merged(trained: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One model per capsule: weights are averaged by the blocks' new weight (one block's are its
     own), scales take the maximum and squared gradients add."""
     c = F.col
     per_shard = trained.groupBy(*KEY, "shard").agg(
-        *[F.first(x).alias(x) for x in ("n", "t", "norm", "t0", "norm0", "n0", "last")]
+        *[F.first(x).alias(x) for x in ("n", "t", "norm", "t0", "norm0", "n0", "last", "bits", "rate")]
     )
     header = per_shard.groupBy(*KEY).agg(
-        F.max("last").alias("reward_seq"),
+        F.max("last").alias("reward_seq"), F.first("bits").alias("bits"), F.first("rate").alias("rate"),
         (F.sum(c("n") - c("n0")) + F.max("n0")).alias("n_updates"),
         (F.sum(c("t") - c("t0")) + F.max("t0")).alias("total_weight"),
         (F.sum(c("norm") - c("norm0")) + F.max("norm0")).alias("norm_sum"),
     ).select(
         *KEY, c("n_updates").alias("version"), "reward_seq",
-        F.lit(None).cast("long").alias("ts_ms"), F.lit(bits).alias("bits"),
-        F.lit(rate).alias("learning_rate"), "n_updates", "total_weight", "norm_sum",
+        F.lit(None).cast("long").alias("ts_ms"), "bits", c("rate").alias("learning_rate"), "n_updates", "total_weight", "norm_sum",
     )
     new = c("t") - c("t0")
     slots = (
@@ -396,11 +432,12 @@ SCORE_ROWS = 50_000
 
 
 def predict(
-    featurized: DataFrame, slots: DataFrame, model_key: list[str], row_id: list[str], bits: int,
+    featurized: DataFrame, slots: DataFrame, model_key: list[str], row_id: list[str], bits: int | Column,
     shard_rows: int = SCORE_ROWS,
 ) -> DataFrame:
     """Rows with `predictions`, one clamped prediction per eligible action (L4, batch form).
 
+    `bits` is a number or a column with one value per model.
     Rows and slots of a model meet in one grouped task.  A model with many rows is served by
     several tasks, each with a bounded share of the rows and its own copy of the slots (at most
     2^bits of them), so one hot model neither fills a task nor needs a broadcast.
@@ -413,8 +450,9 @@ def predict(
         "shard", F.pmod(F.xxhash64(*row_id), F.col("shards"))
     )
     kept = [c for c in featurized.columns if c != "features"]
+    bits = (bits if isinstance(bits, Column) else F.lit(bits)).cast("int").alias("model_bits")
     rows = rows.select(
-        "shard", *kept, F.col("features.x").alias("x"), F.col("features.a").alias("a")
+        "shard", *kept, bits, F.col("features.x").alias("x"), F.col("features.a").alias("a")
     )
     weight = F.when(F.col("s") > 0, F.col("u").cast("double") / F.col("s").cast("double"))
     weighted = slots.select(*model_key, "slot", weight.alias("weight"))
@@ -429,7 +467,7 @@ def predict(
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return pa.Table.from_batches([], schema=_empty(left, kept))
-        per_row, a_row, pair, slot, value = phi_of(left, bits, False)
+        per_row, a_row, pair, slot, value = phi_of(left, left.column("model_bits")[0].as_py(), False)
         known = right.column("slot").to_numpy()
         order = np.argsort(known)
         known = known[order]
@@ -462,27 +500,32 @@ def _empty(table: pa.Table, kept: list[str]) -> pa.Schema:
 
 
 def decide(
-    requests: DataFrame, slots: DataFrame, header: DataFrame, spec: PolicySpec,
+    requests: DataFrame, slots: DataFrame, header: DataFrame, spec: PolicySpec | DataFrame,
     model_key: list[str] | None = None, row_id: list[str] | None = None,
 ) -> DataFrame:
     """Decisions for a table of requests.
 
     `requests` carries KEY, id, seed, actions, eligible (see `restrict`), features and, in
-    baselineExplore mode, `baseline` (an action id).  Models are found by `model_key`.
+    baselineExplore mode, `baseline` (an action id).  Models are found by `model_key`; `spec` is one spec
+    or a spec table, by which every capsule is served by its own.
     """
-    model_key, row_id = model_key or list(KEY), row_id or ["id"]
-    requests = requests.drop("model_version")
-    df = predict(requests, slots, model_key, row_id, spec.get("learner", "bits"))
+    model_key, row_id, spec = model_key or list(KEY), row_id or ["id"], P.once(spec)
+    requests = P.with_settings(requests.drop("model_version"), spec).withColumn("model_bits_", F.col("settings.bits"))
+    df = predict(requests.drop("settings"), slots, model_key, row_id, F.col("model_bits_")).drop("model_bits_")
     versions = header.select(*model_key, F.col("n_updates").alias("model_version"))
     df = df.join(versions, model_key, "left").withColumn(
         "model_version", F.coalesce("model_version", F.lit(0).cast("long"))
     )
-    if spec.get("mode") == "baselineExplore":
+    own = F.col("settings")
+    df = P.with_settings(df, spec)
+    pmf = settings_pmf(own, F.col("predictions"), F.col("model_version"))
+    if "baseline" in df.columns:
         index = F.array_position(F.transform("actions", lambda a: a["id"]), F.col("baseline")) - 1
         position = F.array_position("eligible", index.cast("int")).cast("int") - 1
-        pmf = baseline_explore(F.size("eligible"), position, spec.get("baselineEpsilon"))
+        explored = baseline_explore(F.size("eligible"), position, own["baseline_epsilon"])
     else:
-        pmf = serving_pmf(spec, F.col("predictions"), F.col("model_version"))
+        explored = F.raise_error(F.lit("baselineExplore needs a column baseline")).cast("array<double>")
+    pmf = F.when(own["mode"] == "baselineExplore", explored).otherwise(pmf)
     df = once(df, *df.columns, pmf.alias("pmf"), uniform_of_seed(F.col("seed")).alias("uniform"))
     df = once(df, *df.columns, draw(F.col("pmf"), F.col("uniform")).alias("picked"))
     return df.select(
@@ -490,5 +533,5 @@ def decide(
         F.get("eligible", F.col("picked")).alias("chosen_index"),
         F.get(F.col("actions.id"), F.get("eligible", F.col("picked"))).alias("chosen_id"),
         F.get("pmf", F.col("picked")).alias("probability"),
-        F.lit(spec.get("mode")).alias("mode"),
-    ).drop("picked", "uniform")
+        own["mode"].alias("mode"),
+    ).drop("picked", "uniform", "settings")

@@ -14,6 +14,7 @@ from policylens.operators.bootstrap import intervals
 from policylens.operators.reports import in_window
 from policylens.operators.reward_model import cell_means, cross_fit, reward_scale
 from policylens.operators.validate import data_summary
+from policylens.plans import nag_sql as N
 from policylens.plans import oracle as O
 from policylens.plans.evaluate import EvalConfig, evaluate
 from policylens.plans.log_queries import LOG, NOW, logged
@@ -216,33 +217,54 @@ def o7(spark, folder):
 def linear(spark: SparkSession, folder: str, **options) -> DataFrame:
     d = X.featurize(rows(spark, folder), options.pop("declared", None))
     spec = options.pop("spec", PolicySpec.of())
-    return cross_fit(d, spec, X.fold_of(F.col("id"), 5), 5, **options)
+    return cross_fit(d, spec, fold(), 5, shard=F.col("arrival") % 8, **options)
 
 
-@query("O6_policy_spec")
+def out_of_fold(policies: str, **options) -> str:
+    """Metrics over out-of-fold predictions of the hashed linear learner, to four decimals."""
+    names = ["logged_mean", "dm", "ips", "snips", "dr", "lift_dr", "dr_se", "coverage", "mean_weight"]
+    cells = ", ".join(f"round({n}, 4) AS {n}" for n in names)
+    return ", ".join([N.cross_fitted(**options), O.terms(policies), O.METRICS]) + f" SELECT capsule, policy, n, {cells} FROM am"
+
+
+def four_decimals(t: DataFrame) -> DataFrame:
+    names = ["logged_mean", "dm", "ips", "snips", "dr", "lift_dr", "dr_se", "coverage", "mean_weight"]
+    return rounded(S.metrics(t).select("capsule", "policy", "n", *names), 4)
+
+
+#: The declared features of the candidate below: click costs nothing, view has none.
+DECLARED = """SELECT action, 'cost' AS feature, CASE WHEN action = 'click' THEN 0 ELSE cost END::FLOAT AS av FROM acts WHERE action <> 'view'"""
+
+
+@query("O6_policy_spec", out_of_fold(
+    GREEDY.replace("'greedy'", "'spec:candidate'"), bits=16, context=False, passes=[1.0], rate=0.3, features=DECLARED))
 def o6(spark, folder):
     """Greedy over a learner with other settings and declared action features."""
     spec = PolicySpec.of({"learner": {"bits": 16, "learningRate": 0.3}})
     d = linear(
         spark, folder, spec=spec, with_context=False, declared={"click": {"cost": 0.0}, "view": {}}
     )
-    t = S.terms(T.sweep(d, [T.greedy(label="spec:candidate")]))
-    return rounded(S.metrics(t).drop("tenant", "job"))
+    return four_decimals(S.terms(T.sweep(d, [T.greedy(label="spec:candidate")])))
+
+
+def served_sql(scale: float, floor: float) -> str:
+    """What a SquareCB spec serves, as `SERVED` with its settings."""
+    return SERVED.replace("0.9 *", f"{1 - floor} *").replace("+ 0.1 / k", f"+ {floor} / k").replace("2.0 * sqrt", f"{scale} * sqrt")
 
 
-@query("O8_cross_fit")
+@query("O8_cross_fit", out_of_fold(
+    GREEDY + " UNION ALL " + served_sql(10.0, 0.05).replace("SELECT *, 'candidate", "SELECT * EXCLUDE (others, p, top, best, u), 'candidate"),
+    bits=18, context=False, passes=[1.0]))
 def o8(spark, folder):
     """Greedy and served policies of the learner as it learns online, out of fold."""
     d = linear(spark, folder, with_context=False)
-    t = S.terms(T.sweep(d, [T.greedy(), T.served(PolicySpec.of())]))
-    return rounded(S.metrics(t).drop("tenant", "job"))
+    return four_decimals(S.terms(T.sweep(d, [T.greedy(), T.served(PolicySpec.of())])))
 
 
-@query("O9a_linear_reward_model")
+@query("O9a_linear_reward_model", out_of_fold(O.CONSTANTS, bits=18, context=True, passes=[1.0, 0.25, 0.0625]))
 def o9a(spark, folder):
     """DM and DR of every constant policy with the hashed linear reward model."""
-    t = S.terms(T.action_constants(linear(spark, folder)))
-    return rounded(S.metrics(t).drop("tenant", "job"))
+    return four_decimals(S.terms(T.action_constants(linear(spark, folder))))
 
 
 @query("O9b_cell_reward_model", "WITH " + ", ".join([O.LOG, O.CELLS]) + """

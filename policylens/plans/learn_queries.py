@@ -10,6 +10,7 @@ from policylens.operators import ingest as I
 from policylens.operators import joins as J
 from policylens.operators import learner as L
 from policylens.operators.uploads import verify_uploads
+from policylens.plans import nag_sql as N
 from policylens.plans import oracle as O
 from policylens.plans.log_queries import LOG, NOW, logged
 from policylens.plans.registry import query, r, rounded
@@ -61,35 +62,7 @@ def f2(spark, folder):
     )
 
 
-def _space(tag: int, text: str) -> str:
-    return O.fnv(f"list_concat([{tag}::UHUGEINT, 0::UHUGEINT], {O.text_bytes(text)})")
-
-
-def _pair(a: str, b: str) -> str:
-    return O.fnv(O.word_bytes(b), O.fnv(O.word_bytes(a)))
-
-
-#: Feature vectors of every (hour, segment, action), as SQL: (hour, seg, action, slot, x).
-PHI = f"""
-rq AS (SELECT DISTINCT hour, seg FROM log),
-xf AS (
-  SELECT 'hour' AS name, NULL::BIGINT AS xseg, {_space(99, "'hour'")} AS xh
-  UNION ALL SELECT concat('seg=s', seg), seg, {_space(99, "concat('seg=s', seg)")}
-  FROM (SELECT DISTINCT seg FROM log)),
-af AS (
-  SELECT action, {_space(97, "concat('id=', action)")} AS ah, 1.0::FLOAT AS av FROM acts
-  UNION ALL SELECT action, {_space(97, "'cost'")}, cost::FLOAT FROM acts),
-raw AS (
-  SELECT hour, seg, action, {_space(98, "'bias'")} AS h, 1.0::DOUBLE AS v
-  FROM rq JOIN acts ON NOT (seg = 3 AND action = 'signup')
-  UNION ALL SELECT hour, seg, action, ah, av FROM rq JOIN af ON NOT (seg = 3 AND action = 'signup')
-  UNION ALL SELECT hour, seg, action, {_pair("xh", "ah")},
-    ((CASE WHEN name = 'hour' THEN hour ELSE 1 END)::DOUBLE * av::DOUBLE)::FLOAT
-  FROM rq JOIN af ON NOT (seg = 3 AND action = 'signup')
-  JOIN xf ON xseg IS NULL OR xseg = seg),
-phi AS (SELECT hour, seg, action, slot, sum(v)::FLOAT AS x FROM (
-  {O.chain("raw", f"hour, seg, action, v, (m3 % {1 << BITS})::BIGINT AS slot", O.mix("h"))})
-  GROUP BY ALL HAVING sum(v)::FLOAT <> 0)"""
+PHI = N.phi(BITS)
 
 
 @query("F3_phi", LOG + f""", {PHI}
@@ -117,7 +90,7 @@ def f4(spark, folder):
 
 
 @query("F5_action_features", LOG + f"""
-SELECT log.capsule, log.id, action, {O.signed(_space(97, "concat('id=', action)"))} AS id_hash
+SELECT log.capsule, log.id, action, {O.signed(N._space(97, "concat('id=', action)"))} AS id_hash
 FROM log JOIN acts ON NOT (seg = 3 AND action = 'signup')""")
 def f5(spark, folder):
     d = X.featurize(event_decisions(spark, folder))
@@ -156,26 +129,35 @@ def header_and_slots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
     return L.fold_models(learning_rows(spark, folder), SPEC)
 
 
-@query("L1_nag_model")
+@query("L1_nag_model", N.models(BITS) + """
+SELECT capsule, slot, round(u::DOUBLE, 4) AS u, round(s::DOUBLE, 4) AS s, round(a::DOUBLE, 3) AS a FROM slots""")
 def l1(spark, folder):
-    """Slots of every capsule's model after learning from its whole reward log."""
+    """Slots of every capsule's model after learning from its whole reward log, one reward after the other."""
     _, slots = header_and_slots(spark, folder)
-    single = {c: F.col(c).cast("double") for c in ("u", "s", "a")}
-    return rounded(slots.withColumns(single).drop("tenant", "job"), 4)
+    return slots.select(
+        "capsule", "slot", *[r(F.col(c).cast("double"), d).alias(c) for c, d in (("u", 4), ("s", 4), ("a", 3))]
+    )
 
 
-@query("L2_fold_models", LOG + """
-SELECT rw.capsule, count(*) AS n_updates, max(rw.seq) AS reward_seq,
-  count(*)::DOUBLE AS total_weight
-FROM rw JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP BY ALL""")
+@query("L2_fold_models", N.models(BITS) + """,
+top AS (SELECT capsule, max(seq) AS reward_seq FROM rw JOIN logp USING (capsule) WHERE logp.id = rw.decision_id GROUP BY ALL)
+SELECT capsule, n AS n_updates, reward_seq, round(t, 4) AS total_weight, round(q, 4) AS norm_sum, count(*) AS n_slots,
+  round(sum(slots.u::DOUBLE / slots.s::DOUBLE), 4) AS weights
+FROM model JOIN top USING (capsule) JOIN slots USING (capsule) WHERE slots.s > 0 GROUP BY ALL""")
 def l2(spark, folder):
-    """Model headers: a first model, then the later rewards folded onto it."""
+    """A first model, then the later rewards folded onto it: the same as all rewards one after the other."""
     data = learning_rows(spark, folder)
     half = data.agg((F.max("seq") / 2).cast("bigint").alias("half")).first()["half"]
     head, slots = L.fold_models(data.filter(F.col("seq") <= half), SPEC)
     head, slots = checkpointed(head), checkpointed(slots)
-    head2, _ = L.fold_models(data, SPEC, slots, head)
-    return head2.select("capsule", "n_updates", "reward_seq", "total_weight")
+    head2, slots2 = L.fold_models(data, SPEC, slots, head)
+    weights = slots2.filter("s > 0").groupBy("capsule").agg(
+        F.count(F.lit(1)).alias("n_slots"), r(F.sum(F.col("u").cast("double") / F.col("s").cast("double")), 4).alias("weights")
+    )
+    return head2.join(weights, "capsule").select(
+        "capsule", "n_updates", "reward_seq", r("total_weight", 4).alias("total_weight"), r("norm_sum", 4).alias("norm_sum"),
+        "n_slots", "weights",
+    )
 
 
 def weight_table(df: DataFrame, bits: int) -> DataFrame:

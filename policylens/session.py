@@ -79,8 +79,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
-    """`df` joined to a table with one row per key, without moving `df` when that is safe.
+def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`df` joined (inner or left) to a table with one row per key, without moving `df` when that is safe.
 
     The table is written once, its rows counted and their size summed: a small one is broadcast,
     a large one is joined by shuffle, where AQE splits hot keys.
@@ -89,4 +89,4 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
     width = F.octet_length(F.to_json(F.struct(*per_key.columns)))
     rows, size = per_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
-    return df.join(F.broadcast(per_key) if small else per_key, keys)
+    return df.join(F.broadcast(per_key) if small else per_key, keys, how)
