@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylens.operators.joins import decision_key, known_rewards, unrewarded
+from policylens.operators.specs import with_settings
 from policylens.operators.validate import validate_decisions, validate_rewards
 from policylens.schema import DEFERRED_TTL_MS, KEY
 
@@ -202,6 +203,28 @@ def default_rewards(
     )
 
 
+def default_rewards_by_spec(
+    decisions: DataFrame, rewards: DataFrame, now_ms: int, specs: DataFrame, arrived_ms: Column | None = None
+) -> DataFrame:
+    """`default_rewards` with each capsule's own default, wait, range and mode, from a spec table (E5).
+
+    Capsules whose spec has no default get none.
+    """
+    own = F.col("settings")
+    wait = own["wait_seconds"] * 1000
+    rows = with_settings(decisions, specs).filter(own["reward_default"].isNotNull())
+    due = unrewarded(rows.filter(F.col("ts_ms") <= now_ms - wait), rewards, now_ms)
+    if arrived_ms is not None:
+        due = due.filter(arrived_ms <= F.col("ts_ms") + wait)
+    norm = (own["reward_default"] - own["low"]) / (own["high"] - own["low"])
+    return due.select(
+        *KEY, F.col("id").alias("decision_id"), F.lit(now_ms).cast("long").alias("ts_ms"),
+        own["reward_default"].alias("value"), F.least(F.greatest(norm, F.lit(0.0)), F.lit(1.0)).alias("value_norm"),
+        F.when(own["rewards"] == "first", F.col("id")).otherwise(F.concat(F.col("id"), F.lit(":default"))).alias("idempotency_key"),
+        F.lit('{"default":true}').alias("detail"), *[c for c in ("arrival",) if c in decisions.columns],
+    )
+
+
 def activate(
     deferred: DataFrame, activations: DataFrame, held: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

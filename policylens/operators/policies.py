@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylens.functions.pmf import argmax, one_hot, serving_pmf, total
+from policylens.functions.pmf import argmax, one_hot, serving_pmf, settings_pmf, total
 from policylens.schema import PMF_SUM_TOLERANCE
 from policylens.spec import PolicySpec
 
@@ -65,6 +65,18 @@ def served(
     return Target(label, serving_pmf(spec, F.col(predictions), F.col(n_updates)), F.lit(False))
 
 
+def served_by_settings(
+    settings: Column, predictions: str = "rhat_norm", n_updates: str = "n_updates", label: str = "own spec",
+) -> Target:
+    """What each row's capsule would serve by its own spec (O7); `settings` is the column of `specs.with_settings`.
+
+    A capsule in baselineExplore mode fails the job: the log does not record each request's baseline action.
+    """
+    told = F.raise_error(F.lit("the log does not record each request's baseline action")).cast("array<double>")
+    pi = settings_pmf(settings, F.col(predictions), F.col(n_updates))
+    return Target(label, F.when(settings["mode"] == "baselineExplore", told).otherwise(pi), F.lit(False))
+
+
 def sweep(df: DataFrame, targets: Sequence[Target]) -> DataFrame:
     """One row per decision and policy; a plain projection when there is one policy."""
     if len(targets) == 1:

@@ -8,6 +8,7 @@ from policylens.plans import (  # noqa: F401
     eval_queries,
     learn_queries,
     log_queries,
+    spec_queries,
     stream_queries,
 )
 from policylens.plans.registry import ORACLE, QUERIES

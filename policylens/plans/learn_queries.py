@@ -202,18 +202,6 @@ def l3_frozen(spark, folder):
     )
 
 
-@query("L5_decide_batch")
-def l5(spark, folder):
-    """Every event decided again by the model learned from the log."""
-    header, slots = header_and_slots(spark, folder)
-    requests = X.featurize(event_decisions(spark, folder).drop("pmf", "probability", "chosen_index",
-                                                               "chosen_id", "mode"))
-    out = L.decide(requests, slots, header, SPEC)
-    return out.select(
-        "capsule", "id", "chosen_id", r("probability", 4).alias("probability"), "model_version"
-    )
-
-
 def upload_lines(decided: DataFrame) -> DataFrame:
     """Client batches: one JSON line per decision, as a client would upload it."""
     item = F.struct(
