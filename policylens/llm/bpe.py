@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylens.llm.common import column
+from policylens.llm.common import column, give_back
 
 #: Distinct pre-tokens that a task remembers before it starts afresh.
 CACHE = 200_000
@@ -126,6 +126,7 @@ def encode_documents(
                     [column(part, "row"), pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
                     ["row", "token_ids", "decoded"],
                 )
+        give_back()
 
     out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, token_ids binary, decoded binary")
     n_tokens = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from policylens.session import shared_folder
 SLICE_ROWS = 512
 #: Rows that a group of a sample has at least, if it holds as many.
 LEAST_ROWS = 20
+#: Groups of a sample that have a room of their own.
+MOST_GROUPS = 100
 
 
 def arrow_map(
@@ -26,10 +29,18 @@ def arrow_map(
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 yield work(batch.slice(start, rows))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: workers live on and serve later stages beside the executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -72,19 +83,32 @@ def bounded_sample(rows: DataFrame, groups: list[str], most: int, most_bytes: in
     """About `most` rows (all, if there are fewer), chosen in each group by the column `hash`.
 
     Small groups come whole and leave their room to the others; a group has `LEAST_ROWS` at least, if it
-    holds as many.  With `most_bytes` there are so few rows that the column `bytes` sums to about that at most;
+    holds as many.  Beyond the `MOST_GROUPS` largest, groups share a quarter of the room as one, so that many groups do not
+    lift the bound.  With `most_bytes` there are so few rows that the column `bytes` sums to about that at most;
     which rows are taken does not depend on it.  Of the rows of a group that are equal in `hash` one is taken.
     """
     size = F.lit(0.0) if most_bytes is None else F.avg("bytes")
-    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("hash", 0.01).alias("n"), size.alias("size")).collect()
+    counts = rows.groupBy(*groups).agg(F.approx_count_distinct("hash", 0.01).alias("n"), size.alias("size"))
+    counts = counts.orderBy(F.desc("n"), *groups).limit(MOST_GROUPS + 1).collect()
+    types = [f"`__{g}` {rows.schema[g].dataType.simpleString()}" for g in groups]
+
+    def table_of(held: list[tuple], *more: str) -> tuple[DataFrame, list[Column]]:
+        """A small table by group, to broadcast, and how rows meet it."""
+        table = F.broadcast(rows.sparkSession.createDataFrame(held, ", ".join([*types, *more])))
+        return table, [rows[f"`{g}`"].eqNullSafe(table[f"`__{g}`"]) for g in groups]
+
+    if len(counts) > MOST_GROUPS:
+        large, same = table_of([tuple(r[g] for g in groups) for r in counts[:MOST_GROUPS]])
+        part = None if most_bytes is None else most_bytes // 4
+        named = bounded_sample(rows.join(large, same, "left_semi"), groups, most - most // 4, None if part is None else most_bytes - part)
+        pool = rows.join(large, same, "left_anti").withColumn("__pool", F.lit(0))
+        return named.unionByName(bounded_sample(pool, ["__pool"], most // 4, part).drop("__pool"))
     each = room([r["n"] for r in counts], most)
     while most_bytes is not None and each > LEAST_ROWS and sum(min(r["n"], each) * r["size"] for r in counts) > most_bytes:
         each = max(LEAST_ROWS, each * 9 // 10)
     cut = [(*[r[g] for g in groups], each / r["n"]) for r in counts if r["n"] > each]
     if cut:
-        types = [f"`__{g}` {rows.schema[g].dataType.simpleString()}" for g in groups]
-        shares = F.broadcast(rows.sparkSession.createDataFrame(cut, ", ".join([*types, "__share double"])))
-        same = [rows[f"`{g}`"].eqNullSafe(shares[f"`__{g}`"]) for g in groups]
+        shares, same = table_of(cut, "__share double")
         at = F.pmod("hash", F.lit(1 << 52)) / (1 << 52)
         rows = rows.join(shares, same, "left").where(F.col("__share").isNull() | (at < F.col("__share"))).select(*[f"`{c}`" for c in rows.columns])
     return rows.dropDuplicates([*groups, "hash"])

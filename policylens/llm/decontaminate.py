@@ -151,17 +151,17 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
 
     Null and empty texts have no words and no hits.  Rows that share an id and a text get the same
     result each; rows that share only an id are told apart; a null id is kept.  Without test items
-    nothing is hit.  Items without an id are left out, as the SQL twin has it; removal counts them.
+    nothing is hit.  Items without an id hit words like any other and are left out of `n_items` and `item_ids` only.
     Other columns play no part.
     """
-    items = written(item_windows(benchmark), "test-windows")
+    items = written(item_windows(benchmark, nameless=True), "test-windows")
     hits = written(find(docs, items, text, doc_id), "test-hits")
     covered = spans(hits).groupBy("key").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     named = (
-        hits.select("key", "window").distinct().join(items.select("window", "item_id"), "window")
+        hits.select("key", "window").distinct().join(items.where("item_id is not null").select("window", "item_id"), "window")
         .groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    found = covered.join(named, "key")
+    found = covered.join(named, covered["key"].eqNullSafe(named["key"]), "left").drop(named["key"])
     counted = keyed(docs, text, doc_id).select("key", F.size("w").cast("long").alias("n_words"))
     return counted.join(found, counted["key"].eqNullSafe(found["key"]), "left").select(
         counted["key"]["id"].alias(doc_id),

@@ -13,6 +13,7 @@ texts outside the profile reach, in units that allow for the text's length.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, sample_hash, sigmoid
+from policylens.llm.common import SLICE_ROWS, arrow_map, bounded_sample, column, flat_bytes, give_back, sample_hash, sigmoid
 
 #: Hashed trigrams.
 DIMS = 4096
@@ -117,28 +118,40 @@ class Profiles:
 
 
 def profiles(x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> tuple[Profiles | None, set[str]]:
-    """The profiles of the languages with `HELD_BACK` rows or more, and the names of the others.
+    """The profiles of the languages with two rows or more, and the names of the others.
 
-    The bound is such that `FITTING` of the rows held back fit.
+    The bound is such that `FITTING` of the rows held back fit; a language with fewer than `HELD_BACK` rows holds back
+    each of them in turn, and has a say in the bound only if all languages are like that.
     """
+    square = np.square(x)
     logs, usual, spread, held, few = [], [], [], [], set()
+
+    def log_share(rows: np.ndarray) -> np.ndarray:
+        return np.log((square[rows].mean(0) * (1 - SPREAD) + SPREAD / DIMS).astype(np.float64))
+
     for name in sorted(set(langs)):
         rows = np.flatnonzero((langs == name) & (n > 0))
-        back = rows[HELD_BACK - 1 :: HELD_BACK]
-        if not len(back):
+        if len(rows) < 2:
             few.add(name)
             continue
-        share = (np.square(x[np.setdiff1d(rows, back)]).mean(0) * (1 - SPREAD) + SPREAD / DIMS).astype(np.float64)
-        log = np.log(share)
+        large = len(rows) >= HELD_BACK
+        back = rows[HELD_BACK - 1 :: HELD_BACK] if large else rows
+        log = log_share(np.setdiff1d(rows, back) if large else rows)
+        reached = square[back] @ log if large else np.array([square[i] @ log_share(np.setdiff1d(rows, [i])) for i in rows])
+        share = np.exp(log)
         logs.append(log)
-        usual.append(np.median(np.square(x[back]) @ log))
+        usual.append(np.median(reached))
         spread.append(np.sqrt((share * np.square(log - (share * log).sum())).sum()))
-        held.append(back)
+        held.append((large, back, reached))
     if not logs:
         return None, few
     found = Profiles(np.stack(logs).astype(np.float32), np.array(usual), np.maximum(spread, 1e-3), -np.inf)
-    reached = np.concatenate([found.deviation(x[back], n[back])[:, k] for k, back in enumerate(held)])
-    found.least = min(float(np.quantile(reached, 1 - FITTING, method="lower")), -SURE)
+    any_large = any(large for large, _, _ in held)
+    deviations = [
+        (reached - usual[k]) / (np.sqrt(1 / np.maximum(n[back], 1) + 1 / ENOUGH) * found.spread[k])
+        for k, (large, back, reached) in enumerate(held) if large or not any_large
+    ]
+    found.least = min(float(np.quantile(np.concatenate(deviations), 1 - FITTING, method="lower")), -SURE)
     return found, few
 
 
@@ -146,7 +159,7 @@ def profiles(x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> tuple[Profiles
 class LanguageModel:
     """`groups`: languages by family.  `of_family`: one machine each.  `of_pair`: one per pair of a family.
 
-    `profiles` say which texts fit a language; `few` are the languages with too few rows for one.
+    `profiles` say which texts fit a language; `few` are the languages with a single row, which have none.
     """
 
     groups: dict[str, list[str]] = field(default_factory=dict)
@@ -161,13 +174,13 @@ class LanguageModel:
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and whether the text fits a learned language.
 
-        A language with fewer than `HELD_BACK` rows has no bound, so what is taken for it fits.
+        A text fits if it fits some language's profile; only where no language has one, there is nothing to judge by, and all fit.
         """
         lettered = [bool(t) and any(map(str.isalpha, t)) for t in texts]
         if not self.groups:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts), [False] * len(texts)
         plain, n = counted(texts)
-        near = (self.profiles.deviation(plain, n) >= self.profiles.least).any(1) if self.profiles else np.zeros(len(texts), bool)
+        near = (self.profiles.deviation(plain, n) >= self.profiles.least).any(1) if self.profiles else np.ones(len(texts), bool)
         x = np.hstack([plain, np.ones((len(texts), 1), np.float32)])
         names = sorted(self.groups)
         margins = np.stack([x @ self.of_family[n] for n in names], 1) if len(names) > 1 else np.full((len(x), 1), 1.0)
@@ -190,7 +203,7 @@ class LanguageModel:
             mean = against[best] / max(1, len(members) - 1) if len(members) > 1 else 1.0
             langs.append(best)
             scores.append(float(sigmoid(4 * margins[i, chosen[i]]) * sigmoid(4 * mean)))
-        fits = [has and (bool(near[i]) or langs[i] in self.few) for i, has in enumerate(lettered)]
+        fits = [has and bool(near[i]) for i, has in enumerate(lettered)]
         return langs, scores, fits
 
 
@@ -240,15 +253,19 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     are kept.  Columns of `docs` named `lang_pred`, `score` or `fits` are replaced.
     """
     kept = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score", "fits")]
-    held = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{text}`").alias("text"))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores, fits = model.judge(column(batch, "text").to_pylist())
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())],
-            ["row", "lang_pred", "score", "fits"],
-        )
 
-    row_type = held.schema["row"].dataType.simpleString()
-    out = arrow_map(held, work, f"row {row_type}, lang_pred string, score double, fits boolean")
-    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score", "fits")
+    @F.arrow_udf("struct<lang_pred:string,score:double,fits:boolean>")
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            parts = []
+            for start in range(0, len(batch), SLICE_ROWS):
+                langs, scores, fits = model.judge(batch.slice(start, SLICE_ROWS).to_pylist())
+                arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())]
+                parts.append(pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "fits"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("fits", pa.bool_())]))
+        give_back()
+
+    # only the text goes to Python, once, and only the answer comes back
+    judged = docs.select(*[F.col(f"`{c}`") for c in kept], judge(F.col(f"`{text}`")).alias("judged of langid"))
+    answer = F.col("`judged of langid`")
+    return judged.select(*[f"`{c}`" for c in kept], *[answer[c].alias(c) for c in ("lang_pred", "score", "fits")])

@@ -42,7 +42,7 @@ OP1_SQL = r"""
 with item_words as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
-  from benchmark where item_id is not null and text is not null),
+  from benchmark where text is not null),
 doc_words as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -61,7 +61,7 @@ covered as (
   from (select doc_id, unnest(generate_series(i, i + n - 1)) as k from hits) group by doc_id),
 named as (
   select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
-  from (select distinct doc_id, cast(item_id as varchar) as id from hits) group by doc_id)
+  from (select distinct doc_id, cast(item_id as varchar) as id from hits where item_id is not null) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from doc_words left join covered using (doc_id) left join named using (doc_id)
@@ -147,12 +147,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-with doc_words as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+with doc_words as (select distinct doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
 windows as (
   select doc_id, i, array_to_string(w[i:i + 19], ' ') as win
   from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from doc_words)),
 later as (
-  select doc_id, i from (select doc_id, i, row_number() over (partition by win order by doc_id, i) as k from windows) where k > 1),
+  select doc_id, i from (select doc_id, i, rank() over (partition by win order by doc_id, i) as k from windows) where k > 1),
 gone as (select distinct doc_id, unnest(generate_series(i, i + 19)) as k from later),
 cut as (select doc_id, list(k) as ks, count(*) as n_removed from gone group by doc_id),
 kept as (
@@ -160,7 +160,7 @@ kept as (
   from (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as k from doc_words) anti join gone using (doc_id, k)
   group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(words, '')) as kept_sha256
-from doc_words left join cut using (doc_id) left join kept using (doc_id)
+from documents join doc_words using (doc_id) left join cut using (doc_id) left join kept using (doc_id)
 """
 
 

@@ -15,17 +15,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylens.llm import anchors as A
-from policylens.llm.common import column, written
+from policylens.llm.common import column, give_back, written
 
 _N = A.KIND_BITS + 1
 _OFFSET = _N + A.N_BITS
 
 
-def _named(docs: DataFrame, text: str, doc_id: str, others: list[str]) -> DataFrame:
-    """(doc, loc, text) and the other columns by number."""
+def _named(docs: DataFrame, text: str, doc_id: str, others: list[str], nameless: bool = False) -> DataFrame:
+    """(doc, loc, text) and the other columns by number.
+
+    `nameless`: a row without an id is named by a hash of its text, so that it takes part.
+    """
     crc = F.crc32(F.col(f"`{text}`").cast("binary"))
+    doc, kind = F.col(f"`{doc_id}`"), docs.schema[doc_id].dataType.simpleString()
+    if nameless:
+        own = F.xxhash64(F.lit("nameless"), F.col(f"`{text}`"))
+        doc = F.coalesce(doc, (own if kind in ("bigint", "string") else F.pmod(own, F.lit(1 << 31))).try_cast(kind))
     return docs.select(
-        F.col(f"`{doc_id}`").alias("doc"),
+        doc.alias("doc"),
         F.shiftleft(crc, 32).alias("loc"),
         F.col(f"`{text}`").alias("text"),
         *[F.col(f"`{c}`").alias(f"other{i}") for i, c in enumerate(others)],
@@ -35,9 +42,9 @@ def _named(docs: DataFrame, text: str, doc_id: str, others: list[str]) -> DataFr
 _TAKES_PART = "doc is not null and text is not null and loc is not null"
 
 
-def pieces_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Whole texts as pieces.  Null texts and rows without an id take no part."""
-    return _named(docs, text, doc_id, []).where(_TAKES_PART)
+def pieces_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", nameless: bool = False) -> DataFrame:
+    """Whole texts as pieces.  Null texts take no part, and rows without an id only if `nameless`."""
+    return _named(docs, text, doc_id, [], nameless).where(_TAKES_PART)
 
 
 def _id_type(pieces: DataFrame) -> str:
@@ -88,6 +95,8 @@ def cell_rows(pieces: DataFrame, unit: str, length: int, gram: int) -> DataFrame
                     ids, held, size = [], [], 0
         if size:
             yield flush()
+        ids, held = [], []
+        give_back()
 
     return pieces.mapInArrow(run, A.CELL_SCHEMA.format(id=_id_type(pieces)))
 
@@ -171,24 +180,24 @@ def spans(marks: DataFrame) -> DataFrame:
     return marks.where("repeated").select("doc", (F.col("piece") + F.col("offset")).alias("loc"), "n")
 
 
-def with_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
+def with_spans(docs: DataFrame, found: DataFrame, text: str, doc_id: str, keep: list[str], nameless: bool = False) -> DataFrame:
     """(row, text, spans): the columns `keep`, the text as bytes and an array of (start, n) of its repeated
     windows, null if there are none.
 
     Texts are dealt out here as in `below`, so one shuffle of them serves both.
     """
-    others = [c for c in keep if c not in (doc_id, text)]
+    others = [c for c in keep if c != text]
     per_doc = found.groupBy("doc", F.shiftleft(F.shiftrightunsigned("loc", 32), 32).alias("whole")).agg(
         F.collect_list(F.struct(F.col("loc").bitwiseAND(0xFFFFFFFF).alias("start"), "n")).alias("spans")
     )
-    named = _named(docs, text, doc_id, others)
+    named = _named(docs, text, doc_id, others, nameless)
     whole = named.where(_TAKES_PART)
     joined = whole.join(per_doc, (whole["doc"] == per_doc["doc"]) & (whole["loc"] == per_doc["whole"]), "left")
     rest = named.where(f"not ({_TAKES_PART})")
-    place = {doc_id: "doc", text: "text"} | {c: f"other{i}" for i, c in enumerate(others)}
+    place = {text: "text"} | {c: f"other{i}" for i, c in enumerate(others)}
 
     def shaped(df: DataFrame, spans_: Column) -> DataFrame:
-        row = F.struct(*[(whole["doc"] if df is joined and place[c] == "doc" else F.col(place[c])).alias(c) for c in keep])
+        row = F.struct(*[F.col(place[c]).alias(c) for c in keep])
         return df.select(row.alias("row"), F.col("text").cast("binary").alias("text"), spans_.alias("spans"))
 
     none = F.lit(None).cast(per_doc.schema["spans"].dataType)

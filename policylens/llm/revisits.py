@@ -58,7 +58,8 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
     empty.  Repeated rows are resolved one by one.  Columns named like a new one are replaced.
     """
     headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    order = F.struct("ts", "record_id")
+    # records that share a time and an id stand by kind and digest
+    order = F.struct("ts", "record_id", "kind", "digest")
     response = F.when(
         (F.col("kind") == "response") & (F.col("status") == 200),
         F.struct(order.alias("at"), F.col("record_id").alias("id"), headers.alias("headers"), F.col("digest").alias("digest")),

@@ -232,12 +232,20 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     A row without an id stays.  Of rows equal in id and text one stays.
     """
     named = docs.where(F.col(f"`{doc_id}`").isNotNull()).select(_key(text, doc_id).alias("key"), F.col(f"`{text}`").alias("text"))
-    groups = near_duplicates(named, "text", "key")
-    dropped = groups.where("doc_id <> component_id").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash")).distinct()
-    same = (docs[f"`{doc_id}`"] == dropped["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == dropped["__hash"])
-    kept = docs.join(dropped, same, "left_anti")
-    again = kept.groupBy(_key(text, doc_id).alias("key")).count().where("key.id is not null and count > 1").select("key")
-    return kept if not again.limit(1).count() else _once(kept, text, doc_id)
+    groups = near_duplicates(named, "text", "key").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("component_id").alias("top"))
+    # one narrow row per id and text decides everything; texts move once, to meet what goes
+    narrow = written(groups.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.hash").alias("__hash"), "n", (F.col("doc_id") == F.col("top")).alias("stays")), "groups")
+    kept = docs.join(narrow.where("not stays"), _same(docs, narrow, text, doc_id), "left_anti")
+    again = narrow.where("stays and n > 1")
+    if again.isEmpty():
+        return kept
+    same = _same(kept, again, text, doc_id)
+    return _once(kept.join(again, same, "left_semi"), text, doc_id).unionByName(kept.join(again, same, "left_anti"))
+
+
+def _same(docs: DataFrame, named: DataFrame, text: str, doc_id: str) -> Column:
+    """Whether a row of `docs` is the document of a row (__id, __hash); the hash of a null text is a number too."""
+    return (docs[f"`{doc_id}`"] == named["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == named["__hash"])
 
 
 def _key(text: str, doc_id: str) -> Column:

@@ -27,7 +27,7 @@ ROUNDS = (64, 180, LENGTH)
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc, loc, n) of all starts of repeated strings."""
-    pieces, found = pieces_of(docs, text, doc_id), []
+    pieces, found = pieces_of(docs, text, doc_id, nameless=True), []
     for i, gram in enumerate(ROUNDS):
         marks = sift(pieces, "byte", LENGTH, gram, False, f"ranks-{gram}")
         found.append(spans(marks))
@@ -36,32 +36,36 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     return reduce(DataFrame.unionByName, found)
 
 
-def _judged(docs: DataFrame, text: str, doc_id: str, keep: list[str]) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept): the columns `keep` and what is left of each text."""
-    held = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id, keep)
+def _judged(docs: DataFrame, text: str, doc_id: str, keep: list[str], as_text: bool = False) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept): the columns `keep` and what is left of each text.
+
+    `as_text`: what is left as a string, without the remaining bytes of characters that are cut in two; null for a null text.
+    """
+    held = with_spans(docs, repeated_spans(docs, text, doc_id), text, doc_id, keep, nameless=True)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, rest = [], []
         for raw, found in zip(column(batch, "text").to_pylist(), column(batch, "spans").to_pylist()):
-            raw = raw or b""
+            raw, null = raw or b"", raw is None
             gone = covered(len(raw), found, LENGTH)
-            rest.append(np.frombuffer(raw, np.uint8)[~gone].tobytes() if found else raw)
+            left = np.frombuffer(raw, np.uint8)[~gone].tobytes() if found else raw
+            rest.append((None if null else left.decode(errors="ignore")) if as_text else left)
             counts.append((len(raw), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())))
         n = np.array(counts, np.int64).reshape(-1, 3)
         return pa.RecordBatch.from_arrays(
-            [column(batch, "row"), *[pa.array(n[:, i]) for i in range(3)], pa.array(rest, pa.binary())],
+            [column(batch, "row"), *[pa.array(n[:, i]) for i in range(3)], pa.array(rest, pa.string() if as_text else pa.binary())],
             ["row", "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    row_type = held.schema["row"].dataType.simpleString()
-    return arrow_map(held, work, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept binary")
+    row_type, left = held.schema["row"].dataType.simpleString(), "string" if as_text else "binary"
+    return arrow_map(held, work, f"row {row_type}, n_bytes long, n_removed long, n_spans long, kept {left}")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: all columns) with `n_bytes`, `n_removed`, `n_spans` and `kept` (the remaining bytes).
 
-    A null text counts as empty.  Matches never cross texts.  Rows without an id are returned as they
-    are and match nothing.  Repeated rows of one id and text are one document: they do not count as
+    A null text counts as empty.  Matches never cross texts.  Rows without an id take part, named by
+    their text.  Repeated rows of one id (or none) and text are one document: they do not count as
     each other's repetition and get equal results; rows that share only the id are told apart.  Columns
     of `docs` named like a new one are replaced.
     """
@@ -76,14 +80,6 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     Of a character that is cut in two, the remaining bytes go as well.  Texts without repetition, null
     ones too, are returned unchanged; a text that repeats as a whole becomes empty.
     """
-    held = _judged(docs, text, doc_id, docs.columns).select("row", "n_removed", "kept")
-
-    def valid(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [x.decode(errors="ignore") for x in column(batch, "kept").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [column(batch, "row"), column(batch, "n_removed"), pa.array(texts, pa.string())], ["row", "n_removed", "cut"]
-        )
-
-    out = arrow_map(held, valid, f"row {held.schema['row'].dataType.simpleString()}, n_removed long, cut string")
-    cut = F.when(F.col("n_removed") == 0, F.col("row")[text]).otherwise(F.col("cut"))
-    return out.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c != text]
+    out = _judged(docs, text, doc_id, others, as_text=True)
+    return out.select(*[F.col("kept" if c == text else f"row.`{c}`").alias(c) for c in docs.columns])

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylens.llm.bpe import byte_characters
-from policylens.llm.common import column
+from policylens.llm.common import column, give_back
 
 #: Words, and their bytes, that a task remembers before it starts afresh.
 CACHE, CACHE_BYTES = 200_000, 32 << 20
@@ -235,6 +235,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: list[
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "row"), pa.array(ids, pa.binary()), pa.array(back, pa.string())], ["row", "token_ids", "decoded"]
                 )
+        give_back()
 
     out = held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, token_ids binary, decoded string")
     n_tokens = (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens")

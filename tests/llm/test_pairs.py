@@ -211,7 +211,7 @@ def test_repeats_odd_rows(spark):
     found = suffix_array.deduplicate(docs, keep=["doc_id", "text"]).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter(r[:2] for r in rows)
     # the repeated row of document 4 is no repetition of itself, document 5 is one of it
-    assert {(r.doc_id, r.n_removed) for r in found if r.text == text} == {(4, len(text)), (5, len(text)), (None, 0)}
+    assert {(r.doc_id, r.n_removed) for r in found if r.text == text} == {(4, len(text)), (5, len(text)), (None, len(text))}
     assert {r.doc_id: r.n_removed for r in found}[6] == len(helpers.LONG) * 30_000
     assert {r.doc_id: r.n_bytes for r in found}[1] == 0
     words = substrings.deduplicate(docs, keep=["doc_id", "text"]).collect()

@@ -151,7 +151,9 @@ def test_what_fits_equals_the_plain_rule():
     texts = [*OUTSIDE, *(helpers.sentence(rng, k) for k in (1, 2, 9, 50)), *(t[: 40 * k] + OUTSIDE[3] for k, (_, t, _) in enumerate(train[:8]))]
     got = (found.deviation(*langid.counted(texts)) >= found.least).any(1).tolist()
     assert not few and got == plain_fits(train, texts) and len(set(got)) == 2
-    assert langid.profiles(x[:4], n[:4], np.array(["xx"] * 4, object)) == (None, {"xx"})
+    assert langid.profiles(x[:1], n[:1], np.array(["xx"], object)) == (None, {"xx"})
+    alone, few = langid.profiles(x[:3], n[:3], np.array(["xx"] * 3, object))  # each held back in turn
+    assert not few and (alone.deviation(x[:3], n[:3]) >= alone.least).all()
 
 
 def test_samples_are_drawn_by_language(spark, monkeypatch):
