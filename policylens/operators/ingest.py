@@ -83,10 +83,13 @@ def ingest_decisions(new: DataFrame, existing: DataFrame | None = None) -> DataF
 
 
 def ingest_rewards(
-    new: DataFrame, decisions: DataFrame, existing: DataFrame | None = None
+    new: DataFrame, decisions: DataFrame, existing: DataFrame | None = None, last: DataFrame | None = None
 ) -> DataFrame:
     """Adds `outcome` (applied, duplicate, unknown_decision or invalid) and `seq`.
 
+    `last` holds the highest number given so far by KEY (`last_seq`); without it, it is taken from `existing`, which
+    then has to be all earlier rewards and not only those that may share a key.
+
     `seq` is the number given to an applied reward; a duplicate's number is found with
     `duplicate_of`.
     """
@@ -98,7 +101,8 @@ def ingest_rewards(
         winners = winners.join(
             existing.select(*KEY, "idempotency_key"), [*KEY, "idempotency_key"], "left_anti"
         )
-    last = None if existing is None else last_seq(existing)
+    if last is None and existing is not None:
+        last = last_seq(existing)
     winners = next_seq(winners, last)
     flags = known.select(*KEY, "idempotency_key", "arrival").join(
         winners, [*KEY, "idempotency_key", "arrival"], "left"

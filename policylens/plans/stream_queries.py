@@ -11,7 +11,7 @@ from policylens.plans.log_queries import LOG, MEANS, NOW, with_means
 from policylens.plans.registry import query, r, rounded
 from policylens.plans.sample_log import event_decisions, event_rewards
 from policylens.schema import DECISIONS, KEY, MODEL_HEADER, REWARDS
-from policylens.session import shared_folder
+from policylens.session import shared_folder, written
 from policylens.streaming import ingest as S
 from policylens.streaming.timers import with_timers
 
@@ -25,6 +25,26 @@ def as_stream(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
+#: Files that make a micro-batch of `in_batches`, each written by a task of its own.
+FILES = 4
+
+
+def in_batches(df: DataFrame, name: str, order: str, cuts: int, last: DataFrame | None = None) -> DataFrame:
+    """The rows as a file stream of about `cuts` micro-batches that follow each other by `order` (nulls in the first).
+
+    `last` comes after all others.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    bounds = df.approxQuantile(order, [k / cuts for k in range(1, cuts)], 0.01)
+    at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    placed = written(df.withColumn("cut", at), f"{name}-cuts")
+    for k in range(cuts):
+        placed.filter(F.col("cut") == k).drop("cut").repartition(FILES).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(*df.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+
+
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream until its source is used up; the rows it wrote."""
     spark = df.sparkSession
@@ -83,11 +103,11 @@ SELECT 'decision' AS kind, capsule, count(*) AS n, NULL::BIGINT AS last FROM log
 UNION ALL SELECT 'reward', rw.capsule, count(*), count(*) FROM rw
 JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP BY ALL""")
 def t1(spark, folder):
-    stream = as_stream(ingest_events(spark, folder), "t1-in")
+    """Five micro-batches and more; later ones repeat decisions and rewards of earlier ones."""
+    stream = in_batches(ingest_events(spark, folder), "t1-in", "arrival", 5)
     root = shared_folder(spark, "t1")
     drain_batches(stream, S.ingest_batch(root), "t1")
-    d = spark.read.schema(DECISIONS).parquet(f"{root}/decisions")
-    w = spark.read.schema(REWARDS).parquet(f"{root}/rewards")
+    d, w = (h.all() for h in S.histories(spark, root))
     nd = d.groupBy(F.lit("decision").alias("kind"), "capsule").agg(
         F.count(F.lit(1)).alias("n"), F.lit(None).cast("bigint").alias("last")
     )

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from policylens.functions.features import featurize
-from policylens.operators.ingest import ingest_decisions, ingest_rewards
+from policylens.operators.ingest import ingest_decisions, ingest_rewards, last_seq
 from policylens.operators.joins import rewards_since
 from policylens.operators.learner import fold_models
 from policylens.operators.retention import latest_models
 from policylens.schema import DECISIONS, KEY, MODEL_HEADER, MODEL_SLOTS, REWARDS
 from policylens.session import checkpointed
 from policylens.spec import PolicySpec
+from policylens.streaming.history import History
 
 
 def numbered(spark: SparkSession, path: str, batch_id: int, schema: T.StructType) -> DataFrame:
@@ -40,32 +41,52 @@ def write_batch(df: DataFrame, path: str, batch_id: int, schema: T.StructType) -
     out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def histories(spark: SparkSession, root: str) -> tuple[History, History]:
+    """Where a stream keeps decisions, by id, and rewards, by idempotency key."""
+    return (
+        History(spark, f"{root}/decisions", DECISIONS, [*KEY, "id"]),
+        History(spark, f"{root}/rewards", REWARDS, [*KEY, "idempotency_key"]),
+    )
+
+
+#: The highest sequence number of each capsule after a batch, for those that the batch gave numbers.
+MARKS = T.StructType([*[T.StructField(k, T.StringType()) for k in KEY], T.StructField("last_seq", T.LongType())])
+
+
 def ingest_batch(root: str) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function: decisions first, then the rewards that name them.
 
     The stream's rows hold `arrival` and either `decision` or `reward`, structs with the stored
-    columns.
+    columns.  Earlier rows are looked up by key (see `history`): a batch reads the folders that may hold its own
+    ids and keys, and of the sequence numbers one row per capsule.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decisions, rewards = f"{root}/decisions", f"{root}/rewards"
-        old = earlier(spark, decisions, batch_id, DECISIONS)
+        decisions, rewards = histories(spark, root)
+        batch = checkpointed(batch)  # read by lookups and writes
         new = batch.filter("decision is not null").select("decision.*", "arrival")
-        kept = ingest_decisions(new, old).filter("outcome = 'inserted'")
-        write_batch(kept, decisions, batch_id, DECISIONS)
-        known = old.unionByName(spark.read.schema(DECISIONS).parquet(
-            f"{decisions}/batch={batch_id}"
-        ))
         paid = batch.filter("reward is not null").select("reward.*", "arrival")
-        applied = ingest_rewards(
-            paid, known, earlier(spark, rewards, batch_id, REWARDS)
-        ).filter("outcome = 'applied'")
-        write_batch(applied, rewards, batch_id, REWARDS)
+        named = paid.select(*KEY, F.col("decision_id").alias("id"))
+        old = decisions.near(new.select(*KEY, "id").unionByName(named), batch_id)
+        stored = decisions.write(ingest_decisions(new, old).filter("outcome = 'inserted'"), batch_id)
+        known = old.select(*KEY, "id").unionByName(stored.select(*KEY, "id"))
+        marks = last_marks(spark, f"{root}/marks", batch_id)
+        applied = ingest_rewards(paid, known, rewards.near(paid, batch_id), last=marks).filter("outcome = 'applied'")
+        given = rewards.write(applied, batch_id)
+        # marks of all capsules so far, so that the next batch reads this batch's folder only
+        write_batch(last_seq(given).unionByName(marks).groupBy(*KEY).agg(F.max("last_seq").alias("last_seq")), f"{root}/marks", batch_id, MARKS)
 
     return run
 
 
+def last_marks(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    """The marks that the batch before left."""
+    if not batch_id:
+        return spark.createDataFrame([], MARKS)
+    return spark.read.schema(MARKS).parquet(f"{path}/batch={batch_id - 1}")
+
+
 def learn_batch(root: str, spec: PolicySpec) -> Callable[[DataFrame, int], None]:
     """A `foreachBatch` function that learns from a batch of joined rewards.
 

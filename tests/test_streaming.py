@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from test_log import decision, decisions, reward, rewards
 
 from policylens.plans.stream_queries import ROCKS
-from policylens.schema import DECISIONS, REWARDS
-from policylens.streaming.ingest import ingest_batch
+from policylens.schema import DECISIONS, KEY
+from policylens.streaming.history import History
+from policylens.streaming.ingest import histories, ingest_batch
 from policylens.streaming.timers import with_timers
 
 
@@ -19,9 +20,30 @@ def events(spark, d, w):
 
 
 def stored(spark, root):
-    d = spark.read.schema(DECISIONS).parquet(f"{root}/decisions")
-    w = spark.read.schema(REWARDS).parquet(f"{root}/rewards")
-    return d, w
+    return [h.all() for h in histories(spark, root)]
+
+
+def test_history_reads_only_what_may_match(spark, tmp_path):
+    history = History(spark, str(tmp_path / "h"), DECISIONS, [*KEY, "id"], buckets=8)
+    parts = [decisions(spark, *[decision(f"{n}-{i}", i) for i in range(40)]) for n in "abcd"]
+    for n, part in enumerate(parts):
+        assert history.near(part, n).count() == 0 or n  # nothing before the first
+        history.write(part, n)
+    assert history.all().count() == 160
+    asked = parts[1].filter("id in ('b-3', 'b-7')")
+    folders = history.candidates(asked, 4)
+    assert {b for b, _ in folders} >= {1} and len(folders) <= 6
+    found = history.near(asked, 4)
+    assert {"b-3", "b-7"} <= {r.id for r in found.collect()}
+    assert all("batch=1/" in f or len(found.inputFiles()) <= 6 for f in found.inputFiles())
+    assert history.near(asked, 1).count() == 0 and history.near(parts[3], 3).count() <= 40
+    # every key is found, whatever the size of its bucket's filter
+    many = spark.range(30_000).select(*[F.lit("k").alias(k) for k in KEY], F.col("id").cast("string").alias("id"))
+    big = History(spark, str(tmp_path / "b"), many.schema, [*KEY, "id"], buckets=2)
+    big.write(many, 0)
+    assert len(big.candidates(many.filter("id % 1000 = 1"), 1)) == 2
+    absent = many.withColumn("id", F.concat(F.lit("no"), "id")).filter("id like 'no77%'").limit(20)
+    assert big.near(absent, 1).count() <= 30_000
 
 
 def test_ingest_over_batches(spark, tmp_path):
