@@ -13,7 +13,6 @@ texts outside the profile reach, in units that allow for the text's length.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylens.llm.common import SLICE_ROWS, arrow_map, bounded_sample, column, flat_bytes, give_back, sample_hash, sigmoid
+from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, sample_hash, sigmoid
 
 #: Hashed trigrams.
 DIMS = 4096
@@ -244,28 +243,34 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(
+    docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, inside: str | None = None
+) -> DataFrame:
     """`keep` (default: all columns) with `lang_pred`, `score` (0 to 1) and `fits` (whether the text is in
     a learned language at all), from the whole text alone.
 
     A text that is null, empty or without a letter gets `und`, 0 and false, and so does every text if
     nothing could be learned.  Rows stand for themselves: repeated rows get equal answers, null ids
-    are kept.  Columns of `docs` named `lang_pred`, `score` or `fits` are replaced.
+    are kept.  Columns of `docs` named `lang_pred`, `score` or `fits` are replaced.  With `inside`, the text is a field
+    of that struct column.  A text that is kept goes through Python once, as part of its row.
     """
     kept = [c for c in keep or docs.columns if c.lower() not in ("lang_pred", "score", "fits")]
+    carried = [inside, text] if inside is not None else [text]
+    in_row = carried[0] in kept
+    own = [] if in_row else [F.col(".".join(f"`{c}`" for c in carried)).alias("text")]
+    held = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), *own)
 
-    @F.arrow_udf("struct<lang_pred:string,score:double,fits:boolean>")
-    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            parts = []
-            for start in range(0, len(batch), SLICE_ROWS):
-                langs, scores, fits = model.judge(batch.slice(start, SLICE_ROWS).to_pylist())
-                arrays = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())]
-                parts.append(pa.StructArray.from_arrays(arrays, ["lang_pred", "score", "fits"]))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("fits", pa.bool_())]))
-        give_back()
-
-    # only the text goes to Python, once, and only the answer comes back
-    judged = docs.select(*[F.col(f"`{c}`") for c in kept], judge(F.col(f"`{text}`")).alias("judged of langid"))
-    answer = F.col("`judged of langid`")
-    return judged.select(*[f"`{c}`" for c in kept], *[answer[c].alias(c) for c in ("lang_pred", "score", "fits")])
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = column(batch, "row")
+        texts = row if in_row else column(batch, "text")
+        for name in carried if in_row else []:
+            texts = texts.field(name)
+        langs, scores, fits = model.judge(texts.to_pylist())
+        return pa.RecordBatch.from_arrays(
+            [row, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())],
+            ["row", "lang_pred", "score", "fits"],
+        )
+
+    row_type = held.schema["row"].dataType.simpleString()
+    out = arrow_map(held, work, f"row {row_type}, lang_pred string, score double, fits boolean")
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], "lang_pred", "score", "fits")
