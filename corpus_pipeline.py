@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows outside the profiles pass (`langid.FITTING`).
     """
     model = langid.fit(docs.where(bucket_of(F.col("doc_id"), 3) != 1))
-    row = docs.select("text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
-    judged = langid.identify(row, model, keep=["row"])
+    row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    judged = langid.identify(row, model, inside="row")
     kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & F.col("fits"))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
