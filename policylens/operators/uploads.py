@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from policylens.functions.features import featurize, restrict
 from policylens.operators.joins import with_model
+from policylens.operators import specs as P
 from policylens.operators.learner import decide
 from policylens.operators.validate import event_id_ok, pmf_ok, upload_window, yes
 from policylens.schema import KEY, PROBABILITY_TOLERANCE
@@ -46,18 +45,17 @@ def _same(side: str) -> Column:
 
 def verify_uploads(
     uploads: DataFrame, stored: DataFrame, models: DataFrame, slots: DataFrame,
-    spec: PolicySpec, now_ms: int,
+    spec: PolicySpec | DataFrame, now_ms: int,
 ) -> DataFrame:
     """Adds `status` (new, unverified, duplicate or rejected) and `why` to every upload.
 
     `uploads` comes from `parse_uploaded_decisions` with KEY and `arrival`; `models` holds KEY,
     model_tag and n_updates of the published models and `slots` their slot rows by KEY and
-    model_tag.  Each decision is scored and drawn again on the model its tag names.
+    model_tag; `spec` is one spec or a spec table.  Each decision is scored and drawn again on the model its tag names.
     """
-    declared = F.from_json(
-        F.lit(json.dumps(spec.get("actions"))), "array<struct<id:string,features:string>>"
-    )
-    up = uploads.withColumn("actions", F.coalesce("actions", declared))
+    spec = P.once(spec)
+    declared = F.from_json(F.col("settings.declared"), "array<struct<id:string,features:string>>")
+    up = P.with_settings(uploads, spec).withColumn("actions", F.coalesce("actions", declared)).drop("settings")
     up = upload_window(up, now_ms)
     taken = stored.select(*KEY, "id", *[F.col(c).alias(f"stored_{c}") for c in SAME])
     up = up.join(taken, [*KEY, "id"], "left")

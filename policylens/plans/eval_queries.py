@@ -11,6 +11,8 @@ from policylens.operators import estimators as S
 from policylens.operators import gates as G
 from policylens.operators import policies as T
 from policylens.operators.bootstrap import intervals
+from policylens.operators.estimators import warnings
+from policylens.operators.gates import verdicts
 from policylens.operators.reports import in_window
 from policylens.operators.reward_model import cell_means, cross_fit, reward_scale
 from policylens.operators.validate import data_summary
@@ -21,6 +23,8 @@ from policylens.plans.log_queries import LOG, NOW, logged
 from policylens.plans.registry import query, r, rounded
 from policylens.plans.sample_log import document_decisions, event_decisions
 from policylens.schema import KEY
+from policylens.session import shared_folder, written
+from policylens.sources import exports
 from policylens.spec import PolicySpec
 
 
@@ -430,6 +434,24 @@ def s6(spark, folder):
                       F.size("warnings").alias("n_warnings"))
 
 
+@query("S6_pages", O.evaluation() + """
+SELECT capsule, policy, concat('# ', policy, ' in acme/default/', capsule) AS title, printf('%.4g', n::DOUBLE) AS n,
+  printf('%.4g', ips) AS ips FROM am""")
+def s6_pages(spark, folder):
+    """Every capsule and policy's report as a page and as JSON lines, written and read back."""
+    path = shared_folder(spark, "pages")
+    found = verdicts(warnings(all_metrics(spark, folder), data_summary(logged(spark, folder), None)), ["ess >= 200"])
+    found = written(found, "verdicts")
+    exports.write_pages(found, path)
+    exports.write_report(found, f"{path}-json")
+    lines = spark.read.schema("capsule string, policy string, n bigint").json(f"{path}-json").select("capsule", "policy", F.col("n").alias("lines"))
+    page = exports.read_pages(spark, path)
+    return page.join(lines, ["capsule", "policy"]).select(
+        "capsule", "policy", F.regexp_extract("value", r"^(.*)\n", 1).alias("title"),
+        F.regexp_extract("value", r"\| n \| (\S+) \|", 1).alias("n"), F.regexp_extract("value", r"\| ips \| (\S+) \|", 1).alias("ips"),
+    )
+
+
 # --- PMF functions over synthetic predictions of every event -----------------------------
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

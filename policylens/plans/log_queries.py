@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,14 @@ from policylens.operators import reports as R
 from policylens.operators import retention as H
 from policylens.operators import validate as C
 from policylens.operators.reward_model import reward_scale
+from policylens.operators.store import RefusedError, Store
 from policylens.plans import oracle as O
 from policylens.plans.registry import query, r, rounded
 from policylens.plans.sample_log import (
     document_decisions, epoch_ms, event_decisions, event_rewards, table,
 )
 from policylens.schema import KEY
+from policylens.session import checkpointed, shared_folder
 
 LOG = f"WITH {O.LOG} "
 ROUTER1 = ("acme", "default", "router1")
@@ -797,6 +801,59 @@ def e9(spark, folder):
     )
 
 
+@query("E7_E9_store", LOG + f""", {MODELS},
+kept AS (SELECT * FROM log WHERE ts_ms >= {NOW}),
+kw AS (SELECT rw.* FROM rw WHERE NOT EXISTS (SELECT 1 FROM log WHERE log.capsule = rw.capsule AND log.id = rw.decision_id AND ts_ms < {NOW})),
+m3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capsule ORDER BY version DESC) AS k FROM models) WHERE k <= 3),
+steps AS (
+  SELECT 'pruned' AS step, 'decisions' AS part, capsule FROM kept UNION ALL SELECT 'pruned', 'rewards', capsule FROM kw
+  UNION ALL SELECT 'pruned', 'models', capsule FROM models UNION ALL SELECT 'pruned', 'slots', capsule FROM models
+  UNION ALL SELECT 'pruned', 'audit', capsule FROM (SELECT DISTINCT capsule FROM log WHERE ts_ms < {NOW})
+  UNION ALL SELECT 'erased', 'decisions', capsule FROM kept WHERE capsule <> 'router1' UNION ALL SELECT 'erased', 'rewards', capsule FROM kw WHERE capsule <> 'router1'
+  UNION ALL SELECT 'erased', 'models', capsule FROM models WHERE capsule <> 'router1' UNION ALL SELECT 'erased', 'slots', capsule FROM models WHERE capsule <> 'router1'
+  UNION ALL SELECT 'erased', 'audit', capsule FROM (SELECT DISTINCT capsule FROM log WHERE ts_ms < {NOW})
+  UNION ALL SELECT 'erased', 'audit', 'router1'
+  UNION ALL SELECT 'purged', 'decisions', capsule FROM kept WHERE capsule = 'router0' UNION ALL SELECT 'purged', 'rewards', capsule FROM kw WHERE capsule = 'router0'
+  UNION ALL SELECT 'purged', 'models', capsule FROM m3 WHERE capsule <> 'router1' UNION ALL SELECT 'purged', 'slots', capsule FROM m3 WHERE capsule <> 'router1'
+  UNION ALL SELECT 'purged', 'audit', capsule FROM (SELECT DISTINCT capsule FROM log WHERE ts_ms < {NOW})
+  UNION ALL SELECT 'purged', 'audit', 'router1' UNION ALL SELECT 'purged', 'audit', 'router2'
+  UNION ALL SELECT 'purged', 'audit', capsule FROM models WHERE capsule <> 'router1' GROUP BY capsule HAVING count(*) > 3)
+SELECT step, part, capsule, count(*) AS n FROM steps GROUP BY ALL
+UNION ALL SELECT 'refused', 'decisions', capsule, count(*) FROM log GROUP BY ALL""")
+def e7_e9(spark, folder):
+    """A store of the whole log: a refused pruning, then pruning, erasing, old models dropped and purging, read back after each."""
+    heads = model_headers(spark, folder)
+    head = heads.select(
+        *KEY, "version", (F.col("reward_seq") + 1).alias("reward_seq"), F.lit(0).alias("ts_ms"), F.lit(12).alias("bits"),
+        F.lit(0.5).alias("learning_rate"), "n_updates", F.col("n_updates").cast("double").alias("total_weight"), F.lit(1.0).alias("norm_sum"),
+    )
+    slots = heads.select(*KEY, "version", F.col("version").alias("slot"), *[F.lit(1.0).alias(c) for c in ("u", "s", "a")])
+    store = Store(spark, shared_folder(spark, "store"))
+    store.append(decisions=event_decisions(spark, folder), rewards=event_rewards(spark, folder))
+    seen = []
+
+    def look(step: str, *tables: str) -> None:
+        for t in tables:
+            rows = store.read(t).groupBy(F.lit(step).alias("step"), F.lit(t).alias("part"), "capsule")
+            seen.append(checkpointed(rows.agg(F.count(F.lit(1)).alias("n"))))  # later steps remove the files
+
+    everything = ("decisions", "rewards", "models", "slots", "audit")
+    try:
+        store.prune(int(NOW), int(NOW))
+    except RefusedError:
+        look("refused", "decisions")  # without a model nothing may go
+    store.append(models=head, slots=slots)
+    store.prune(int(NOW), int(NOW))
+    look("pruned", *everything)
+    store.erase(ROUTER1, int(NOW))
+    look("erased", *everything)
+    store.keep_newest_models(3, int(NOW))
+    store.purge(("acme", "default", "router2"), int(NOW))
+    store.vacuum()
+    look("purged", *everything)
+    return reduce(DataFrame.unionByName, seen)
+
+
 @query("E10_spec_history", """
 SELECT concat('user', user_id) AS capsule, max(event_id) AS seq,
   round(arg_max(round(value / 1000, 6), event_id) FILTER (event_type = 'purchase'), 6) AS epsilon,

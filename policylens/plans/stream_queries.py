@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylens.operators.validate import upload_window
-from policylens.plans.learn_queries import SPEC
+from policylens.plans import nag_sql as N
+from policylens.plans.learn_queries import BITS, SPEC, upload_fixture, upload_lines
 from policylens.plans.log_queries import LOG, MEANS, NOW, with_means
 from policylens.plans.registry import query, r, rounded
 from policylens.plans.sample_log import event_decisions, event_rewards
-from policylens.schema import DECISIONS, KEY, MODEL_HEADER, REWARDS
+from policylens.schema import DECISIONS, KEY, REWARDS
 from policylens.session import shared_folder, written
 from policylens.streaming import ingest as S
 from policylens.streaming.timers import with_timers
@@ -162,7 +163,9 @@ SELECT capsule, id, 'decision' AS kind, ts_ms, NULL::DOUBLE AS value FROM live
 UNION ALL SELECT live.capsule, live.id, 'reward', t, round(v, 6) FROM live JOIN paid
   ON paid.capsule = live.capsule AND paid.id = live.id
 UNION ALL SELECT live.capsule, live.id, 'default_reward', live.ts_ms + 600000, 5.0 FROM live
-  LEFT JOIN paid ON paid.capsule = live.capsule AND paid.id = live.id WHERE paid.id IS NULL"""
+  LEFT JOIN paid ON paid.capsule = live.capsule AND paid.id = live.id WHERE paid.id IS NULL
+UNION ALL SELECT rw.capsule, decision_id, 'unmatched', ts_ms, round(value, 6) FROM rw
+  WHERE NOT EXISTS (SELECT 1 FROM log WHERE log.capsule = rw.capsule AND log.id = rw.decision_id)"""
 
 
 def timer_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,22 +189,14 @@ def timer_events(spark: SparkSession, folder: str) -> DataFrame:
     return made.unionByName(acts).unionByName(paid).withColumn("ts", F.timestamp_millis("ts_ms"))
 
 
-def _timed(spark: SparkSession, folder: str, cuts: int) -> DataFrame:
-    """The timers over a stream of `cuts` micro-batches that follow each other in time."""
+def _timed(spark: SparkSession, events: DataFrame, cuts: int, mode: str = "first") -> DataFrame:
+    """The timers over a stream of `cuts` micro-batches that follow each other in time, written by many tasks."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    events, path = timer_events(spark, folder), shared_folder(spark, "t3-in")
-    bounds = events.approxQuantile("ts_ms", [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else []
-    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
-        part = events if low is None else events.filter(F.col("ts_ms") > low)
-        part = part if high is None else part.filter(F.col("ts_ms") <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
     far = F.timestamp_millis(F.lit(4102444800000))
     last = _flush(events.drop("ts_ms").withColumn("order", F.lit(0)), far, "order").drop("order")
-    last = last.withColumn("ts_ms", F.lit(4102444800000)).withColumn("kind", F.lit("decision"))
-    last.select(*events.columns).coalesce(1).write.mode("append").parquet(path)
-    reader = spark.readStream.schema(events.schema)
-    stream = (reader.option("maxFilesPerTrigger", 1) if cuts > 1 else reader).parquet(path)
-    out = drain(with_timers(stream, 5.0, 600), "t3")
+    last = last.withColumn("ts_ms", F.lit(4102444800000)).withColumn("kind", F.lit("decision")).select(*events.columns)
+    stream = in_batches(events, "t3-in", "ts_ms", cuts, last)
+    out = drain(with_timers(stream, 5.0, 600, mode), "t3")
     return out.filter(F.col("capsule") != "flush").select(
         "capsule", "id", "kind", "ts_ms", r("value").alias("value")
     )
@@ -209,12 +204,38 @@ def _timed(spark: SparkSession, folder: str, cuts: int) -> DataFrame:
 
 @query("T3_reward_timers", T3_SQL)
 def t3(spark, folder):
-    return _timed(spark, folder, 3)
+    return _timed(spark, timer_events(spark, folder), 4)
 
 
 @query("T3_reward_timers_one_batch", T3_SQL)
 def t3_one(spark, folder):
-    return _timed(spark, folder, 1)
+    return _timed(spark, timer_events(spark, folder), 1)
+
+
+#: Every fifth reward comes days late.
+LATE = "(rw.event_id % 5) * 43200000::BIGINT * (rw.event_id % 3)"
+
+
+@query("T3_late_rewards", LOG + f""",
+dec AS (SELECT *, event_id % 4 = 1 AS deferred, event_id % 8 = 1 AS activated FROM logp),
+live AS (SELECT * FROM dec WHERE NOT deferred OR activated),
+paid AS (SELECT rw.capsule, rw.decision_id AS id, rw.ts_ms + {LATE} AS t, rw.value, live.ts_ms + 600000 AS due,
+    live.id IS NOT NULL AS met, log.id IS NOT NULL AS known
+  FROM rw LEFT JOIN live ON live.capsule = rw.capsule AND live.id = rw.decision_id
+  LEFT JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id)
+SELECT capsule, id, 'decision' AS kind, ts_ms, NULL::DOUBLE AS value FROM live
+UNION ALL SELECT capsule, id, CASE WHEN t <= due + 86400000 THEN 'reward' ELSE 'unmatched' END, t, round(value, 6) FROM paid WHERE met
+UNION ALL SELECT capsule, id, 'unmatched', t, round(value, 6) FROM paid WHERE NOT known
+UNION ALL SELECT paid.capsule, paid.id, 'unmatched', t, round(paid.value, 6) FROM paid JOIN log ON log.capsule = paid.capsule AND log.id = paid.id
+  WHERE known AND NOT met AND t >= log.ts_ms + 86400000
+UNION ALL SELECT live.capsule, live.id, 'default_reward', live.ts_ms + 600000, 5.0 FROM live
+  WHERE NOT EXISTS (SELECT 1 FROM paid WHERE paid.capsule = live.capsule AND paid.id = live.id AND t <= due)""")
+def t3_late(spark, folder):
+    """Rewards that add up, many of them days late: all of them leave the stream, matched or not."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("bigint")
+    late = F.when(F.col("kind") == "reward", n % 5 * F.lit(43200000).cast("bigint") * (n % 3)).otherwise(0)
+    events = timer_events(spark, folder).withColumn("ts_ms", F.col("ts_ms") + late).withColumn("ts", F.timestamp_millis("ts_ms"))
+    return _timed(spark, events, 4, "sum")
 
 
 @query("T4_stream_dedupe", LOG + """
@@ -238,19 +259,51 @@ def t5(spark, folder):
     return out.groupBy("capsule", "on_time").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("T6_incremental_model", LOG + """
-SELECT rw.capsule, count(*) AS n_updates, max(rw.seq) AS reward_seq
-FROM rw JOIN log ON log.capsule = rw.capsule AND log.id = rw.decision_id GROUP BY ALL""")
+@query("T6_incremental_model", N.models(BITS) + """,
+top AS (SELECT rw.capsule, max(seq) AS reward_seq FROM rw JOIN logp ON logp.capsule = rw.capsule AND logp.id = rw.decision_id GROUP BY ALL)
+SELECT model.capsule, n AS n_updates, reward_seq, slot, round(slots.u::DOUBLE, 4) AS u, round(slots.s::DOUBLE, 4) AS s, round(slots.a::DOUBLE, 3) AS a
+FROM model JOIN top ON top.capsule = model.capsule JOIN slots ON slots.capsule = model.capsule""")
 def t6(spark, folder):
+    """Models learned over four micro-batches, each from the snapshot before: the weights of learning in one go."""
     d = event_decisions(spark, folder).drop("ts_ms", "arrival")
     w = event_rewards(spark, folder).withColumnRenamed("decision_id", "id")
-    stream = as_stream(w.join(d, [*KEY, "id"]), "t6-in")
+    stream = in_batches(w.join(d, [*KEY, "id"]), "t6-in", "seq", 4)
     root = shared_folder(spark, "t6")
     drain_batches(stream, S.learn_batch(root, SPEC), "t6")
-    heads = spark.read.schema(MODEL_HEADER).parquet(f"{root}/headers")
-    return heads.groupBy("capsule").agg(
-        F.max("n_updates").alias("n_updates"), F.max("reward_seq").alias("reward_seq")
+    heads, slots = S.current_models(spark, root)
+    weights = slots.select(*KEY, "slot", *[r(F.col(c).cast("double"), n).alias(c) for c, n in (("u", 4), ("s", 4), ("a", 3))])
+    return heads.join(weights, KEY).select("capsule", "n_updates", "reward_seq", "slot", "u", "s", "a")
+
+
+@query("S5_upload_stream", LOG + f""",
+sent AS (SELECT capsule, id, event_id, CASE WHEN event_id % 21 = 1 THEN 'seed_invalid'
+    WHEN NOT (ts_ms BETWEEN {NOW} - 7 * 24 * 3600 * 1000::BIGINT AND {NOW} + 300000) THEN 'outside_upload_window' END AS why FROM log),
+paid AS (SELECT rw.capsule, rw.decision_id, rw.seq, sent.id IS NOT NULL AND why IS NULL AS known
+  FROM rw LEFT JOIN sent ON sent.capsule = rw.capsule AND sent.id = rw.decision_id)
+SELECT 'decision' AS item, capsule, 'stored' AS why, count(*) AS n FROM sent WHERE why IS NULL GROUP BY ALL
+UNION ALL SELECT 'decision', capsule, why, count(*) FROM sent WHERE why IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'reward', capsule, 'stored', count(DISTINCT decision_id) FROM paid WHERE known GROUP BY ALL
+UNION ALL SELECT 'reward', capsule, 'unknown_decision', count(*) FROM paid WHERE NOT known GROUP BY ALL
+UNION ALL SELECT 'reward', capsule, 'value_missing', count(*) FROM rw WHERE event_id % 11 = 0 AND seq % 2 = 0 GROUP BY ALL""")
+def s5_stream(spark, folder):
+    """Uploads of decisions and rewards in three micro-batches, bad items among good ones, to store and quarantine."""
+    decided, models, slots = upload_fixture(spark, folder)
+    seed = F.when(F.col("arrival") % 21 == 1, "x").otherwise(F.col("seed").cast("string"))
+    made = upload_lines(decided.withColumn("seed", seed)).select(*KEY, (F.col("arrival") * 4).alias("arrival"), F.lit(int(NOW)).alias("ts_ms"), "value")
+    n = F.floor(F.col("seq") / 2)
+    item = F.struct(F.col("decision_id").alias("decisionId"), F.col("value").alias("reward"), F.col("idempotency_key").alias("idempotencyKey"))
+    bad = F.struct(F.col("decision_id").alias("decisionId"), F.lit(None).cast("double").alias("reward"), F.lit("k").alias("idempotencyKey"))
+    items = F.when((n % 11 == 0) & (F.col("seq") % 2 == 0), F.array(bad, item)).otherwise(F.array(item))
+    paid = event_rewards(spark, folder).select(
+        *KEY, (F.col("seq") * 2 + 1).alias("arrival"), F.lit(int(NOW)).alias("ts_ms"), F.to_json(F.struct(items.alias("rewards"))).alias("value")
     )
+    stream = in_batches(made.unionByName(paid), "s5-in", "arrival", 3)
+    root = shared_folder(spark, "s5")
+    drain_batches(stream, S.upload_batch(root, models, slots, SPEC, int(NOW)), "s5")
+    d, w = (h.all() for h in S.histories(spark, root))
+    bad_items = spark.read.schema(S.QUARANTINE).parquet(f"{root}/quarantine").select("item", "capsule", "why")
+    good = [df.select(F.lit(item).alias("item"), "capsule", F.lit("stored").alias("why")) for item, df in (("decision", d), ("reward", w))]
+    return bad_items.unionByName(good[0]).unionByName(good[1]).groupBy("item", "capsule", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("T7_best_share_windows", LOG + f""", {MEANS}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylens.schema import KEY
@@ -103,3 +105,27 @@ def markdown(verdict_row: dict) -> str:
         )
     page += [f"- {w['message']}" for w in m.get("warnings") or []]
     return "\n".join(page) + "\n"
+
+
+def write_pages(verdicts: DataFrame, path: str) -> None:
+    """A Markdown page per capsule and policy, in a folder named by them.
+
+    Executors render the pages and Spark's commit protocol writes them, so a lost task leaves no half page and any store that
+    Spark writes to will do.  A page that exists already is an error, as for the other sinks.
+    """
+    names = verdicts.columns
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            of = [pa.array([r[c] for r in rows], pa.string()) for c in (*KEY, "policy")]
+            yield pa.RecordBatch.from_arrays([*of, pa.array([markdown(r) for r in rows], pa.string())], [*KEY, "policy", "value"])
+
+    pages = verdicts.select(*names).mapInArrow(render, ", ".join(f"{c} string" for c in (*KEY, "policy", "value")))
+    pages.write.mode("errorifexists").partitionBy(*KEY, "policy").text(path)
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """The pages under a path: KEY, policy and `value`, the whole page."""
+    named = ", ".join(f"{c} string" for c in ("value", *KEY, "policy"))
+    return spark.read.schema(named).text(path, wholetext=True)

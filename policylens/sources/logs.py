@@ -266,20 +266,25 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
 
 
 def parse_uploaded_rewards(lines: DataFrame) -> DataFrame:
-    """One row per item of JSON batches `{"rewards": [...]}`."""
-    extra = [c for c in lines.columns if c != "value"]
-    items = F.from_json("value", f"rewards array<struct<{_nested(UPLOAD_REWARD)}>>")
-    return clean_lines(lines).select(*extra, F.inline(items["rewards"])).select(
-        *extra,
-        F.col("decisionId").alias("decision_id"),
-        F.coalesce("reward", "value").alias("value"),
-        F.col("idempotencyKey").alias("given_key"),
-        F.col("detail"),
-    )
+    """One row per item of JSON batches `{"rewards": [...]}`, with its `position` in the batch.
 
-
-def _nested(fields: str) -> str:
-    return ", ".join(":".join(f.strip().split(" ", 1)) for f in fields.split(", "))
+    An item that is no reward record has an `item_problem` and does not spoil the items beside it.
+    """
+    extra = [c for c in lines.columns if c != "value"]
+    items = F.try_variant_get(F.try_parse_json("value"), "$.rewards", "array<variant>")
+    raw = clean_lines(lines).select(*extra, F.posexplode(F.transform(items, lambda i: F.to_json(i))).alias("position", "text"))
+    parsed = once(raw, *extra, "position", F.from_json("text", UPLOAD_REWARD).alias("d"), F.json_object_keys("text").alias("fields"))
+    value = F.coalesce("d.reward", "d.value")
+    return parsed.select(
+        *extra, "position", F.col("d.decisionId").alias("decision_id"), value.alias("value"), F.col("d.idempotencyKey").alias("given_key"),
+        F.col("d.detail").alias("detail"),
+        first_problem([
+            ("no_reward_record", F.col("fields").isNotNull()),
+            ("unknown_field", only_fields(F.col("fields"), [f.split(" ")[0] for f in UPLOAD_REWARD.split(", ")])),
+            ("decision_id_missing", F.col("d.decisionId").isNotNull()),
+            ("value_missing", value.isNotNull()),
+        ]).alias("item_problem"),
+    )
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:

@@ -3,8 +3,9 @@
 One state per (capsule, decision id): the pending decision, what came before it could be used, the
 reward keys seen and whether a reward was given.  Events of a micro-batch are taken in time order and
 a wait that ends before an event is settled before it, so results do not depend on how the stream is
-cut.  A finished decision's state goes `KEEP_MS` after its wait; what comes later finds no decision
-and goes with its own timer.
+cut.  A finished decision's state goes `KEEP_MS` after its wait.  No reward is lost with it: one that comes later, or
+that never meets its decision, leaves as an `unmatched` row, for the batch join of rewards with stored decisions (E2), which
+counts it however late it is.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -39,6 +43,40 @@ DECISION_STATE = "ts_ms bigint, live boolean, paid boolean, due bigint"
 HELD_STATE = "ts_ms bigint, value double, idempotency_key string"
 #: Order of events of the same millisecond.
 ORDER = {"decision": 0, "deferred": 0, "activation": 1, "reward": 2}
+KINDS = list(ORDER)
+CODES = {kind: i for i, kind in enumerate(KINDS)}
+
+
+#: Rows that leave a key at a time.
+OUT_ROWS = 10_000
+
+
+def _table(out: list) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, float, str | None]]:
+    """A key's events of one micro-batch by time, kind and key.
+
+    Of each event some thirty bytes are held, as arrays; a wide frame is held of one part only.
+    """
+    ts, rank, value, idem = [], [], [], []
+    for part in parts:
+        ts.append(part["ts_ms"].to_numpy(np.int64))
+        rank.append(part["kind"].map(CODES).to_numpy(np.int8))
+        value.append(part["value"].to_numpy(np.float64, na_value=np.nan))
+        idem.append(pa.array(part["idempotency_key"], pa.string(), from_pandas=True))
+    if not ts:
+        return
+    t, k, v = (np.concatenate(x) for x in (ts, rank, value))
+    names = pa.chunked_array(idem)
+    order = pc.sort_indices(
+        pa.table({"t": t, "r": np.array([ORDER[c] for c in KINDS], np.int8)[k], "i": names}),
+        sort_keys=[("t", "ascending"), ("r", "ascending"), ("i", "ascending")],
+    ).to_numpy()
+    for lo in range(0, len(order), OUT_ROWS):
+        at = order[lo : lo + OUT_ROWS]
+        yield from zip(t[at].tolist(), [KINDS[c] for c in k[at]], v[at].tolist(), names.take(pa.array(at)).to_pylist())
 
 
 class Pending(NamedTuple):
@@ -51,7 +89,7 @@ class Pending(NamedTuple):
 
 
 class RewardTimers(StatefulProcessor):
-    """Emits decision, reward and default_reward rows; see the module text."""
+    """Emits decision, reward, default_reward and unmatched rows; see the module text."""
 
     def __init__(self, default: float | None, wait_ms: int, mode: str) -> None:
         self.default, self.wait_ms, self.mode = default, wait_ms, mode
@@ -68,26 +106,26 @@ class RewardTimers(StatefulProcessor):
         return [*key, kind, ts, value, idem]
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any):
-        events = pd.concat(list(rows))
-        events = events.assign(rank=events["kind"].map(ORDER)).sort_values(["ts_ms", "rank", "idempotency_key"])
         state = Pending(*self.decision.get()) if self.decision.exists() else None
         out: list = []
-        for e in events.itertuples(index=False):
-            ts = int(e.ts_ms)
-            if e.kind in ("decision", "deferred"):
+        for ts, kind, value, idem in _in_order(rows):
+            if kind in ("decision", "deferred"):
                 if state is None:
-                    state = self._made(key, ts, e.kind == "decision", out)
-            elif e.kind == "activation":
+                    state = self._made(key, ts, kind == "decision", out)
+            elif kind == "activation":
                 if state is None:
                     self._wait_for_decision(ts)
                     self.activated.update((ts,))
                 elif not state.live:
                     state = self._go_live(key, state.ts, out)
             else:
-                state = self._reward(key, state, (ts, float(e.value), e.idempotency_key), out)
+                state = self._reward(key, state, (ts, value, idem), out)
+            if len(out) >= OUT_ROWS:
+                yield _table(out)
+                out = []
         if state is not None:
             self.decision.update(tuple(state))
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
+        yield _table(out)
 
     def _wait_for_decision(self, ts: int) -> None:
         """What comes before its decision waits as long as a deferred decision would."""
@@ -125,6 +163,9 @@ class RewardTimers(StatefulProcessor):
 
     def _reward(self, key: Any, state: Pending | None, reward: tuple, out: list) -> Pending | None:
         ts, value, idem = reward
+        if state is not None and not state.live and ts >= state.due:
+            out.append(self.row(key, "unmatched", ts, value, idem))  # the decision's time to be activated is over
+            return state
         if state is None or not state.live:
             self.held.appendValue((ts, value, idem))
             if state is None:
@@ -132,6 +173,9 @@ class RewardTimers(StatefulProcessor):
             return state
         if ts > state.due:
             state = self._settled(key, state, out)
+        if ts > state.due + KEEP_MS:
+            out.append(self.row(key, "unmatched", ts, value, idem))
+            return state
         if self.mode == "first":
             if state.paid:
                 return state
@@ -150,6 +194,8 @@ class RewardTimers(StatefulProcessor):
         state = Pending(*self.decision.get()) if self.decision.exists() else None
         if state is None:
             if self.orphan.exists() and now >= self.orphan.get()[0]:
+                # no decision came, or its state has gone: the batch join has what is left
+                out += [self.row(key, "unmatched", *reward) for reward in (self.held.get() if self.held.exists() else [])]
                 self._forget()
         elif now >= state.due and not state.live:
             self._forget()  # never activated: dropped with what it held
@@ -158,7 +204,7 @@ class RewardTimers(StatefulProcessor):
             self.decision.update(tuple(state))
             if now >= state.due + KEEP_MS:
                 self._forget()
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT.fields])
+        yield _table(out)
 
     def _forget(self) -> None:
         for kept in (self.decision, self.activated, self.orphan, self.held, self.seen):
