@@ -16,7 +16,7 @@ from policylens.operators.policies import Target, action_constants, sweep, targe
 from policylens.operators.reward_model import SHARDS, cell_means, cross_fit
 from policylens.operators.validate import data_summary
 from policylens.schema import KEY
-from policylens.session import checkpointed
+from policylens.session import checkpointed, written
 from policylens.spec import PolicySpec
 
 
@@ -92,6 +92,8 @@ def evaluate(
     `targets` None evaluates the constant policy of every action.  Only the metrics rows are
     small; everything before them stays distributed.
     """
+    # the model, the preconditions and the summary all read it: joined once, read thrice
+    logged = written(logged, "logged")
     used = eval_rows(logged)
     rows = model(_holds(used, row_ok(), "a logged row contradicts itself", config.strict))
     swept = action_constants(rows) if targets is None else sweep(rows, targets)
