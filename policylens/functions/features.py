@@ -351,6 +351,28 @@ def restrict(df: DataFrame) -> DataFrame:
     return df.withColumn("eligible", eligible_positions(ids, allowed, banned))
 
 
+def restriction_problem() -> Column:
+    """Why a row's rules leave no valid choice (F7): `unknown_action` if a rule names an id that is no action of the row,
+    `nothing_eligible` if no action is left; null for a valid row.  Reads `eligible`, `excluded_ids` and `only_ids`."""
+    ids = F.transform("actions", lambda a: a["id"])
+
+    def strange(column: str) -> Column:
+        named = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        return F.exists(named, lambda n: ~F.array_contains(ids, n))
+
+    return F.when(F.coalesce(strange("excluded_ids") | strange("only_ids"), F.lit(False)), "unknown_action").when(
+        F.coalesce(F.size("eligible"), F.lit(0)) < 1, "nothing_eligible"
+    )
+
+
+def decidable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`df` restricted by its rules (`restrict`): the rows with a valid choice, and those without one with `problem`."""
+    none = F.lit(None).cast("array<string>")
+    both = df.withColumns({c: none for c in ("excluded_ids", "only_ids") if c not in df.columns})
+    told = restrict(both).withColumn("problem", restriction_problem())
+    return told.filter("problem is null").drop("problem"), told.filter("problem is not null")
+
+
 def merge_objects(texts: Column) -> Column:
     """Merge an array of JSON object texts recursively, later entries win."""
 

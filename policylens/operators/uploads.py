@@ -35,6 +35,14 @@ def consistent() -> Column:
     )
 
 
+def restriction_problem_of_upload() -> Column:
+    """`unknown_action` or `nothing_eligible` by the exclusions of an upload; null for a valid one."""
+    ids, excluded = F.transform("actions", lambda a: a["id"]), F.coalesce("excluded_ids", F.array().cast("array<string>"))
+    return F.when(F.exists(excluded, lambda n: ~F.array_contains(ids, n)), "unknown_action").when(
+        F.size(F.array_except(ids, excluded)) < 1, "nothing_eligible"
+    )
+
+
 def _same(side: str) -> Column:
     """Whether an upload is the decision of the columns with this prefix."""
     same = F.lit(True)
@@ -78,6 +86,9 @@ def verify_uploads(
         .when(
             F.col("model_version").isNotNull() & (F.col("model_version") != F.col("version")),
             "version_mismatch",
+        )
+        .otherwise(
+            restriction_problem_of_upload()  # what names no action, or leaves none, is refused before the replay
         ),
     )
     # used twice below: to replay, and to meet the replay's result

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_log import decision, decisions, reward, rewards
 
-from policylens.functions.features import MAX_TERMS, FeatureError, featurize, featurized
+from policylens.functions.features import MAX_TERMS, FeatureError, decidable, featurize, featurized
 from policylens.operators import learner as L
 from policylens.operators import specs as P
 from policylens.operators import streamed
@@ -136,6 +136,17 @@ def test_a_bad_uploaded_reward_stands_alone(spark):
     ]
 
 
+def test_rules_that_leave_no_choice(spark):
+    rows = [("fine", ["a"], None), ("none", None, None), ("all", ["a", "b"], None), ("odd", ["x"], None), ("only", None, ["b"]), ("only odd", None, ["y"])]
+    df = spark.createDataFrame(
+        [(i, [("a", "{}"), ("b", "{}")], e, o) for i, e, o in rows],
+        "id string, actions array<struct<id:string,features:string>>, excluded_ids array<string>, only_ids array<string>",
+    )
+    good, bad = decidable(df)
+    assert {r.id: r.eligible for r in good.collect()} == {"fine": [1], "none": [0, 1], "only": [1]}
+    assert {r.id: r.problem for r in bad.collect()} == {"all": "nothing_eligible", "odd": "unknown_action", "only odd": "unknown_action"}
+
+
 # --- the store -----------------------------------------------------------------------------
 
 
