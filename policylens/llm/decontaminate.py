@@ -161,7 +161,8 @@ def report(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: st
         hits.select("key", "window").distinct().join(items.where("item_id is not null").select("window", "item_id"), "window")
         .groupBy("key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
-    found = covered.join(named, covered["key"].eqNullSafe(named["key"]), "left").drop(named["key"])
+    named = named.withColumnRenamed("key", "of")  # both come from the hits: told apart by name
+    found = covered.join(named, F.col("key").eqNullSafe(F.col("of")), "left").drop("of")
     counted = keyed(docs, text, doc_id).select("key", F.size("w").cast("long").alias("n_words"))
     return counted.join(found, counted["key"].eqNullSafe(found["key"]), "left").select(
         counted["key"]["id"].alias(doc_id),

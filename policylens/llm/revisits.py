@@ -52,7 +52,7 @@ def resolve(records: DataFrame, block: int = BLOCK) -> DataFrame:
 
     `records` has `record_id`, `url`, `ts` (long), `kind` ('response' or 'revisit'), `status`, `headers`
     (names in lower case) and `digest`.  A full response has kind 'response' and status 200.  Earlier means
-    a smaller (ts, record_id).  Outcomes: 'resolved'; 'mismatch' (validators differ); 'unverified' (no
+    a smaller (ts, record_id); records equal in both stand by kind (a response first) and digest.  Outcomes: 'resolved'; 'mismatch' (validators differ); 'unverified' (no
     validator in common); 'no_response' (none is earlier, or URL or time is null).  Only 'resolved' rows get
     a digest and headers; `response_id` also names a response that did not fit.  Null headers count as
     empty.  Repeated rows are resolved one by one.  Columns named like a new one are replaced.
