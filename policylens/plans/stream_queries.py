@@ -36,7 +36,7 @@ def in_batches(df: DataFrame, name: str, order: str, cuts: int, last: DataFrame
     `last` comes after all others.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
-    bounds = df.approxQuantile(order, [k / cuts for k in range(1, cuts)], 0.01)
+    bounds = df.approxQuantile(order, [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else []
     at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
     placed = written(df.withColumn("cut", at), f"{name}-cuts")
     for k in range(cuts):
