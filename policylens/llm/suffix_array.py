@@ -1,4 +1,4 @@
-"""Suffix-array deduplication: prefix doubling over content-defined positions.
+"""Repeated strings of bytes by content-defined positions, in place of plain prefix doubling.
 
 Every byte that a string of `LENGTH` bytes covers which also starts elsewhere is removed.  Plain prefix
 doubling sorts one (rank, rank) pair per byte and round, many times the size of the text; here a round
