@@ -146,3 +146,33 @@ def test_timers(spark, tmp_path, mode, cut):
     # three days on, only the last decision is still remembered
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert rows[-1] <= 8
+
+
+def test_timers_keep_few_states(spark, tmp_path):
+    """A thousand open ids are a few states with one timer each; ids with parts that are null stay apart."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    n, at = 1000, 1_700_000_000_000
+    stamped = (
+        spark.range(n).select(
+            *[F.lit("k").alias(k) for k in KEY[:2]], F.when(F.col("id") % 2 == 0, "c").alias("capsule"),
+            F.floor(F.col("id") / 2).cast("string").alias("id"), F.explode(F.array(F.lit("decision"), F.lit("reward"))).alias("kind"),
+            (F.col("id") + at).alias("ts_ms"), F.col("id").cast("double").alias("value"), F.lit("i").alias("idempotency_key"),
+        ).withColumn("ts", F.timestamp_millis("ts_ms"))
+    )
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    stamped.coalesce(1).write.parquet(source)
+    q = (
+        with_timers(spark.readStream.schema(stamped.schema).parquet(source), 0.5, 600, "sum", buckets=4)
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        .trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < rows[-1] <= 3 * 4
+    got = spark.read.parquet(out).groupBy("kind", F.col("capsule").isNull().alias("none")).agg(
+        F.count_distinct("id").alias("n"), F.sum("value").alias("total")
+    )
+    assert {(r["kind"], r["none"], r["n"], r["total"]) for r in got.collect()} == {
+        ("decision", False, 500, None), ("decision", True, 500, None),
+        ("reward", False, 500, 249_500.0), ("reward", True, 500, 250_000.0),
+    }
