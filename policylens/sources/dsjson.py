@@ -25,7 +25,7 @@ def merged_namespace(value: Column) -> Column:
         parts, none, lambda m, p: F.map_zip_with(m, p, lambda _, a, b: F.coalesce(b, a))
     )
     is_list = F.schema_of_variant(value).startswith("ARRAY") & (F.size(parts) > 0)
-    return F.when(F.coalesce(is_list, F.lit(False)), F.to_json(merged)).otherwise(F.to_json(value))
+    return F.when(F.coalesce(is_list, F.lit(False)), F.parse_json(F.to_json(merged))).otherwise(value)
 
 
 def namespaces(node: Column, skip: Column) -> Column:
@@ -34,7 +34,7 @@ def namespaces(node: Column, skip: Column) -> Column:
         F.try_variant_get(node, "$", "map<string,variant>"),
         lambda k, _: ~k.startswith("_") & ~F.array_contains(skip, k),
     )
-    merged = F.transform_values(kept, lambda _, v: F.parse_json(merged_namespace(v)))
+    merged = F.transform_values(kept, lambda _, v: merged_namespace(v))
     return F.to_json(merged)
 
 
@@ -46,12 +46,17 @@ def parse_dsjson(lines: DataFrame) -> DataFrame:
     """
     extra = [c for c in lines.columns if c != "value"]
     none = F.array().cast("array<string>")
-    v, c = F.col("v"), F.col("c")
-    df = clean_lines(lines).withColumn("v", F.try_parse_json("value")).withColumn(
-        "c", F.try_variant_get("v", "$.c", "variant")
+    v, c, keys, outcomes = F.col("v"), F.col("c"), F.col("keys"), F.col("outcomes")
+    df = once(clean_lines(lines), *extra, "value", F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
+    # what is read several times is evaluated once per row
+    df = once(
+        df, *extra, "value", "v", "keys",
+        F.try_variant_get("v", "$.c", "variant").alias("c"),
+        F.try_variant_get("v", "$.o", "array<variant>").alias("outcomes"),
+        F.try_variant_get("v", "$.a", "array<int>").alias("ranked"),
+        F.try_variant_get("v", "$.p", "array<double>").alias("probs"),
+        _text(v, "$.Timestamp").alias("stamp"),
     )
-    keys = F.json_object_keys("value")
-    outcomes = F.try_variant_get(v, "$.o", "array<variant>")
     activated = F.exists(
         outcomes,
         lambda o: F.coalesce(F.try_variant_get(o, "$.ActionTaken", "boolean"), F.lit(False)),
@@ -70,8 +75,7 @@ def parse_dsjson(lines: DataFrame) -> DataFrame:
         )
         return F.struct(name.alias("id"), namespaces(a, skip).alias("features"))
 
-    ranked = F.try_variant_get(v, "$.a", "array<int>")
-    probs = F.try_variant_get(v, "$.p", "array<double>")
+    ranked, probs, stamp = F.col("ranked"), F.col("probs"), F.col("stamp")
     pairs = F.array_sort(F.arrays_zip(ranked.alias("a"), probs.alias("p")))
     total = F.aggregate(probs, F.lit(0.0), lambda s, p: s + p)
     cost = F.try_variant_get(v, "$._label_cost", "double")
@@ -81,11 +85,10 @@ def parse_dsjson(lines: DataFrame) -> DataFrame:
     summed = F.when(
         F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
     )
-    stamp = _text(v, "$.Timestamp")
     utc = stamp.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d*)?(Z|\+00:00)$")
     ts = F.unix_millis(F.try_to_timestamp(F.when(utc, stamp)))
     parsed = once(
-        once(df, *extra, "value", "v", "c"),
+        df,
         *extra,
         "value",
         F.array_contains(keys, "_outcomes").alias("has_outcomes"),
