@@ -19,13 +19,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of a table that one task works on, about.
+PIECE_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table that comes in fewer pieces than there are cores.
+    """A table in pieces of about `PIECE_ROWS` rows, in as many as there are cores at least.
 
-    A large table has more pieces than that and is left as it is.
+    How many pieces a scan has says little: a large row group is one task's work, however finely its file is split.
+    The rows of a Parquet table are counted from the files' footers.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PIECE_ROWS)))
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -56,7 +60,7 @@ def event_decisions(spark: SparkSession, folder: str) -> DataFrame:
 
     every, three = (0, 1, 2, 3, 4), (0, 1, 2, 4)
     legacy = F.col("event_id") % 40 == 3
-    events = table(spark, folder, "events").filter(~(fourth & (F.col("event_type") == "signup")))
+    events = spread(table(spark, folder, "events")).filter(~(fourth & (F.col("event_type") == "signup")))
     return (
         events.withColumn("favourite", favourite)
         .select(

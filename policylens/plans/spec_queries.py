@@ -19,7 +19,7 @@ from policylens.plans.learn_queries import BITS, SPEC, learning_rows
 from policylens.plans.log_queries import LOG, NOW
 from policylens.plans.registry import query, r
 from policylens.plans.sample_log import event_decisions as all_decisions
-from policylens.plans.sample_log import event_rewards, spread, table
+from policylens.plans.sample_log import event_rewards, table
 from policylens.schema import KEY
 from policylens.session import checkpointed
 
@@ -112,7 +112,7 @@ def l2_by_spec(spark, folder):
 
 def _decide(spark: SparkSession, folder: str, spec) -> DataFrame:
     header, slots = L.fold_models(learning_rows(spark, folder), spec)
-    requests = X.featurize(spread(all_decisions(spark, folder)).drop("pmf", "probability", "chosen_index", "chosen_id", "mode"))
+    requests = X.featurize(all_decisions(spark, folder).drop("pmf", "probability", "chosen_index", "chosen_id", "mode"))
     return L.decide(requests, slots, header, spec).select(
         "capsule", "id", "chosen_id", r("probability", 4).alias("probability"), "model_version"
     )
