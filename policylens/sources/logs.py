@@ -36,7 +36,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Blank lines dropped and a byte-order mark removed."""
-    return lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).filter(
+    value = F.col("value")
+    return lines.withColumn("value", F.when(value.startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(value)).filter(
         F.trim("value") != ""
     )
 
@@ -56,25 +57,36 @@ def parse_logged_rows(lines: DataFrame, aggregation: str = "first") -> DataFrame
     extra = [c for c in lines.columns if c != "value"]
     doc = F.from_json("value", RECORD, {"columnNameOfCorruptRecord": "bad"})
     df = once(
-        clean_lines(lines), *extra, "value", doc.alias("r"), F.try_parse_json("value").alias("v")
+        clean_lines(lines), *extra, doc.alias("r"), F.try_parse_json("value").alias("v"),
+        F.json_object_keys("value").alias("keys"),
     )
-    keys = F.json_object_keys("value")
     listed = F.try_variant_get("v", "$.eligible", "array<variant>")
-    kinds = F.transform(listed, lambda x: F.schema_of_variant(x))
-    by_id = F.exists(kinds, lambda k: k == "STRING")
-    whole = F.forall(kinds, lambda k: k == "BIGINT")
+    event_keys = F.transform(
+        F.try_variant_get("v", "$.rewards", "array<map<string,variant>>"), lambda m: F.map_keys(m)
+    )
+    # what several rules read is evaluated once per row
+    df = once(
+        df, *extra, "r", "keys", F.schema_of_variant("v").alias("shape"), F.col("v").isNotNull().alias("json"),
+        listed.alias("listed"), F.transform(listed, lambda x: F.schema_of_variant(x)).alias("kinds"),
+        event_keys.alias("event_keys"),
+    )
+    by_id = F.exists("kinds", lambda k: k == "STRING")
     ids = F.col("r.actions.id")
-    positions = F.when(
+    found = F.when(
         by_id,
         F.transform(
-            listed,
+            F.col("listed"),
             lambda x: (F.array_position(ids, F.try_variant_get(x, "$", "string")) - 1).cast("int"),
         ),
-    ).otherwise(F.transform(listed, lambda x: F.try_variant_get(x, "$", "int")))
-    events = F.array_sort(F.col("r.rewards"))
-    event_keys = F.transform(
-        F.try_variant_get("v", "$.rewards", "array<map<string,variant>>"), lambda m: F.map_keys(m)
+    ).otherwise(F.transform(F.col("listed"), lambda x: F.try_variant_get(x, "$", "int")))
+    df = once(
+        df, *extra, "r", "keys", "shape", "json", "kinds", "event_keys", by_id.alias("by_id"), found.alias("positions"),
+        F.array_sort(F.col("r.rewards")).alias("events"),
     )
+    keys, kinds, by_id, positions, events, event_keys = map(
+        F.col, ("keys", "kinds", "by_id", "positions", "events", "event_keys")
+    )
+    whole = F.forall(kinds, lambda k: k == "BIGINT")
     if aggregation == "first":
         folded = F.get(events, F.lit(0))["reward"]
     else:
@@ -86,8 +98,8 @@ def parse_logged_rows(lines: DataFrame, aggregation: str = "first") -> DataFrame
     named = F.get(ids, chosen)
     shape = first_problem(
         [
-            ("not_json", F.col("v").isNotNull()),
-            ("not_an_object", F.schema_of_variant("v").startswith("OBJECT")),
+            ("not_json", F.col("json")),
+            ("not_an_object", F.col("shape").startswith("OBJECT")),
             ("unknown_field", only_fields(keys, ROW_FIELDS)),
             ("wrong_type", F.col("r.bad").isNull()),
             ("id_missing", F.col("r.decisionId").isNotNull()),
@@ -219,8 +231,10 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
             F.json_object_keys("text").alias("fields"),
         ),
         *extra, "d", "fields", F.from_json("d.input", INPUT).alias("i"),
+        F.json_object_keys("d.input").alias("input_fields"),
+        F.try_to_number(F.col("d.seed"), F.lit("99999999999999999999")).alias("seed_number"),
     )
-    seed = F.try_to_number(F.col("d.seed"), F.lit("99999999999999999999"))
+    seed = F.col("seed_number")
     top = F.lit("9223372036854775808").cast("decimal(20,0)")
     signed = F.when(seed < top, seed).otherwise(seed - top - top).cast("bigint")
     has_object = F.col("i.context").isNull() | F.col("i.context").startswith("{")
@@ -253,7 +267,7 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
                 ("seed_invalid", signed.isNotNull()),
                 (
                     "input_field_unknown",
-                    only_fields(F.json_object_keys("d.input"), INPUT_FIELDS),
+                    only_fields(F.col("input_fields"), INPUT_FIELDS),
                 ),
                 ("context_not_object", has_object),
                 ("chosen_missing", F.col("d.chosenIndex").isNotNull()),

@@ -340,3 +340,36 @@ def test_percentiles_are_exact(spark, percent, monkeypatch):
         for g, values in groups.items():
             assert got[g]["percentile"] == pytest.approx(np.percentile(values, percent), rel=1e-12)
             assert got[g]["mean"] == pytest.approx(values.mean())
+
+
+def test_a_large_row_group_is_spread(spark, tmp_path, monkeypatch):
+    """However a file is cut into splits, tasks get about the same number of rows, and their number grows with the rows."""
+    from policylens.plans import sample_log
+
+    spark.range(2000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(sample_log, "PIECE_ROWS", 100)
+    pieces = sample_log.spread(spark.read.parquet(str(tmp_path / "t")))
+    sizes = [r["count"] for r in pieces.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 200 and sum(sizes) == 2000
+
+
+def test_shared_parts_of_a_line_are_parsed_once(spark):
+    """What several rules read of a line is in the plan once."""
+    from policylens.sources import dsjson, logs
+
+    lines = spark.createDataFrame([("{}",)], "value string")
+
+    def times(df, what):
+        return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+    rows = logs.parse_logged_rows(lines)
+    assert times(rows, "json_object_keys(value") + times(rows, "jsonObjectKeys(value") == 1
+    assert times(logs.parse_uploaded_decisions(lines), "try_to_number(") == 1
+    assert times(dsjson.parse_dsjson(lines), "parseJson(value") == 1
+
+
+def test_byte_order_marks_and_blank_lines(spark):
+    from policylens.sources.logs import clean_lines
+
+    lines = spark.createDataFrame([("﻿{}",), ("﻿",), ("  ",), (None,), ("a﻿",), ("﻿﻿b",)], "value string")
+    assert [r["value"] for r in clean_lines(lines).collect()] == ["{}", "a﻿", "﻿b"]
