@@ -26,24 +26,26 @@ def as_stream(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-#: Files that make a micro-batch of `in_batches`, each written by a task of its own.
-FILES = 4
+#: Files that make a micro-batch of `in_batches` at least, each written by a task of its own, and rows of a file, about.
+FILES, FILE_ROWS = 4, 50_000
 
 
 def in_batches(df: DataFrame, name: str, order: str, cuts: int, last: DataFrame | None = None) -> DataFrame:
     """The rows as a file stream of about `cuts` micro-batches that follow each other by `order` (nulls in the first).
 
-    `last` comes after all others.
+    `last` comes after all others.  The rows are computed once; a micro-batch has more files with more rows, so that its
+    reading spreads over the cluster.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
-    bounds = df.approxQuantile(order, [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else []
+    rows = written(df, f"{name}-rows")
+    files = max(FILES, -(-rows.count() // (cuts * FILE_ROWS)))
+    bounds = rows.approxQuantile(order, [k / cuts for k in range(1, cuts)], 0.01) if cuts > 1 else []
     at = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    placed = written(df.withColumn("cut", at), f"{name}-cuts")
     for k in range(cuts):
-        placed.filter(F.col("cut") == k).drop("cut").repartition(FILES).write.mode("append").parquet(path)
+        rows.filter(at == k).repartition(files).write.mode("append").parquet(path)
     if last is not None:
         last.select(*df.columns).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:

@@ -176,3 +176,28 @@ def test_timers_keep_few_states(spark, tmp_path):
         ("decision", False, 500, None), ("decision", True, 500, None),
         ("reward", False, 500, 249_500.0), ("reward", True, 500, 250_000.0),
     }
+
+
+def test_in_batches_computes_its_rows_once(spark, monkeypatch):
+    """Micro-batches follow each other by the order, their rows are computed once, and more rows make more files."""
+    from policylens.plans import stream_queries as Q
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("bigint")
+    def seen(n):
+        calls.add(1)
+        return n
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 20)
+    rows = spark.range(600).select(seen("id").alias("n"))
+    stream, found = Q.in_batches(rows, "once", "n", 3), []
+
+    def note(batch, batch_id):
+        files = batch.select(F.input_file_name()).distinct().count()
+        found.append((files, *batch.agg(F.min("n"), F.max("n"), F.count("n")).first()))
+
+    Q.drain_batches(stream, note, "once")
+    assert calls.value == 600
+    assert [files for files, *_ in found] == [10, 10, 10] and sum(n for *_, n in found) == 600
+    assert all(a[2] < b[1] for a, b in zip(found, found[1:]))
