@@ -97,8 +97,12 @@ def verify_uploads(
         *KEY, "model_tag", "id", "arrival", "seed", "context", F.lit("{}").alias("derived"),
         "actions", "excluded_ids", *(["baseline"] if "baseline" in known.columns else []),
     )
+    # what made the features stays behind: of an action the replay needs the id only
+    ready = featurize(restrict(work)).drop("context", "derived", "excluded_ids").withColumn(
+        "actions", F.transform("actions", lambda a: F.struct(a["id"].alias("id")))
+    )
     replayed = decide(
-        featurize(restrict(work)), slots, models, spec,
+        ready, slots, models, spec,
         model_key=[*KEY, "model_tag"], row_id=["id", "arrival"],
     ).select(
         *KEY, "id", "arrival",

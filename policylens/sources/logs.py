@@ -35,11 +35,10 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
-    """Blank lines dropped and a byte-order mark removed."""
+    """Blank lines dropped and a byte-order mark removed; a line that is made by an expression is made once."""
     value = F.col("value")
-    return lines.withColumn("value", F.when(value.startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(value)).filter(
-        F.trim("value") != ""
-    )
+    bare = F.when(value.startswith("\ufeff"), F.expr("substring(value, 2)")).otherwise(value).alias("value")
+    return once(lines, *[bare if c == "value" else c for c in lines.columns]).filter(F.trim("value") != "")
 
 
 def only_fields(keys: Column, allowed: list[str]) -> Column:

@@ -358,6 +358,7 @@ def test_shared_parts_of_a_line_are_parsed_once(spark):
     from policylens.sources import dsjson, logs
 
     lines = spark.createDataFrame([("{}",)], "value string")
+    made = lines.select(F.reverse("value").alias("value"))
 
     def times(df, what):
         return df._jdf.queryExecution().optimizedPlan().toString().count(what)
@@ -366,6 +367,7 @@ def test_shared_parts_of_a_line_are_parsed_once(spark):
     assert times(rows, "json_object_keys(value") + times(rows, "jsonObjectKeys(value") == 1
     assert times(logs.parse_uploaded_decisions(lines), "try_to_number(") == 1
     assert times(dsjson.parse_dsjson(lines), "parseJson(value") == 1
+    assert times(logs.clean_lines(made), "reverse(") == 1
 
 
 def test_byte_order_marks_and_blank_lines(spark):
