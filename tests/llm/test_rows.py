@@ -253,6 +253,40 @@ def test_long_texts_are_learned_from(spark, monkeypatch):
     assert all(10 <= fewer[x] <= 35 for x in ("en", "fr"))
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Chunks of a few rows each: every labelled row is in one, once, and the model does not depend on how tables are cut."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 80)
+    monkeypatch.setattr(toxicity, "SEEN", 5000)
+    rng = random.Random(5)
+    bad = [f"{a}{b}vile" for a in "qrst" for b in "uvwxy"]
+    rows, marks = [], []
+    for i in range(640):
+        words = helpers.sentence(rng, rng.randint(3, 12)).split()
+        if i % 2:
+            words[rng.randrange(len(words))] = bad[i // 2 % len(bad)]
+        rows.append((i, " ".join(words), [None, "en", "es"][i % 3]))
+        marks.append((i, i % 2))
+    marks += [(9999, 1), (None, 1), (1, None)]
+    docs = helpers.documents(spark, [*rows, *rows[:100], (None, "x y"), (5000, "z")], extra=False)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    made, chunks = [], toxicity._chunks
+    monkeypatch.setattr(toxicity, "_chunks", lambda *a: made.append(chunks(*a)) or made[-1])
+    models = [toxicity.fit(docs.repartition(n), labels.repartition(m)) for n, m in ((1, 2), (9, 5))]
+    assert np.array_equal(packed(models[0]), packed(models[1])) and models[0].thresholds == models[1].thresholds
+    for held in made:
+        found = held.collect()
+        assert len(found) == 8 and all(r.n == len(r.y) - -(-len(r.y) // 5) for r in found)
+        got = Counter((lang, y, n) for r in found for lang, y, n in zip(r.lang, r.y, r.words))
+        assert got == Counter((lang, float(i % 2), len(toxicity.words(t))) for i, t, lang in rows)
+    tests = [(i, f"abc {w} de") for i, w in enumerate(["", *bad])]
+    got = {r.doc_id: r.score for r in toxicity.score(helpers.documents(spark, tests), models[0]).collect()}
+    assert np.mean([got[i] for i in range(1, len(tests))]) > got[0]
+
+
+def packed(model):
+    return toxicity.packed(model, toxicity.fresh(1, 0)[1])
+
+
 def test_thresholds():
     scores, labels = np.array([0.9, 0.8, 0.4, 0.3, 0.2]), np.array([1, 1, 1, 0, 0])
     assert toxicity.best_threshold(scores, labels) == 0.4
