@@ -332,7 +332,7 @@ def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, list[np
 def _round(chunks: DataFrame, start: np.ndarray, passes: int, seed: int) -> np.ndarray:
     """The model after all chunks have descended from `start`: of every row of the table the mean over the chunks
     that changed it, weighted by their rows."""
-    start = start.astype(np.float32)
+    base, start = float(start[SLOTS, 0]), start.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(start.shape, np.int64), np.zeros(len(start), np.int64)
@@ -342,6 +342,7 @@ def _round(chunks: DataFrame, start: np.ndarray, passes: int, seed: int) -> np.n
                 if not len(learned):
                     continue
                 model, state = unpacked(start)
+                model.base = base
                 descend(model, state, [texts[i] for i in learned], y[learned], passes, seed=seed)
                 change = packed(model, state)
                 change -= start
