@@ -3,7 +3,7 @@
 A text is a unit vector of square-rooted counts of hashed byte trigrams.  A one-versus-rest linear
 support vector machine per family picks the family; inside it, one machine per pair of languages
 votes.  All machines are trained here, in numpy, on a bounded sample of labelled rows whose vectors
-(not texts) reach the driver.
+(not texts) reach the driver, packed; there they stand once, as the one matrix that all machines learn from.
 
 Machines only tell the learned languages from each other.  Whether a text is in one of them at all is
 told by its trigrams' mean log likelihood under each language's profile, as a deviation from what labelled
@@ -12,6 +12,7 @@ texts outside the profile reach, in units that allow for the text's length.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, sample_hash, sigmoid
+from policylens.llm.common import arrow_map, bounded_sample, column, flat_bytes, give_back, sample_hash, sigmoid
 
 #: Hashed trigrams.
 DIMS = 4096
@@ -84,7 +85,11 @@ def train_svm(x: np.ndarray, positive: np.ndarray, rounds: int = 150, decay: flo
 
     Both classes weigh the same, whatever their sizes.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    return descend(np.hstack([x, np.ones((len(x), 1), np.float32)]), positive, rounds, decay)
+
+
+def descend(x: np.ndarray, positive: np.ndarray, rounds: int = 150, decay: float = 1e-4) -> np.ndarray:
+    """`train_svm` on rows that end in a one, for the bias, so that they need no copy."""
     y = np.where(positive, 1.0, -1.0).astype(np.float32)
     weight = np.where(positive, 0.5 / max(positive.sum(), 1), 0.5 / max((~positive).sum(), 1)).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
@@ -122,11 +127,10 @@ def profiles(x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> tuple[Profiles
     The bound is such that `FITTING` of the rows held back fit; a language with fewer than `HELD_BACK` rows holds back
     each of them in turn, and has a say in the bound only if all languages are like that.
     """
-    square = np.square(x)
     logs, usual, spread, held, few = [], [], [], [], set()
 
     def log_share(rows: np.ndarray) -> np.ndarray:
-        return np.log((square[rows].mean(0) * (1 - SPREAD) + SPREAD / DIMS).astype(np.float64))
+        return np.log((np.square(x[rows]).mean(0) * (1 - SPREAD) + SPREAD / DIMS).astype(np.float64))
 
     for name in sorted(set(langs)):
         rows = np.flatnonzero((langs == name) & (n > 0))
@@ -136,7 +140,7 @@ def profiles(x: np.ndarray, n: np.ndarray, langs: np.ndarray) -> tuple[Profiles
         large = len(rows) >= HELD_BACK
         back = rows[HELD_BACK - 1 :: HELD_BACK] if large else rows
         log = log_share(np.setdiff1d(rows, back) if large else rows)
-        reached = square[back] @ log if large else np.array([square[i] @ log_share(np.setdiff1d(rows, [i])) for i in rows])
+        reached = np.square(x[back]) @ log if large else np.array([np.square(x[i]) @ log_share(np.setdiff1d(rows, [i])) for i in rows])
         share = np.exp(log)
         logs.append(log)
         usual.append(np.median(reached))
@@ -217,32 +221,40 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, n = counted(column(batch, text).to_pylist())
-        sent = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
+        sent = pa.array([zlib.compress(r.tobytes(), 1) for r in x.astype(np.float16)], pa.binary())
         return pa.RecordBatch.from_arrays(
             [column(batch, lang).cast(pa.string()), column(batch, "hash"), pa.array(n, pa.int64()), sent], ["lang", "hash", "n", "x"]
         )
 
     sample = bounded_sample(labelled, [lang], TRAIN_ROWS)
-    got = arrow_map(sample, work, "lang string, hash long, n long, x binary", 128).toArrow().sort_by("hash")
-    if not got.num_rows:
+    langs, n, x = _gathered(arrow_map(sample, work, "lang string, hash long, n long, x binary", 128))
+    give_back()
+    if not len(langs):
         return LanguageModel()
-    langs = np.array(got["lang"].to_pylist(), object)
-    x = np.stack([np.frombuffer(r, np.float16) for r in got["x"].to_pylist()]).astype(np.float32)
     groups: dict[str, list[str]] = {}
     for name in sorted(set(langs)):
         groups.setdefault(family(name), []).append(name)
     families = np.array([family(name) for name in langs], object)
     model = LanguageModel(groups)
-    model.profiles, model.few = profiles(x, np.array(got["n"].to_pylist()), langs)
+    model.profiles, model.few = profiles(x[:, :DIMS], n, langs)
     if len(groups) > 1:
-        model.of_family = {name: train_svm(x, families == name) for name in groups}
+        model.of_family = {name: descend(x, families == name) for name in groups}
     for members in groups.values():
         for a, b in combinations(members, 2):
             here = (langs == a) | (langs == b)
-            model.of_pair[a, b] = train_svm(x[here], langs[here] == a)
+            model.of_pair[a, b] = descend(x[here], langs[here] == a)
     return model
 
 
+def _gathered(sent: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, numbers of trigrams and vectors, each followed by a one, in the order of `hash`."""
+    got = sent.toArrow().sort_by("hash")
+    x = np.ones((got.num_rows, DIMS + 1), np.float32)
+    for i, row in enumerate(got["x"]):
+        x[i, :DIMS] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float16)
+    return np.array(got["lang"].to_pylist(), object), np.array(got["n"].to_pylist(), np.int64), x
+
+
 def identify(
     docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[str] | None = None, inside: str | None = None
 ) -> DataFrame:

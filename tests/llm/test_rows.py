@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import random
 import struct
+import tracemalloc
 from collections import Counter
+from string import ascii_lowercase
 
 import compare
 import helpers
@@ -173,6 +175,29 @@ def test_samples_are_drawn_by_language(spark, monkeypatch):
     assert "nl" in langid.fit(docs).groups["germanic"]
 
 
+def test_language_model_takes_little_of_the_driver(spark, monkeypatch):
+    """Rows reach the driver packed, and stand there once: no second copy for the profiles or the machines."""
+    rng = random.Random(8)
+    alphabet = [str.maketrans("abcdefgh", ascii_lowercase[3 * k : 3 * k + 8]) for k in range(6)]
+    rows = [(i, helpers.sentence(rng, 40).translate(alphabet[i % 6]), f"q{i % 6}") for i in range(1800)]
+    sent, plain = [], langid.arrow_map
+
+    def seen(*of):
+        sent.append(plain(*of))
+        return sent[-1]
+
+    monkeypatch.setattr(langid, "arrow_map", seen)
+    docs = helpers.documents(spark, rows, extra=False).localCheckpoint()
+    tracemalloc.start()
+    model = langid.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.of_family) == 6
+    got = sent[0].toArrow()
+    assert got.num_rows == len(rows) and got.nbytes < len(rows) * langid.DIMS * 2 / 4
+    assert peak < 1.6 * len(rows) * langid.DIMS * 4
+
+
 def test_families():
     assert langid.family("en") == langid.family("DE-at") == "germanic" and langid.family("qq") == "only qq"
 
