@@ -30,6 +30,8 @@ SHRINK = 20
 SLOTS, SIZE, FILTERS, WIDTHS = 1 << 16, 16, 12, (1, 2, 3)
 #: Labelled rows of a chunk (about), and bytes of their slots (at most, unless one text alone has more).
 TRAIN_ROWS, TRAIN_BYTES = 6000, 24 << 20
+#: Bytes of a chunk's slots in a row, so that the executors handle no large rows, and a size that no chunk's file reaches.
+PIECE_BYTES, FILE_BYTES = 1 << 17, 1 << 30
 #: Texts per step, texts that the descent sees in all (at least), and how often it sees each of several chunks (at least).
 BATCH, SEEN, PASSES = 48, 36_000, 3
 #: Rounds at most: beyond, a chunk passes several times over its rows in a round.
@@ -272,10 +274,11 @@ def _held_back(n: int) -> np.ndarray:
 
 
 def _chunks(texts: DataFrame, told: DataFrame, n: int) -> DataFrame:
-    """(n, ones, lang, y, words, slots): the labelled rows in chunks, and how many the descent sees in each.
+    """(n, ones, lang, y, words, piece, slots, shard, cut): the labelled rows in chunks, and how many the descent sees in each.
 
     `told` has the labels of `n` rows by hash.  Slots are cut before they are shuffled, once, and only of rows that may
-    have a label.  The table is written, a file per chunk.
+    have a label.  The table is written, a file per chunk (shard, cut) with one row group, so that one task reads it.  The
+    slots of a chunk go on over as many rows (piece) as they need; all else is in its first.
     """
     kind = texts.schema["lang"].dataType
     found = _sequences(texts.withColumn("y", F.lit(None).cast("double")), _bitmap(told, n))
@@ -290,43 +293,67 @@ def _chunks(texts: DataFrame, told: DataFrame, n: int) -> DataFrame:
     # in the order of the hash: the descent sees the same rows in the same order however the table is cut
     rows = rows.select("shard", "hash", "doc.lang", "doc.slots", F.explode("y").alias("y")).sortWithinPartitions("shard", "hash", "y")
 
-    def chunk(held: list[tuple], like: pa.DataType) -> pa.RecordBatch:
+    names = ["n", "ones", "lang", "y", "words", "piece", "slots", "shard", "cut"]
+
+    def chunk(held: list[tuple], like: pa.DataType, shard: int, cut: int) -> Iterator[pa.RecordBatch]:
         lang, y, sent = zip(*held)
         learned = ~_held_back(len(y))
-        values = [int(learned.sum()), float(np.array(y)[learned].sum()), lang, y, [len(b) // 6 for b in sent], b"".join(sent)]
-        kinds = [pa.int64(), pa.float64(), pa.list_(like), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["n", "ones", "lang", "y", "words", "slots"])
+        first, flat = [int(learned.sum()), float(np.array(y)[learned].sum()), lang, y, [len(b) // 6 for b in sent]], b"".join(sent)
+        kinds = [pa.int64(), pa.float64(), pa.list_(like), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+        for piece, at in enumerate(range(0, max(len(flat), 1), PIECE_BYTES)):
+            values = [*(first if not piece else [None] * len(first)), piece, flat[at : at + PIECE_BYTES], shard, cut]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, size, like = None, [], 0, pa.null()
+        shard, cut, held, size, like = None, 0, [], 0, pa.null()
         for batch in batches:
             like = column(batch, "lang").type
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 for s, *row in zip(*(column(part, c).to_pylist() for c in ("shard", "lang", "y", "slots"))):
                     if held and (s != shard or size + len(row[-1]) > TRAIN_BYTES):
-                        yield chunk(held, like)
-                        held, size = [], 0
-                    shard = s
+                        yield from chunk(held, like, shard, cut)
+                        held, size, cut = [], 0, cut + 1
+                    if s != shard:
+                        shard, cut = s, 0
                     held.append(row)
                     size += len(row[-1])
         if held:
-            yield chunk(held, like)
+            yield from chunk(held, like, shard, cut)
         del held
         give_back()
 
-    schema = f"n long, ones double, lang array<{kind.simpleString()}>, y array<double>, words array<int>, slots binary"
+    schema = f"n long, ones double, lang array<{kind.simpleString()}>, y array<double>, words array<int>, piece int, slots binary, shard int, cut int"
     path = shared_folder(texts.sparkSession, "op6-chunks")
-    rows.mapInArrow(run, schema).write.option("maxRecordsPerFile", 1).parquet(path)
+    pieces = rows.mapInArrow(run, schema).sortWithinPartitions("shard", "cut", "piece")
+    pieces.write.option("parquet.block.size", FILE_BYTES).partitionBy("shard", "cut").parquet(path)
     return texts.sparkSession.read.schema(schema).parquet(path)
 
 
-def _texts_of(batch: pa.RecordBatch) -> Iterator[tuple[list, np.ndarray, list[np.ndarray], np.ndarray]]:
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]]:
     """Of each chunk the languages, labels and word-slot arrays, and which rows are held back."""
-    for i in range(batch.num_rows):
-        lang, y, sizes = (column(batch, c)[i].as_py() for c in ("lang", "y", "words"))
-        ids = np.frombuffer(column(batch, "slots")[i].as_buffer(), np.uint16).reshape(-1, 3)
-        yield lang, np.array(y), np.split(ids, np.cumsum(sizes)[:-1]), _held_back(len(y))
+
+    def chunk() -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
+        lang, y, sizes = first
+        flat = b"".join(pieces[i] for i in sorted(pieces))
+        pieces.clear()
+        if len(flat) != 6 * sizes.sum():
+            raise ValueError(f"chunk {at} is not whole")
+        ids = np.frombuffer(flat, np.uint16).reshape(-1, 3)
+        return lang, y, np.split(ids, np.cumsum(sizes)[:-1]), _held_back(len(y))
+
+    at, first, pieces = None, None, {}
+    for batch in batches:
+        for i, here in enumerate(zip(column(batch, "shard").to_pylist(), column(batch, "cut").to_pylist())):
+            if pieces and here != at:
+                yield chunk()
+            at, piece = here, column(batch, "piece")[i].as_py()
+            if not piece:
+                lang, y, sizes = (column(batch, c)[i].values for c in ("lang", "y", "words"))
+                first = lang, y.to_numpy(), sizes.to_numpy()
+            pieces[piece] = column(batch, "slots")[i].as_buffer()
+    if pieces:
+        yield chunk()
 
 
 def _round(chunks: DataFrame, start: np.ndarray, passes: int, seed: int) -> np.ndarray:
@@ -336,20 +363,19 @@ def _round(chunks: DataFrame, start: np.ndarray, passes: int, seed: int) -> np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, weight = np.zeros(start.shape, np.int64), np.zeros(len(start), np.int64)
-        for batch in batches:
-            for _, y, texts, back in _texts_of(batch):
-                learned = np.flatnonzero(~back)
-                if not len(learned):
-                    continue
-                model, state = unpacked(start)
-                model.base = base
-                descend(model, state, [texts[i] for i in learned], y[learned], passes, seed=seed)
-                change = packed(model, state)
-                change -= start
-                weight[change.any(1)] += len(learned)
-                change *= len(learned) * SCALE
-                total += np.rint(change, out=change).astype(np.int64)
-                del model, state, texts, change
+        for _, y, texts, back in _texts_of(batches):
+            learned = np.flatnonzero(~back)
+            if not len(learned):
+                continue
+            model, state = unpacked(start)
+            model.base = base
+            descend(model, state, [texts[i] for i in learned], y[learned], passes, seed=seed)
+            change = packed(model, state)
+            change -= start
+            weight[change.any(1)] += len(learned)
+            change *= len(learned) * SCALE
+            total += np.rint(change, out=change).astype(np.int64)
+            del model, state, texts, change
             give_back()
         touched = np.flatnonzero(weight).astype(np.int32)
         for i in range(0, len(touched), 8192):
@@ -373,14 +399,10 @@ def _calibrate(chunks: DataFrame, model: ToxicityModel, kind: str) -> None:
     """Thresholds per language, from counts per step of the log-odds over all rows held back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            like = column(batch, "lang").type.value_type
-            for lang, y, texts, back in _texts_of(batch):
-                held = np.flatnonzero(back)
-                at = [int(np.floor(np.clip(model.logit(model.pooled(model.projected(texts[i]))), -40, 40) * STEPS)) for i in held]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang[i] for i in held], like), pa.array(at, pa.int32()), pa.array(y[held])], ["lang", "step", "y"]
-                )
+        for lang, y, texts, back in _texts_of(batches):
+            held = np.flatnonzero(back)
+            at = [int(np.floor(np.clip(model.logit(model.pooled(model.projected(texts[i]))), -40, 40) * STEPS)) for i in held]
+            yield pa.RecordBatch.from_arrays([lang.take(pa.array(held)), pa.array(at, pa.int32()), pa.array(y[held])], ["lang", "step", "y"])
 
     counts = chunks.mapInArrow(run, f"lang {kind}, step int, y double").groupBy("lang", "step")
     # in one order: equal sums are weighed alike however they arrive
@@ -415,7 +437,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
         model.out[:] = 0
         return model
     chunks = _chunks(texts.select("hash", "text", "lang"), told, n)
-    held = chunks.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n").alias("rows"), F.sum("ones").alias("ones")).first()
+    held = chunks.agg(F.count("y").alias("chunks"), F.sum("n").alias("rows"), F.sum("ones").alias("ones")).first()
     model, state = fresh(held["rows"], held["ones"])
     if held["rows"]:
         passes = -(-SEEN // held["rows"])
@@ -451,7 +473,11 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", lang: str =
                         first = len(number)
                         number.update(zip(new, range(first, first + len(new))))
                         while len(number) > len(table):
-                            table = np.vstack([table, np.zeros_like(table)])
+                            # rows that no word has yet are not touched: they take no memory
+                            grown = np.zeros((2 * len(table), table.shape[1]), np.float32)
+                            grown[:first] = table[:first]
+                            table = grown
+                            del grown
                         table[first : first + len(new)] = model.projected(np.array(list(map(slots, new))))
                     ids = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
                     pooled.append(model.pooled(table[ids]))

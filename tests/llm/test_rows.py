@@ -308,6 +308,29 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     assert np.mean([got[i] for i in range(1, len(tests))]) > got[0]
 
 
+def test_toxicity_chunks_make_no_large_rows(spark, monkeypatch):
+    """A chunk of long texts goes on over small rows, and is learned from as if it were one."""
+    monkeypatch.setattr(toxicity, "SEEN", 200)
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 100)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1_000_000)
+    rng = random.Random(8)
+    rows = [(i, helpers.sentence(rng, 12_000 if i == 7 else 3000 if i % 3 else 0), [None, "en", "es"][i % 3]) for i in range(160)]
+    docs = helpers.documents(spark, rows, extra=False)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, toxic int")
+    made, chunks = [], toxicity._chunks
+    monkeypatch.setattr(toxicity, "_chunks", lambda *a: made.append(chunks(*a)) or made[-1])
+    models = [toxicity.fit(docs, labels)]
+    found = made[0].collect()
+    assert max(len(r.slots) for r in found) <= 1 << 17
+    assert sum(len(r.slots) for r in found) == sum(6 * len(toxicity.words(t)) for _, t, _ in rows) > 1_500_000
+    heads = [r for r in found if r.y is not None]
+    assert 2 < len(heads) < len(found) and sum(len(r.y) for r in heads) == 160
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 1 << 30)
+    models.append(toxicity.fit(docs.repartition(5), labels))
+    assert made[1].count() == len(heads)
+    assert np.array_equal(packed(models[0]), packed(models[1])) and models[0].thresholds == models[1].thresholds
+
+
 def packed(model):
     return toxicity.packed(model, toxicity.fresh(1, 0)[1])
 
