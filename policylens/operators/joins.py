@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylens.schema import KEY
+from policylens.session import attach
 
 def decision_key(df: DataFrame, name: str) -> DataFrame:
     """Rename the reward side's `decision_id` so both sides join by the same names."""
@@ -105,5 +106,8 @@ def of_key(key: tuple[str, str, str]) -> Column:
 
 
 def with_model(decisions: DataFrame, models: DataFrame) -> DataFrame:
-    """Each decision with the published model its tag names; NULL version = retired."""
-    return decisions.join(models, [*KEY, "model_tag"], "left")
+    """Each decision with the published model its tag names; NULL version = retired.
+
+    Many decisions name one model, so they stay where they are unless the models are many.
+    """
+    return attach(decisions, models, [*KEY, "model_tag"], how="left")

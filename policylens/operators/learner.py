@@ -513,7 +513,7 @@ def decide(
     requests = P.with_settings(requests.drop("model_version"), spec).withColumn("model_bits_", F.col("settings.bits"))
     df = predict(requests.drop("settings"), slots, model_key, row_id, F.col("model_bits_")).drop("model_bits_")
     versions = header.select(*model_key, F.col("n_updates").alias("model_version"))
-    df = df.join(versions, model_key, "left").withColumn(
+    df = attach(df, versions, model_key, how="left").withColumn(
         "model_version", F.coalesce("model_version", F.lit(0).cast("long"))
     )
     own = F.col("settings")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from policylens.functions import features as X
+from policylens.functions.pmf import once
 from policylens.operators import ingest as I
 from policylens.operators import joins as J
 from policylens.operators import learner as L
@@ -197,28 +198,49 @@ def l3_frozen(spark, folder):
     )
 
 
+def upload_parts(decided: DataFrame, **pmfs: Column) -> DataFrame:
+    """What the upload lines of a decision are put together from: texts that are made once, however many lines share them.
+
+    One column per PMF of `pmfs`, by its name.
+    """
+    item_input = F.struct(
+        F.parse_json("context").alias("context"),
+        F.transform(
+            "actions",
+            lambda a: F.struct(a["id"].alias("id"), F.parse_json(a["features"]).alias("features")),
+        ).alias("actions"),
+        F.col("excluded_ids").alias("excludedActions"),
+    )
+    return once(
+        decided, *KEY, "arrival", "seed",
+        fields_text(
+            F.col("id").alias("decisionId"), F.col("ts_ms").alias("tsMs"),
+            F.col("model_tag").alias("modelTag"), F.col("model_version").alias("modelVersion"),
+        ).alias("head"),
+        fields_text(item_input.alias("input")).alias("input"),
+        fields_text(
+            F.col("chosen_index").alias("chosenIndex"), F.col("chosen_id").alias("chosenId"), F.col("probability"),
+        ).alias("chosen"),
+        fields_text(F.col("eligible")).alias("eligible"),
+        *[fields_text(pmf.alias("pmf")).alias(name) for name, pmf in pmfs.items()],
+    )
+
+
+def fields_text(*columns: Column) -> Column:
+    """JSON text of fields without the braces; null if all are null."""
+    return F.nullif(F.regexp_extract(F.to_json(F.struct(*columns)), r"(?s)\A\{(.*)\}\z", 1), F.lit(""))
+
+
+def lines_of(parts: DataFrame, seed: Column, pmf: Column) -> DataFrame:
+    """Client batches of one decision each from `upload_parts`, with a seed and the text of a PMF."""
+    texts = F.array("head", F.concat(F.lit('"seed":"'), seed.cast("string"), F.lit('"')), "input", "chosen", pmf, "eligible")
+    line = F.concat(F.lit('{"decisions":[{'), F.array_join(texts, ","), F.lit("}]}"))
+    return parts.select(*KEY, "arrival", line.alias("value"))
+
+
 def upload_lines(decided: DataFrame) -> DataFrame:
     """Client batches: one JSON line per decision, as a client would upload it."""
-    item = F.struct(
-        F.col("id").alias("decisionId"), F.col("ts_ms").alias("tsMs"),
-        F.col("model_tag").alias("modelTag"), F.col("model_version").alias("modelVersion"),
-        F.col("seed").cast("string").alias("seed"),
-        F.struct(
-            F.parse_json("context").alias("context"),
-            F.transform(
-                "actions",
-                lambda a: F.struct(
-                    a["id"].alias("id"), F.parse_json(a["features"]).alias("features")
-                ),
-            ).alias("actions"),
-            F.col("excluded_ids").alias("excludedActions"),
-        ).alias("input"),
-        F.col("chosen_index").alias("chosenIndex"), F.col("chosen_id").alias("chosenId"),
-        "probability", "pmf", "eligible",
-    )
-    return decided.select(
-        *KEY, "arrival", F.to_json(F.struct(F.array(item).alias("decisions"))).alias("value")
-    )
+    return lines_of(upload_parts(decided, pmf=F.col("pmf")), F.col("seed"), F.col("pmf"))
 
 
 @query("L6_verify_uploads", LOG + f""",
@@ -261,14 +283,16 @@ SELECT capsule, CASE WHEN on_time AND copy = 1 THEN 'new' WHEN on_time AND copy
 def l6_claims(spark, folder):
     """Four uploads of each id: one that does not replay, the right one, that again, another seed."""
     decided, models, slots = upload_fixture(spark, folder)
-    copy = F.col("arrival") % 4
-    sent = decided.withColumn("n", F.explode(F.array(*map(F.lit, range(4))))).withColumn(
+    parts = upload_parts(decided, pmf=F.col("pmf"), blurred=blurred())
+    sent = parts.withColumn("n", F.explode(F.array(*map(F.lit, range(4))))).withColumn(
         "arrival", F.col("arrival") * 4 + F.col("n")
     )
-    sent = sent.withColumn("pmf", F.when(copy == 0, blurred()).otherwise(F.col("pmf"))).withColumn(
-        "seed", F.when(copy == 3, F.col("seed") + 1).otherwise(F.col("seed"))
-    ).drop("n")
-    uploads = written(logs.parse_uploaded_decisions(upload_lines(sent)), "claims")
+    copy = F.col("arrival") % 4
+    lines = lines_of(
+        sent, F.when(copy == 3, F.col("seed") + 1).otherwise(F.col("seed")),
+        F.when(copy == 0, F.col("blurred")).otherwise(F.col("pmf")),
+    )
+    uploads = written(logs.parse_uploaded_decisions(lines), "claims")
     out = verify_uploads(uploads, uploads.limit(0), models, slots, SPEC, int(NOW))
     return out.groupBy("capsule", "status", "why").agg(F.count(F.lit(1)).alias("n"))
 
@@ -281,17 +305,18 @@ def blurred():
 def upload_fixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decisions of one published model per capsule, with models and slots."""
     d = event_decisions(spark, folder)
-    slots = weight_table(d, BITS).withColumn("model_tag", F.lit("tag0"))
-    models = d.select(*KEY).distinct().select(
+    # a few rows of all events, read once
+    models = written(d.select(*KEY).distinct().select(
         *KEY, F.lit("tag0").alias("model_tag"), F.lit(400).cast("bigint").alias("n_updates")
-    )
+    ), "published")
+    slots = weight_table(models, BITS).withColumn("model_tag", F.lit("tag0"))
     signup = F.array(F.lit("signup"))
     requests = d.drop("pmf", "probability", "chosen_index", "chosen_id", "mode").withColumn(
         "excluded_ids", F.when(F.size("eligible") == 4, signup).otherwise(F.slice(signup, 1, 0))
     ).withColumn("model_tag", F.lit("tag0"))
-    decided = L.decide(
-        X.featurize(requests), slots, models, SPEC, model_key=[*KEY, "model_tag"]
-    )
+    # no line holds these: they need not pass through the scoring
+    ready = X.featurize(requests).drop("derived", "reason", "request_sha256", "program_sha256")
+    decided = L.decide(ready, slots, models, SPEC, model_key=[*KEY, "model_tag"])
     return decided, models, slots
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -212,6 +216,75 @@ INPUT = (
 INPUT_FIELDS = ["context", "actions", "excludedActions", "baselineAction"]
 
 
+#: Characters of a line, and characters and brackets of an item, up to which `plain_items` reads: well inside the limits of
+#: Spark's JSON reader.  Digits in a row from which a number is not kept as it is.
+PLAIN_LINE, PLAIN_ITEM, PLAIN_BRACKETS, PLAIN_DIGITS = 4 << 20, 40_000, 900, 38
+DIGITS = bytes.maketrans(b"123456789", b"000000000")
+
+
+def _real(text: str) -> float:
+    # a variant writes 1.0 as 1, and exponents are left to Java
+    value = float(text)
+    if text[-1] == "0" or "e" in text or "E" in text or abs(value) >= 1e16:
+        raise ValueError(text)
+    return value
+
+
+def _constant(text: str) -> None:
+    raise ValueError(text)
+
+
+def plain_items(value: Column) -> Column:
+    """The items of upload lines, each as the text that `to_json` makes of its variant, and whether all its fields, and all
+    those of its input, are known ones.
+
+    Null for a line that is not plain; such a line is left to Spark's variants, which make a JSON writer for every key
+    they write.  Plain is what a writer without blanks gives: ASCII without escapes, no key twice, numbers in their
+    shortest form without exponent.  Of such a line a variant changes the order of keys only.  Whatever else reading and
+    writing would change (blanks, keys given twice, longer numbers) makes the text shorter, so equal lengths tell.
+    """
+    fields, input_fields = frozenset(UPLOAD_FIELDS), frozenset(INPUT_FIELDS)
+
+    @F.arrow_udf("array<struct<text:string,known:boolean,input_known:boolean>>")
+    def read(lines: pa.Array) -> pa.Array:
+        load = json.JSONDecoder(parse_float=_real, parse_constant=_constant).decode
+        dump = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=False, check_circular=False).encode
+        long_number = b"0" * (PLAIN_DIGITS + 1)
+
+        def plain(line: str | None) -> list[tuple[str, bool, bool]] | None:
+            if line is None or len(line) > PLAIN_LINE or not line.isascii() or "\\" in line:
+                return None
+            if long_number in line.encode().translate(DIGITS):
+                return None
+            try:
+                doc = load(line)
+            except (ValueError, RecursionError):
+                return None
+            items = doc.get("decisions") if type(doc) is dict and len(doc) == 1 else None
+            if type(items) is not list:
+                return None
+            out, size = [], len('{"decisions":[]}') + max(len(items) - 1, 0)
+            for item in items:
+                if type(item) is not dict or type(item.get("input")) is not dict:
+                    return None
+                text = dump(item)
+                if len(text) > PLAIN_ITEM or text.count("{") + text.count("[") > PLAIN_BRACKETS:
+                    return None
+                size += len(text)
+                out.append((text, item.keys() <= fields, item["input"].keys() <= input_fields))
+            return out if size == len(line) else None
+
+        got = [plain(line) for line in lines.to_pylist()]
+        flat = [item for items in got if items is not None for item in items]
+        text, known, input_known = zip(*flat, strict=True) if flat else ((), (), ())
+        parts = [pa.array(text, pa.string()), pa.array(known, pa.bool_()), pa.array(input_known, pa.bool_())]
+        ends = pa.array(accumulate((len(items or ()) for items in got), initial=0), pa.int32())
+        entries = pa.StructArray.from_arrays(parts, ["text", "known", "input_known"])
+        return pa.ListArray.from_arrays(ends, entries, mask=pa.array([items is None for items in got], pa.bool_()))
+
+    return read(value)
+
+
 def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
     """One row per item of JSON batches `{"decisions": [...]}`.
 
@@ -220,17 +293,19 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
     """
     extra = [c for c in lines.columns if c != "value"]
     items = F.try_variant_get(F.try_parse_json("value"), "$.decisions", "array<variant>")
-    raw = clean_lines(lines).select(
-        *extra, F.explode(F.transform(items, lambda i: F.to_json(i))).alias("text")
+    untold = F.lit(None).cast("boolean")
+    other = F.transform(items, lambda i: F.struct(F.to_json(i).alias("text"), untold.alias("known"), untold.alias("input_known")))
+    raw = once(clean_lines(lines), *extra, "value", plain_items(F.col("value")).alias("plain")).select(
+        *extra, F.inline(F.when(F.col("plain").isNotNull(), F.col("plain")).otherwise(other))
     )
-    parsed = once(
-        once(
-            raw, *extra,
-            F.from_json("text", UPLOAD_DECISION).alias("d"),
-            F.json_object_keys("text").alias("fields"),
-        ),
-        *extra, "d", "fields", F.from_json("d.input", INPUT).alias("i"),
-        F.json_object_keys("d.input").alias("input_fields"),
+    # plain projections, which Spark compiles; the last one below is what filters are not pushed through
+    parsed = raw.select(
+        *extra,
+        F.from_json("text", UPLOAD_DECISION).alias("d"),
+        F.coalesce("known", only_fields(F.json_object_keys("text"), UPLOAD_FIELDS)).alias("known"), "input_known",
+    ).select(
+        *extra, "d", "known", F.from_json("d.input", INPUT).alias("i"),
+        F.coalesce("input_known", only_fields(F.json_object_keys("d.input"), INPUT_FIELDS)).alias("input_known"),
         F.try_to_number(F.col("d.seed"), F.lit("99999999999999999999")).alias("seed_number"),
     )
     seed = F.col("seed_number")
@@ -259,15 +334,12 @@ def parse_uploaded_decisions(lines: DataFrame) -> DataFrame:
         F.sha2(F.coalesce("d.input", F.lit("null")), 256).alias("request_sha256"),
         first_problem(
             [
-                ("unknown_field", only_fields(F.col("fields"), UPLOAD_FIELDS)),
+                ("unknown_field", F.col("known")),
                 ("id_missing", F.col("d.decisionId").isNotNull()),
                 ("ts_missing", F.col("d.tsMs").isNotNull()),
                 ("tag_missing", F.col("d.modelTag").isNotNull()),
                 ("seed_invalid", signed.isNotNull()),
-                (
-                    "input_field_unknown",
-                    only_fields(F.col("input_fields"), INPUT_FIELDS),
-                ),
+                ("input_field_unknown", F.col("input_known")),
                 ("context_not_object", has_object),
                 ("chosen_missing", F.col("d.chosenIndex").isNotNull()),
                 ("pmf_missing", F.col("d.pmf").isNotNull()),

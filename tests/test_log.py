@@ -375,3 +375,106 @@ def test_byte_order_marks_and_blank_lines(spark):
 
     lines = spark.createDataFrame([("﻿{}",), ("﻿",), ("  ",), (None,), ("a﻿",), ("﻿﻿b",)], "value string")
     assert [r["value"] for r in clean_lines(lines).collect()] == ["{}", "a﻿", "﻿b"]
+
+
+def upload_line(**other):
+    item = {
+        "decisionId": "d1", "tsMs": 5, "modelTag": "t", "modelVersion": 4, "seed": "7",
+        "input": {"context": {"z": 0.1, "a": [1, {"y": 2, "b": None}]}, "actions": [{"id": "x", "features": {"q": 1, "c": 0.25}}]},
+        "chosenIndex": 0, "chosenId": "x", "probability": 0.75, "pmf": [0.75, 0.25], "eligible": [0, 1],
+    }
+    return json.dumps({"decisions": [{**item, **other}]}, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_plain_upload_lines_are_read_as_any_other(spark):
+    """A line that skips the variants gives the rows that the variants give; a blank behind it sends it to them."""
+    one, given = upload_line(), {"context": {"k": 0.5}, "actions": []}
+    plain = [
+        one, one[:-2] + "," + upload_line(decisionId="d2")[14:], upload_line(extra=1), upload_line(seed=12), upload_line(seed=0.5),
+        upload_line(input={**given, "more": 1}), upload_line(input={**given, "baselineAction": None}), upload_line(tsMs="5"),
+        upload_line(seed="18446744073709551615"), upload_line(tsMs=12345678901234567890), upload_line(pmf=[0.1, "x"]),
+        upload_line(pmf=None), upload_line(chosenId=["a", {"b": 1, "a": 0.001}]), upload_line(eligible=[0, 1.5]),
+        upload_line(decisionId=0.1234567890123456), upload_line(input={**given, "context": [1]}), '{"decisions":[]}',
+        upload_line(input={**given, "context": {"k": 0.0001, "a/b": "e-1", "": True}}),
+        one.replace('"z":0.1', '"z":0.30000000000000005'), upload_line(probability=-0.5, tsMs=-5),
+    ]
+    left = [
+        upload_line(tsMs=5.0), upload_line(probability=1e-7), upload_line(pmf=[1.0, 0]), upload_line(decisionId="é"),
+        upload_line(decisionId="a\"b"), upload_line(input="{\"context\":null}"), upload_line(input=None), upload_line(seed=int("9" * 39)),
+        one.replace('"tsMs":5', '"tsMs":5,"tsMs":6'), one.replace('"z":0.1', '"z":0.1,"z":0.1'), one.replace("0.75,0.25", "0.75, 0.25"),
+        one.replace('"z":0.1', '"z":0.10'), one.replace('"z":0.1', '"z":NaN'), one.replace('"tsMs":5', '"tsMs":1e3'),
+        one.replace('"z":0.1', '"z":12345678901234567.5'), one.replace('"tsMs":5', '"tsMs":-0'), '{"decisions":[null]}', '{"decisions":[5]}',
+        '{"decisions":{"a":1}}', '{"decisions":[],"a":1}', "[" + one + "]", one + one, one[:-1], "no json", '"text"', one[:-1] + ',"more":1}',
+        one.replace('"z":0.1', '"z":' + "[" * 1100 + "]" * 1100), upload_line(chosenId="x" * 50_000),
+    ]
+
+    def frame(lines):
+        return spark.createDataFrame(list(enumerate(lines)), "n int, value string")
+
+    def read(lines):
+        return logs.parse_uploaded_decisions(frame(lines)).orderBy("n", "id").collect()
+
+    tried = plain + left
+    skips = {r["n"]: r["plain"] is not None for r in frame(tried).select("n", logs.plain_items(F.col("value")).alias("plain")).collect()}
+    assert [skips[n] for n in range(len(tried))] == [True] * len(plain) + [False] * len(left)
+    assert read(tried) == read([line + " " for line in tried])
+    assert [r["problem"] for r in read([one])] == [None]
+
+
+def test_upload_lines_share_what_their_copies_share(spark):
+    """The text of a line is that of `to_json`, and what several lines of a decision share is made once."""
+    from policylens.plans.learn_queries import lines_of, upload_lines, upload_parts
+
+    rows = [
+        ("t", "j", "c", 1, "d1", 5, "m", 4, 7, '{"b":1.50,"a":"\\"}\\n{"}', [("x", '{"q":1}'), ("y", None)], ["y"], 0, "x", 0.5, [0.5, 1e-7], [0]),
+        ("t", "j", "c", 2, "{d\n}", None, None, None, None, None, [], None, None, None, None, None, None),
+    ]
+    d = spark.createDataFrame(rows, (
+        "tenant string, job string, capsule string, arrival bigint, id string, ts_ms bigint, model_tag string, model_version bigint, "
+        "seed bigint, context string, actions array<struct<id:string,features:string>>, excluded_ids array<string>, chosen_index int, "
+        "chosen_id string, probability double, pmf array<double>, eligible array<int>"
+    ))
+    item = F.struct(
+        F.col("id").alias("decisionId"), F.col("ts_ms").alias("tsMs"), F.col("model_tag").alias("modelTag"),
+        F.col("model_version").alias("modelVersion"), F.col("seed").cast("string").alias("seed"),
+        F.struct(
+            F.parse_json("context").alias("context"),
+            F.transform("actions", lambda a: F.struct(a["id"].alias("id"), F.parse_json(a["features"]).alias("features"))).alias("actions"),
+            F.col("excluded_ids").alias("excludedActions"),
+        ).alias("input"),
+        F.col("chosen_index").alias("chosenIndex"), F.col("chosen_id").alias("chosenId"), "probability", "pmf", "eligible",
+    )
+    whole = d.select("arrival", F.to_json(F.struct(F.array(item).alias("decisions"))).alias("value"))
+    assert {tuple(r) for r in upload_lines(d).select("arrival", "value").collect()} == {tuple(r) for r in whole.collect()}
+    copies = upload_parts(d, pmf=F.col("pmf")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    above, below = lines_of(copies, F.col("seed"), F.col("pmf"))._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")
+    assert "parseJson" in below and "parseJson" not in above
+
+
+def test_decisions_stay_where_they_are_to_meet_few_models(spark):
+    decisions = spark.createDataFrame([("t", "j", "c", "m", 1), ("t", "j", "c", "gone", 2), ("t", "j", "c", None, 3)], "tenant string, job string, capsule string, model_tag string, n int")
+    models = decisions.filter("n = 1").select("tenant", "job", "capsule", "model_tag").distinct().withColumn("version", F.lit(4))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = J.with_model(decisions, models)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {(r["n"], r["version"]) for r in got.collect()} == {(1, 4), (2, None), (3, None)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_verdict_leaves_the_upload_where_it_is(spark, folder, monkeypatch):
+    """Of an upload, only what the replay compares and what a claim keeps is written with its verdict."""
+    from policylens.plans import learn_queries as Q
+
+    tables = {}
+
+    def kept(df, name, write=uploads.written):
+        tables[name] = df.columns
+        return write(df, name)
+
+    monkeypatch.setattr(uploads, "written", kept)
+    out = Q.l6_claims(spark, folder)
+    assert "context" in tables["uploads"] and {*tables["verdicts"]} == {"row_", "tenant", "job", "capsule", "id", "arrival", *uploads.SAME, "replays"}
+    assert out.columns == ["capsule", "status", "why", "n"]
